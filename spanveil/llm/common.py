@@ -32,13 +32,13 @@ def words_of(text: Column) -> Column:
 
 
 def with_key(docs: DataFrame, *columns: str) -> DataFrame:
-    """Add ``k1, k2``: doc_id and a hash of the text.  Rows that agree in both have
+    """Add ``k1, k2``: hashes of doc_id and of the text.  Rows that agree in both have
     the same result in every operator here, so the pair can stand for the row
     even when ids repeat or are null; copies under other ids get other keys,
     so a group of copies does not meet in one task."""
     return docs.select(
         *[F.col(c) for c in columns],
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("␀")).alias("k1"),
+        F.xxhash64(F.col("doc_id").cast("string"), F.lit(1)).alias("k1"),
         F.xxhash64("text", F.lit(7)).alias("k2"),
     )
 

@@ -102,7 +102,7 @@ def exact_matches(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
     offset, are the only possible starts; the other terms are compared in the
     words that the posting carries."""
     windows = test_windows(items, width)
-    empty = docs.sparkSession.createDataFrame([], "k1 string, k2 long, item string, start int, stop int")
+    empty = docs.sparkSession.createDataFrame([], "k1 long, k2 long, item string, start int, stop int")
     vocabulary = passes(windows.select(F.explode("window").alias("term")))
     if not vocabulary:
         return empty
@@ -122,7 +122,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, terms: int = 4, span: i
     stand within ``span`` words of the rarest one, in any order."""
     words = items.select(F.col("item_id").cast("string").alias("item"), F.explode(F.array_distinct(terms_of(F.col("text")))).alias("term"))
     vocabulary = passes(words.select("term"))
-    empty = docs.sparkSession.createDataFrame([], "k1 string, k2 long, item string")
+    empty = docs.sparkSession.createDataFrame([], "k1 long, k2 long, item string")
     if not vocabulary:
         return empty
     counted = words.join(term_counts(docs, vocabulary), "term", "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import WORD
+from spanveil.llm.common import WORD, cut
 
 CAP = 3.0
 SEED = 42
@@ -70,7 +70,8 @@ def mix_plan(docs: DataFrame, seed: int = SEED, keep: tuple[str, ...] = ()) -> D
         unit_interval(seed, F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))).alias("draw"), *keep,
     )
     totals = docs.groupBy("source").agg(F.sum(size_of(F.col("text"))).alias("source_size"))
-    targets = source_targets(totals).withColumnRenamed("source", "target_source")
+    # written, so that its size is known and Spark broadcasts it only while it is small
+    targets = cut(source_targets(totals).withColumnRenamed("source", "target_source"), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     return (
         own.join(targets, own["source"].eqNullSafe(F.col("target_source")), "left")

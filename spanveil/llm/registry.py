@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanveil.llm import decontam, mixing, quality, secrets, sharding, sql
+from spanveil.llm import decontam, langid, linededup, mixing, quality, secrets, sharding, simhash, sql, suffixes, toxicity
 from spanveil.llm.common import table
 
 
@@ -12,14 +12,35 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents")).select("doc_id", "slot", "shard")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.rate(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
@@ -29,9 +50,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_secret_scan, op3_mix_sources, op5_shard, op9_quality_rules, op10_decontaminate)
+    own = (op1_secret_scan, op2_language_id, op3_mix_sources, op4_suffix_dedup, op5_shard, op6_simhash, op7_line_dedup, op8_toxicity, op9_quality_rules, op10_decontaminate)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": sql.OP3, "op5_shard": sql.op5(), "op9_quality_rules": sql.OP9, "op10_decontaminate": sql.OP10}
+    return {"op3_mix_sources": sql.OP3, "op5_shard": sql.op5(), "op7_line_dedup": sql.OP7, "op9_quality_rules": sql.OP9, "op10_decontaminate": sql.OP10}
