@@ -1,3 +1,63 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark,sf_dir): pass
+"""The training-corpus pipeline: language ID, near-dedup, decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir), where ``docs`` is a written table with the
+columns of ``documents``, and works on all that its predecessor kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanveil.llm import decontam, langid, mixing, sharding, simhash
+from spanveil.llm.common import cut, table, with_key
+
+#: A text that costs more bits a byte than this under every language is not language:
+#: an even guess costs 6, clean text of a known language about 2.
+REJECT_BITS = 5.9
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a letter and those that no learned language explains."""
+    columns = docs.columns
+    found = langid.identify(docs, keep=tuple(columns)).where((F.col("lang_pred") != langid.NONE) & (F.col("bits_per_byte") <= REJECT_BITS))
+    return found.select(*[F.col(f"keep_{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return simhash.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a ten-word window of a benchmark item."""
+    hits = decontam.exact_matches(docs, table(spark, sf_dir, "benchmark")).select("k1", "k2").distinct()
+    return with_key(docs, *docs.columns).join(hits, ["k1", "k2"], "left_anti").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or drops documents so that sources come near their targets."""
+    return mixing.mix(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the slot and the shard of each document."""
+    return sharding.place(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("simhash_near_dedup", near_dedup),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+    ("sharding", shard),
+]
+
+#: Neither trained language models nor fingerprint groups can be put in SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
