@@ -17,6 +17,7 @@ CONNECTIVES = {"and", "&", "of", "for", "the"}
 SUFFIX_WORDS = {w.lower() for s in L.ORG_SUFFIXES for w in s.split()}
 STOPS = {"the", "with", "by", "from", "to", "at", "our", "between", "that", "messrs.", "m/s", "m/s."}
 OF_TAIL = re.compile(r"\s+of\s+(?:the\s+)?[A-Z][\w'’-]+(?:\s+[A-Z][\w'’-]+)*")
+OF_HEADS = {"bank", "institute", "university", "house", "council", "society"}
 LEFT_TOKENS = 8
 
 
@@ -43,8 +44,11 @@ def organizations(text: str) -> list[tuple[int, int, str, float]]:
     out: list[tuple[int, int, str, float]] = []
     for m in SUFFIX.finditer(text):
         start, taken = m.start(), 0
-        for w in reversed(list(TOKEN.finditer(text, max(0, m.start() - 200), m.start()))):
-            word = w.group()
+        tokens = list(TOKEN.finditer(text, max(0, m.start() - 200), m.start()))
+        for i in range(len(tokens) - 1, -1, -1):
+            w, word = tokens[i], tokens[i].group()
+            if word == "of" and not (i and tokens[i - 1].group().lower() in OF_HEADS):
+                break
             if taken == LEFT_TOKENS or word.lower() in STOPS or re.search(r"[,;:–—”\"]$|^-$", word):
                 break
             if word.lower() not in CONNECTIVES and not re.match(r"[(\"“]?[A-Z0-9]", word):

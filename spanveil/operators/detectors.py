@@ -15,7 +15,6 @@ from spanveil.config import SPAN, Config
 from spanveil.functions import lexicons as L
 from spanveil.functions.text import after, before, digits, distinct_digits, host_of, matches, norm, verhoeff
 
-NONE = F.array
 
 
 @dataclass(frozen=True)
@@ -49,7 +48,6 @@ def any_of(words, sort: bool = True) -> str:
     return "|".join(("\\Q" + w + "\\E") for w in (sorted(words, key=lambda w: (-len(w), w)) if sort else words))
 
 
-TEXT = F.col("text")
 
 
 def spans(found: Column, kind: str, detector: str, confidence: float | Callable[[Column], Column], keep: Callable[[Column], Column] | None = None) -> Column:
@@ -71,7 +69,7 @@ EMAIL = r"(?U)(?<![\w.+\-])[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9])?@(?
 URL = r"(?Ui)(?<![\w@])(?:(?:https?|ftp)://|www\. ?)[a-z0-9\-]+(?:(?:\.|\. (?=(?:com|net|org|in|co|gov|edu|io)\b))[a-z0-9\-]+)+(?::\d+)?(?:[/?#][^\s<>\"']*)?"
 SSN_BODY = r"(?!000|666|9\d\d)\d{3}{sep}(?!00)\d{2}{sep}(?!0000)\d{4}"
 SSN = r"(?U)(?<![\w\-])" + SSN_BODY.replace("{sep}", r"[\-–]") + r"(?![\w\-])"
-SSN_LABELLED = r"((?Ui)\b(?:ssn|social security(?: (?:number|no\.?))?)(?:\s+(?:is|was|of))?\s*[:#\-]?\s*)(" + SSN_BODY.replace("{sep}", r"[\- –]?") + r")(?![\w\-])"
+SSN_LABELLED = r"(?Ui)(\b(?:ssn|social security(?: (?:number|no\.?))?)(?:\s+(?:is|was|of))?\s*[:#\-]?\s*)(" + SSN_BODY.replace("{sep}", r"[\- –]?") + r")(?![\w\-])"
 CARD = r"(?U)(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?!\d|[.\-]\d)"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"(?U)(?<![\w.\-])(?:{OCTET}\.){{3}}{OCTET}(?![\w\-]|\.\d)"
@@ -79,22 +77,22 @@ H = "[0-9A-Fa-f]{1,4}"
 IPV6 = rf"(?U)(?<![\w:.])(?:(?:{H}:){{7}}{H}|(?=(?:[0-9A-Fa-f]*:){{2,7}}[0-9A-Fa-f]*(?![\w:]))(?:{H}(?::{H}){{0,6}})?::(?:{H}(?::{H}){{0,6}})?)(?![\w:])"
 PHONE_CC = r"(?U)(?<![\w+])\+\d{1,3}(?:[ .()\-]{0,3}\d){6,14}(?!\d)"
 PHONE_TRUNK = r"(?U)(?<![\w.+\-])0\d{2,4}[ \-]\d{6,8}(?!\d|\.\d)"
-PHONE_LABEL = r"((?Ui)\b(?:tel(?:ephone)?|phone|mobile|mob|cell|fax|contact no)\b\.?(?:\s*(?:nos?|number)\b\.?)?\s*[:\-]?\s*)(\+?\d[\d ()\-]{6,20}\d)"
+PHONE_LABEL = r"(?Ui)(\b(?:tel(?:ephone)?|phone|mobile|mob|cell|fax|contact no)\b\.?(?:\s*(?:nos?|number)\b\.?)?\s*[:\-]?\s*)(\+?\d[\d ()\-]{6,20}\d)"
 MONTHS = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 DATE = rf"(?:\d{{1,2}}(?:st|nd|rd|th)?\s+{MONTHS},?\s+\d{{4}}|{MONTHS}\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}[/.\-]\d{{1,2}}[/.\-]\d{{2,4}}|{MONTHS}\s+\d{{4}})"
-DOB_LABEL = rf"((?Ui)\b(?:date of birth|birth ?date|d\.?o\.?b\b\.?|born on)\s*[:\-]?\s*(?:is\s+)?)({DATE})(?![\w/])"
-DOB_BORN = rf"((?Ui)\b(?:born|b\.)\s+(?:on|in)?\s*)({DATE})(?![\w/])"
+DOB_LABEL = rf"(?Ui)(\b(?:date of birth|birth ?date|d\.?o\.?b\b\.?|born on)\s*[:\-]?\s*(?:is\s+)?)({DATE})(?![\w/])"
+DOB_BORN = rf"(?Ui)(\b(?:born|b\.)\s+(?:on|in)?\s*)({DATE})(?![\w/])"
 BIRTH_CUE = r"(?Ui)\b(?:born|birth|birthday|aged?|years old)\b"
 NAME_TOKEN = r"(?:\p{Lu}\.|\p{Lu}[\p{L}'’\-]+)"
 NAME = rf"{NAME_TOKEN}(?:\s+(?:(?:de|da|van|von|der|bin|al|la|le)\s+)?{NAME_TOKEN}){{1,4}}"
-HONORIFIC = rf"((?U)(?<![\w.])(?:{any_of(L.HONORIFICS)})\s+)({NAME_TOKEN}(?:\s+{NAME_TOKEN}){{0,4}})"
-CUE_NAME = rf"((?U)(?<!\w)(?:{any_of(L.PERSON_CUES)})\s*[:\-–]\s*)({NAME})"
+HONORIFIC = rf"(?U)((?<![\w.])(?:{any_of(L.HONORIFICS)})\s+)({NAME_TOKEN}(?:\s+{NAME_TOKEN}){{0,4}})"
+CUE_NAME = rf"(?U)((?<!\w)(?:{any_of(L.PERSON_CUES)})\s*[:\-–]\s*)({NAME})"
 NAME_CUE = rf"(?U)(?<!\w){NAME}(?=\s*[,|]\s+(?:{any_of(L.PERSON_CUES)})\b)"
 
 
 @register("email.regex", "EMAIL")
 def email(config: Config) -> Column:
-    return spans(matches(TEXT, EMAIL), "EMAIL", "email.regex", 1.0)
+    return spans(matches(F.col("text"), EMAIL), "EMAIL", "email.regex", 1.0)
 
 
 def is_public_domain(host: Column) -> Column:
@@ -106,25 +104,25 @@ def is_public_domain(host: Column) -> Column:
 
 @register("url.regex", "URL")
 def url(config: Config) -> Column:
-    return spans(trimmed(matches(TEXT, URL), ".,;:!?)]}'\""), "URL", "url.regex", 1.0, lambda m: ~is_public_domain(host_of(m["text"])))
+    return spans(trimmed(matches(F.col("text"), URL), ".,;:!?)]}'\""), "URL", "url.regex", 1.0, lambda m: ~is_public_domain(host_of(m["text"])))
 
 
 def plausible_phone(m: Column) -> Column:
     n = F.length(digits(m["text"]))
-    lead = before(TEXT, m["start"], 3)
-    register_label = before(TEXT, m["start"], 40).rlike(r"(?i)(?:registration|membership|certificate|licen[cs]e|firm|account|invoice|din|cin|pan)\s*(?:no\.?|number)?\s*[:\-]?\s*$")
+    lead = before(F.col("text"), m["start"], 3)
+    register_label = before(F.col("text"), m["start"], 40).rlike(r"(?i)(?:registration|membership|certificate|licen[cs]e|firm|account|invoice|din|cin|pan)\s*(?:no\.?|number)?\s*[:\-]?\s*$")
     return n.between(8, 15) & (distinct_digits(m["text"]) > 2) & ~lead.rlike("[₹$%]") & ~register_label
 
 
 @register("phone.pattern", "PHONE")
 def phone(config: Config) -> Column:
-    parts = [(matches(TEXT, PHONE_CC), 0.97), (matches(TEXT, PHONE_TRUNK), 0.90), (matches(TEXT, PHONE_LABEL, 2, 2), 1.0)]
+    parts = [(matches(F.col("text"), PHONE_CC), 0.97), (matches(F.col("text"), PHONE_TRUNK), 0.90), (matches(F.col("text"), PHONE_LABEL, 2, 2), 1.0)]
     return F.concat(*[spans(x, "PHONE", "phone.pattern", c, plausible_phone) for x, c in parts])
 
 
 @register("ssn.pattern", "SSN")
 def ssn(config: Config) -> Column:
-    return F.concat(spans(matches(TEXT, SSN), "SSN", "ssn.pattern", 0.95), spans(matches(TEXT, SSN_LABELLED, 2, 2), "SSN", "ssn.pattern", 1.0))
+    return F.concat(spans(matches(F.col("text"), SSN), "SSN", "ssn.pattern", 0.95), spans(matches(F.col("text"), SSN_LABELLED, 2, 2), "SSN", "ssn.pattern", 1.0))
 
 
 def luhn(text: Column) -> Column:
@@ -149,23 +147,23 @@ def card_scheme(text: Column) -> Column:
 
 @register("credit_card.luhn", "CREDIT_CARD")
 def card(config: Config) -> Column:
-    labelled = lambda m: before(TEXT, m["start"], 40).rlike(r"(?i)(?:card|visa|master ?card|amex|debit|credit)")
+    labelled = lambda m: before(F.col("text"), m["start"], 40).rlike(r"(?i)(?:card|visa|master ?card|amex|debit|credit)")
     strong = lambda m: m["text"].rlike("[ -]") | labelled(m)
     entropy = lambda m: (distinct_digits(m["text"]) >= 4) & ~digits(m["text"]).rlike(r"(\d)\1{5}")
     keep = lambda m: luhn(m["text"]) & card_scheme(m["text"]).isNotNull() & (strong(m) | (F.length(m["text"]).isin(15, 16) & entropy(m)))
-    return spans(matches(TEXT, CARD), "CREDIT_CARD", "credit_card.luhn", lambda m: F.when(strong(m), 1.0).otherwise(0.85), keep)
+    return spans(matches(F.col("text"), CARD), "CREDIT_CARD", "credit_card.luhn", lambda m: F.when(strong(m), 1.0).otherwise(0.85), keep)
 
 
 def ip_allowed(m: Column) -> Column:
-    cue = before(TEXT, m["start"], 14).rlike(r"(?i)(?:version|ver\.?|\bv|clause|section|para(?:graph)?|schedule|standard|release|rule|article)\s*$")
-    unit = after(TEXT, m["end"], 16).rlike(r"(?i)^\s*(?:%|million|crore|lakh|kg|mm|km|months?|years?|days?)")
+    cue = before(F.col("text"), m["start"], 14).rlike(r"(?i)(?:version|ver\.?|\bv|clause|section|para(?:graph)?|schedule|standard|release|rule|article)\s*$")
+    unit = after(F.col("text"), m["end"], 16).rlike(r"(?i)^\s*(?:%|million|crore|lakh|kg|mm|km|months?|years?|days?)")
     return ~cue & ~unit
 
 
 @register("ip.pattern", "IP_ADDRESS")
 def ip(config: Config) -> Column:
     v6 = lambda m: ip_allowed(m) & (F.length(m["text"]) > 2)
-    return F.concat(spans(matches(TEXT, IPV4), "IP_ADDRESS", "ip.pattern", 1.0, ip_allowed), spans(matches(TEXT, IPV6), "IP_ADDRESS", "ip.pattern", 0.95, v6))
+    return F.concat(spans(matches(F.col("text"), IPV4), "IP_ADDRESS", "ip.pattern", 1.0, ip_allowed), spans(matches(F.col("text"), IPV6), "IP_ADDRESS", "ip.pattern", 0.95, v6))
 
 
 #: Identity documents: pattern, confidence, and the label that must stand before it (none: no label).
@@ -195,10 +193,10 @@ def national_id(config: Config) -> Column:
     for kind, pattern, confidence, label in ID_RULES:
         def keep(m: Column, kind=kind, label=label) -> Column:
             good = aadhaar_ok(m["text"]) if kind == "aadhaar" else F.lit(True)
-            return good & before(TEXT, m["start"], 45).rlike("(?i)" + label) if label else good
+            return good & before(F.col("text"), m["start"], 45).rlike("(?i)" + label) if label else good
 
-        out.append(spans(matches(TEXT, rf"(?U)(?<![\w]){pattern}(?![\w])"), "NATIONAL_ID", "national_id.rules", confidence, lambda m, k=keep: k(m)))
-    header, cell = norm(F.col("column_header")), F.trim(TEXT)
+        out.append(spans(matches(F.col("text"), rf"(?U)(?<![\w]){pattern}(?![\w])"), "NATIONAL_ID", "national_id.rules", confidence, lambda m, k=keep: k(m)))
+    header, cell = norm(F.col("column_header")), F.trim(F.col("text"))
     fits = F.lit(False)
     for label, kind in (("din|director identification number", "din"), ("pan|permanent account number", "pan"), ("cin", "cin"), ("aadhaar", "aadhaar")):
         shape = next(p for k, p, _, _ in ID_RULES if k == kind)
@@ -208,8 +206,8 @@ def national_id(config: Config) -> Column:
 
 def whole_cell(condition: Column, kind: str, detector: str, confidence: float = 1.0) -> Column:
     """The trimmed cell as one span, if the condition holds."""
-    start = F.length(TEXT) - F.length(F.ltrim(TEXT))
-    one = F.array(F.struct(start.alias("start"), (start + F.length(F.trim(TEXT))).alias("end"), F.trim(TEXT).alias("text")))
+    start = F.length(F.col("text")) - F.length(F.ltrim(F.col("text")))
+    one = F.array(F.struct(start.alias("start"), (start + F.length(F.trim(F.col("text")))).alias("end"), F.trim(F.col("text")).alias("text")))
     return F.when(condition, spans(one, kind, detector, confidence)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -221,11 +219,11 @@ def plausible_year(text: Column, now: int) -> Column:
 @register("dob.contextual", "DOB")
 def dob(config: Config) -> Column:
     keep = lambda m: plausible_year(m["text"], config.current_year)
-    out = [spans(matches(TEXT, p, 2, 2), "DOB", "dob.contextual", 1.0, keep) for p in (DOB_LABEL, DOB_BORN)]
+    out = [spans(matches(F.col("text"), p, 2, 2), "DOB", "dob.contextual", 1.0, keep) for p in (DOB_LABEL, DOB_BORN)]
     if config.dob_mode == "contextual":
-        cues = matches(TEXT, BIRTH_CUE)
+        cues = matches(F.col("text"), BIRTH_CUE)
         near = lambda m: keep(m) & F.exists(cues, lambda c: F.abs(c["start"] - m["start"]) <= 60)
-        out.append(spans(matches(TEXT, rf"(?Ui)(?<![\w/]){DATE}(?![\w/])"), "DOB", "dob.contextual", 0.6, near))
+        out.append(spans(matches(F.col("text"), rf"(?Ui)(?<![\w/]){DATE}(?![\w/])"), "DOB", "dob.contextual", 0.6, near))
     return F.concat(*out)
 
 
@@ -249,12 +247,12 @@ def looks_like_person(text: Column, single: bool = False) -> Column:
 @register("person.hybrid", "PERSON")
 def person(config: Config) -> Column:
     parts = [
-        (matches(TEXT, CUE_NAME, 2, 2), 0.98, False),
-        (matches(TEXT, NAME_CUE), 0.95, False),
-        (matches(TEXT, HONORIFIC, 2, 2), 0.95, True),
+        (matches(F.col("text"), CUE_NAME, 2, 2), 0.98, False),
+        (matches(F.col("text"), NAME_CUE), 0.95, False),
+        (matches(F.col("text"), HONORIFIC, 2, 2), 0.95, True),
     ]
     out = [spans(trimmed(x, " .,"), "PERSON", "person.hybrid", c, lambda m, s=s: looks_like_person(m["text"], s)) for x, c, s in parts]
-    cell = F.coalesce(norm(F.col("column_header")).isin(list(L.NAME_HEADERS)) & (F.length(TEXT) <= 80) & looks_like_person(TEXT), F.lit(False))
+    cell = F.coalesce(norm(F.col("column_header")).isin(list(L.NAME_HEADERS)) & (F.length(F.col("text")) <= 80) & looks_like_person(F.col("text")), F.lit(False))
     return F.concat(*out, whole_cell(cell, "PERSON", "person.hybrid"))
 
 

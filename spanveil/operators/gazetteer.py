@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanveil.config import SWEPT, Config
 from spanveil.functions import lexicons as L
 from spanveil.functions.text import matches, norm
-from spanveil.operators.detectors import TEXT, any_of, looks_like_person, name_hint
+from spanveil.operators.detectors import any_of, looks_like_person, name_hint
 
 DERIVED, OBSERVED = 0.72, 0.95
 ALIAS = r"(?U)((?:\p{Lu}[\p{L}\d&.'’\-]*\s+(?:(?:and|&)\s+)?){1,8}(?:" + any_of(L.ORG_SUFFIXES) + r"))\s*\((?:the\s+)?[\"“]([^\"”)]{2,60})[\"”]\)"
@@ -41,8 +41,8 @@ def scope_of(config: Config) -> Column:
 
 def defined_aliases(segments: DataFrame, config: Config) -> DataFrame:
     """``Name ("Alias")``: the alias under its name."""
-    hit = F.regexp_extract_all(TEXT, F.lit(ALIAS), F.lit(0))
-    one = segments.where(TEXT.rlike(ALIAS)).select(scope_of(config).alias("scope"), F.explode(hit).alias("m"))
+    hit = F.regexp_extract_all(F.col("text"), F.lit(ALIAS), F.lit(0))
+    one = segments.where(F.col("text").rlike(ALIAS)).select(scope_of(config).alias("scope"), F.explode(hit).alias("m"))
     return one.select("scope", F.regexp_extract("m", ALIAS, 2).alias("surface"), F.lit("ORGANIZATION").alias("pii_type"), F.lit("organization.alias").alias("source"), F.regexp_extract("m", ALIAS, 1).alias("parent"))
 
 
@@ -108,7 +108,7 @@ def sweep(segments: DataFrame, gazetteer: DataFrame, config: Config) -> DataFram
     """Pass 2 for document scope: segments meet the patterns of their document only."""
     patterns = alternations(gazetteer.where(F.col("pii_type").isin(list(SWEPT)))).withColumnRenamed("pii_type", "kind")
     met = segments.select(scope_of(config).alias("scope"), "doc_id", "key", "text").join(patterns, "scope")
-    hit = F.explode(matches(TEXT, F.col("pattern"))).alias("m")
+    hit = F.explode(matches(F.col("text"), F.col("pattern"))).alias("m")
     return met.select("doc_id", "key", "kind", "derived", hit).select(
         "doc_id", "key", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.text").alias("text"), F.col("kind").alias("pii_type"),
         F.lit("gazetteer.sweep").alias("detector"), F.when(F.col("derived"), DERIVED).otherwise(OBSERVED).alias("confidence"),
@@ -119,7 +119,7 @@ def sweep_ngrams(segments: DataFrame, gazetteer: DataFrame, config: Config, long
     """Pass 2 for large dictionaries: word n-grams of the segments meet the dictionary in an
     equi-join on their normal form, and overlapping hits of a kind give way to the
     leftmost longest.  Cost follows the text, not the number of entries."""
-    token = matches(TEXT, r"(?U)[\w@.&'’\-+/]*\w\.?")
+    token = matches(F.col("text"), r"(?U)[\w@.&'’\-+/]*\w\.?")
     grams = segments.withColumn("scope", scope_of(config)).select("scope", "doc_id", "key", "text", token.alias("w"))
     grams = grams.select("scope", "doc_id", "key", "text", "w", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).where("size(w) >= n")
     cells = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.struct(F.get(F.col("w"), i - 1)["start"].alias("start"), F.get(F.col("w"), i + F.col("n") - 2)["end"].alias("end")))

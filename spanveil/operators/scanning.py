@@ -23,12 +23,11 @@ def _arrow(find, kind: str, name: str):
     return pandas_udf(run, f"array<{SPAN}>", PandasUDFType.SCALAR)
 
 
-TEXT = F.col("text")
 
 
 def _only_where(pattern: str, udf) -> Column:
     """Texts without the anchor go to the UDF as null: they cross to Python as nothing."""
-    return F.coalesce(udf(F.when(TEXT.rlike(pattern), TEXT)), F.array().cast(f"array<{SPAN}>"))
+    return F.coalesce(udf(F.when(F.col("text").rlike(pattern), F.col("text"))), F.array().cast(f"array<{SPAN}>"))
 
 
 @register("organization.suffix", "ORGANIZATION")
@@ -38,5 +37,5 @@ def organization(config: Config) -> Column:
 
 @register("address.anchored", "ADDRESS")
 def address(config: Config) -> Column:
-    cell = norm(F.col("column_header")).isin(list(L.ADDRESS_HEADERS)) & (F.length(F.trim(TEXT)) >= walks.FLOOR) & F.lower(TEXT).rlike(r"\b(?:" + "|".join((*L.ADDRESS_WORDS, *L.LOCALITIES)) + r")\b")
+    cell = norm(F.col("column_header")).isin(list(L.ADDRESS_HEADERS)) & (F.length(F.trim(F.col("text"))) >= walks.FLOOR) & F.lower(F.col("text")).rlike(r"\b(?:" + "|".join((*L.ADDRESS_WORDS, *L.LOCALITIES)) + r")\b")
     return F.concat(_only_where(r"\d{3} ?\d{3}|[A-Z]{2} \d{5}", _arrow(walks.addresses, "ADDRESS", "address.anchored")), whole_cell(F.coalesce(cell, F.lit(False)), "ADDRESS", "address.anchored"))

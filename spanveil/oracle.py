@@ -30,6 +30,12 @@ STRONG = "(regexp_matches(value, '[ -]') OR regexp_matches(t[greatest(start_at -
 REPEATED = "(" + " OR ".join(f"contains({DIGITS}, repeat('{d}', 6))" for d in range(10)) + ")"
 
 
+PHONE_KEEP = (
+    "NOT regexp_matches(t[greatest(start_at - 2, 1):start_at], '[₹$%]') AND NOT regexp_matches(t[greatest(start_at - 39, 1):start_at], "
+    "'(?i)(registration|membership|certificate|licen[cs]e|firm|account|invoice|din|cin|pan)\\s*(no\\.?|number)?\\s*[:\\-]?\\s*$')"
+)
+
+
 def scheme_sql(d: str) -> str:
     n = f"length({d})"
     m = lambda p: f"regexp_matches({d}, '{p}')"
@@ -84,7 +90,7 @@ SQL: dict[str, str] = {
     "email_spans_pages": split_sql("pages", "page_id::VARCHAR", "html", *EMAIL),
     "ipv4_spans": split_sql("documents", DOC, "text", "(^|[^\\pL\\pN_.\\x01\\-])", f"(?:{OCTET}\\.){{3}}{OCTET}", "($|\\.$|\\.[^0-9]|[^\\pL\\pN_.\\-])", IP_KEEP),
     "ipv6_spans": made("'2001:db8::' || lower(to_hex(o_orderkey % 65536))", "'peer '"),
-    "phone_country_spans": split_sql("documents", DOC, "text", "(^|[^\\pL\\pN_+\\x01])", "\\+[0-9]{1,3}(?:[ .()\\-]{0,3}[0-9]){6,14}", "($|[^0-9])", f"length({DIGITS}) BETWEEN 8 AND 15 AND {DISTINCT} > 2"),
+    "phone_country_spans": split_sql("documents", DOC, "text", "(^|[^\\pL\\pN_+\\x01])", "\\+[0-9]{1,3}(?:[ .()\\-]{0,3}[0-9]){6,14}", "($|[^0-9])", f"length({DIGITS}) BETWEEN 8 AND 15 AND {DISTINCT} > 2 AND {PHONE_KEEP}"),
     "card_spans": split_sql("documents", DOC, "text", "(^|[^0-9.\\x01\\-])", "[0-9](?:[ \\-]?[0-9]){12,18}", "($|[.\\-]$|[.\\-][^0-9]|[^0-9.\\-])",
                             f"{LUHN} AND {scheme_sql(DIGITS)} IS NOT NULL AND ({STRONG} OR (length(value) IN (15, 16) AND {DISTINCT} >= 4 AND NOT {REPEATED}))"),
     "card_schemes": f"WITH d AS (SELECT rpad(['4', '51', '2720', '6011', '3528', '9'][(o_orderkey % 6 + 1)::INT] || o_custkey::VARCHAR, 16, '0') AS d FROM orders) SELECT {scheme_sql('d')} AS scheme, count(*) AS n FROM d GROUP BY 1",
@@ -140,5 +146,6 @@ SELECT stratum, tp, fp, fn, {prf()} FROM c""",
     "boundary_errors": f"WITH {GOLD} SELECT g.key, g.pii_type, g.s AS g_start, g.e AS g_end, p.s AS p_start, p.e AS p_end FROM g JOIN p ON g.key = p.key AND g.pii_type = p.pii_type AND {OVERLAP} AND NOT ({STRICT})",
     "stratified_sample": "SELECT o_orderkey::VARCHAR AS key, o_orderstatus AS stratum FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('20260925|' || o_orderkey::VARCHAR), o_orderkey::VARCHAR) <= CASE o_orderstatus WHEN 'F' THEN 40 WHEN 'O' THEN 45 ELSE 1000000000 END OR o_orderkey IN (1, 2)",
     "unknown_keys": f"WITH {GOLD} SELECT key, pii_type FROM g WHERE stratum = 'F'",
+    "nth_occurrence": "SELECT c_custkey, (list_filter(range(1, length(s)), lambda i: substr(s, i, 2) = '00')[3] - 1)::INT AS at FROM (SELECT c_custkey, c_name || c_mktsegment AS s FROM customer)",
     "topk_per_type": f"WITH {CLAIMS}, d AS (SELECT DISTINCT pii_type, text || doc_id AS text FROM c) SELECT pii_type, text, rank::INT AS rank FROM (SELECT pii_type, text, row_number() OVER (PARTITION BY pii_type ORDER BY length(text) DESC, text) AS rank FROM d) WHERE rank <= 14",
 }

@@ -18,13 +18,20 @@ from spanveil.operators.surrogates import replacements
 from spanveil.sources.store import keep
 
 
+def spread(segments: DataFrame) -> DataFrame:
+    """A table of few large row groups would run on few cores; deal it out.  Large tables
+    have more partitions than the cluster has cores and stay as they are."""
+    cores = segments.sparkSession.sparkContext.defaultParallelism
+    return segments.repartition(cores) if segments.rdd.getNumPartitions() <= cores else segments
+
+
 def pass_one(segments: DataFrame, config: Config = DEFAULT, seeding: bool = False) -> DataFrame:
     """Raw spans of all active detectors from one scan.  ``seeding`` keeps kinds that
     only feed the dictionary."""
     found = [d.build(config) for d in active(config)]
     if not found:
         return segments.sparkSession.createDataFrame([], "doc_id string, key string, start int, end int, text string, pii_type string, detector string, confidence double")
-    spans = segments.where("text is not null").select("doc_id", "key", F.explode(F.concat(*found)).alias("s")).select("doc_id", "key", "s.*")
+    spans = spread(segments.where("text is not null").select("doc_id", "key", "text", "column_header")).select("doc_id", "key", F.explode(F.concat(*found)).alias("s")).select("doc_id", "key", "s.*")
     return spans if seeding else spans.where(F.col("pii_type").isin(list(config.types)))
 
 
