@@ -22,13 +22,14 @@ def norm(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(folded, r"(?U)\s+", " ")))
 
 
-def matches(text: Column, pattern: str | Column, group: int | None = None, groups: int = 1) -> Column:
+def matches(text: Column, pattern: str | Column, group: int | None = None, groups: int = 1, guard: Column | None = None) -> Column:
     """All leftmost non-overlapping matches as (start, end, text), in code points.
 
     Sentinels are put around each match, or around one of ``groups`` consecutive
     groups that make up the pattern, and the text is split at them: odd pieces are the
-    matches, and the lengths before a piece add up to its start.  Stays in the JVM."""
-    clean = F.translate(text, BEGIN + END, "  ")
+    matches, and the lengths before a piece add up to its start.  Stays in the JVM.
+    ``guard`` is a cheap condition that every text with a match fulfils."""
+    clean = F.when(text.contains(BEGIN) | text.contains(END), F.translate(text, BEGIN + END, "  ")).otherwise(text)
     if isinstance(pattern, str):
         wrapped = F.lit(pattern if group else f"({pattern})")
     else:
@@ -42,7 +43,8 @@ def matches(text: Column, pattern: str | Column, group: int | None = None, group
         return F.struct((a["at"] + F.length(x)).alias("at"), (a["i"] + 1).alias("i"), F.when(a["i"] % 2 == 1, F.concat(a["out"], F.array(here))).otherwise(a["out"]).alias("out"))
 
     found = F.aggregate(pieces, zero, step, lambda a: a["out"])
-    return F.when(text.isNotNull() & F.regexp_like(clean, wrapped), found).otherwise(F.array().cast(MATCHES))
+    possible = text.isNotNull() if guard is None else text.isNotNull() & guard
+    return F.when(possible & F.regexp_like(clean, wrapped), found).otherwise(F.array().cast(MATCHES))
 
 
 def before(text: Column, start: Column, width: int) -> Column:

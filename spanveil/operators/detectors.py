@@ -90,9 +90,13 @@ CUE_NAME = rf"(?U)((?<!\w)(?:{any_of(L.PERSON_CUES)})\s*[:\-–]\s*)({NAME})"
 NAME_CUE = rf"(?U)(?<!\w){NAME}(?=\s*[,|]\s+(?:{any_of(L.PERSON_CUES)})\b)"
 
 
+def has_digit() -> Column:
+    return F.col("text").rlike("[0-9]")
+
+
 @register("email.regex", "EMAIL")
 def email(config: Config) -> Column:
-    return spans(matches(F.col("text"), EMAIL), "EMAIL", "email.regex", 1.0)
+    return spans(matches(F.col("text"), EMAIL, guard=F.col("text").contains("@")), "EMAIL", "email.regex", 1.0)
 
 
 def is_public_domain(host: Column) -> Column:
@@ -104,7 +108,7 @@ def is_public_domain(host: Column) -> Column:
 
 @register("url.regex", "URL")
 def url(config: Config) -> Column:
-    return spans(trimmed(matches(F.col("text"), URL), ".,;:!?)]}'\""), "URL", "url.regex", 1.0, lambda m: ~is_public_domain(host_of(m["text"])))
+    return spans(trimmed(matches(F.col("text"), URL, guard=F.col("text").contains("://") | F.lower(F.col("text")).contains("www.")), ".,;:!?)]}'\""), "URL", "url.regex", 1.0, lambda m: ~is_public_domain(host_of(m["text"])))
 
 
 def plausible_phone(m: Column) -> Column:
@@ -116,13 +120,13 @@ def plausible_phone(m: Column) -> Column:
 
 @register("phone.pattern", "PHONE")
 def phone(config: Config) -> Column:
-    parts = [(matches(F.col("text"), PHONE_CC), 0.97), (matches(F.col("text"), PHONE_TRUNK), 0.90), (matches(F.col("text"), PHONE_LABEL, 2, 2), 1.0)]
+    parts = [(matches(F.col("text"), PHONE_CC, guard=F.col("text").contains("+")), 0.97), (matches(F.col("text"), PHONE_TRUNK, guard=has_digit()), 0.90), (matches(F.col("text"), PHONE_LABEL, 2, 2, has_digit()), 1.0)]
     return F.concat(*[spans(x, "PHONE", "phone.pattern", c, plausible_phone) for x, c in parts])
 
 
 @register("ssn.pattern", "SSN")
 def ssn(config: Config) -> Column:
-    return F.concat(spans(matches(F.col("text"), SSN), "SSN", "ssn.pattern", 0.95), spans(matches(F.col("text"), SSN_LABELLED, 2, 2), "SSN", "ssn.pattern", 1.0))
+    return F.concat(spans(matches(F.col("text"), SSN, guard=has_digit()), "SSN", "ssn.pattern", 0.95), spans(matches(F.col("text"), SSN_LABELLED, 2, 2, has_digit()), "SSN", "ssn.pattern", 1.0))
 
 
 def luhn(text: Column) -> Column:
@@ -151,7 +155,7 @@ def card(config: Config) -> Column:
     strong = lambda m: m["text"].rlike("[ -]") | labelled(m)
     entropy = lambda m: (distinct_digits(m["text"]) >= 4) & ~digits(m["text"]).rlike(r"(\d)\1{5}")
     keep = lambda m: luhn(m["text"]) & card_scheme(m["text"]).isNotNull() & (strong(m) | (F.length(m["text"]).isin(15, 16) & entropy(m)))
-    return spans(matches(F.col("text"), CARD), "CREDIT_CARD", "credit_card.luhn", lambda m: F.when(strong(m), 1.0).otherwise(0.85), keep)
+    return spans(matches(F.col("text"), CARD, guard=has_digit()), "CREDIT_CARD", "credit_card.luhn", lambda m: F.when(strong(m), 1.0).otherwise(0.85), keep)
 
 
 def ip_allowed(m: Column) -> Column:
@@ -163,7 +167,7 @@ def ip_allowed(m: Column) -> Column:
 @register("ip.pattern", "IP_ADDRESS")
 def ip(config: Config) -> Column:
     v6 = lambda m: ip_allowed(m) & (F.length(m["text"]) > 2)
-    return F.concat(spans(matches(F.col("text"), IPV4), "IP_ADDRESS", "ip.pattern", 1.0, ip_allowed), spans(matches(F.col("text"), IPV6), "IP_ADDRESS", "ip.pattern", 0.95, v6))
+    return F.concat(spans(matches(F.col("text"), IPV4, guard=F.col("text").rlike("[0-9][.][0-9]")), "IP_ADDRESS", "ip.pattern", 1.0, ip_allowed), spans(matches(F.col("text"), IPV6, guard=F.col("text").contains("::") | F.col("text").rlike("(?:[0-9A-Fa-f]+:){2}")), "IP_ADDRESS", "ip.pattern", 0.95, v6))
 
 
 #: Identity documents: pattern, confidence, and the label that must stand before it (none: no label).
@@ -195,7 +199,7 @@ def national_id(config: Config) -> Column:
             good = aadhaar_ok(m["text"]) if kind == "aadhaar" else F.lit(True)
             return good & before(F.col("text"), m["start"], 45).rlike("(?i)" + label) if label else good
 
-        out.append(spans(matches(F.col("text"), rf"(?U)(?<![\w]){pattern}(?![\w])"), "NATIONAL_ID", "national_id.rules", confidence, lambda m, k=keep: k(m)))
+        out.append(spans(matches(F.col("text"), rf"(?U)(?<![\w]){pattern}(?![\w])", guard=has_digit()), "NATIONAL_ID", "national_id.rules", confidence, lambda m, k=keep: k(m)))
     header, cell = norm(F.col("column_header")), F.trim(F.col("text"))
     fits = F.lit(False)
     for label, kind in (("din|director identification number", "din"), ("pan|permanent account number", "pan"), ("cin", "cin"), ("aadhaar", "aadhaar")):
@@ -219,11 +223,11 @@ def plausible_year(text: Column, now: int) -> Column:
 @register("dob.contextual", "DOB")
 def dob(config: Config) -> Column:
     keep = lambda m: plausible_year(m["text"], config.current_year)
-    out = [spans(matches(F.col("text"), p, 2, 2), "DOB", "dob.contextual", 1.0, keep) for p in (DOB_LABEL, DOB_BORN)]
+    out = [spans(matches(F.col("text"), p, 2, 2, has_digit()), "DOB", "dob.contextual", 1.0, keep) for p in (DOB_LABEL, DOB_BORN)]
     if config.dob_mode == "contextual":
         cues = matches(F.col("text"), BIRTH_CUE)
         near = lambda m: keep(m) & F.exists(cues, lambda c: F.abs(c["start"] - m["start"]) <= 60)
-        out.append(spans(matches(F.col("text"), rf"(?Ui)(?<![\w/]){DATE}(?![\w/])"), "DOB", "dob.contextual", 0.6, near))
+        out.append(spans(matches(F.col("text"), rf"(?Ui)(?<![\w/]){DATE}(?![\w/])", guard=has_digit()), "DOB", "dob.contextual", 0.6, near))
     return F.concat(*out)
 
 
