@@ -24,11 +24,11 @@ def lower_ascii(text: Column) -> Column:
 
 def terms_of(text: Column) -> Column:
     """Array of words; a null text has none."""
-    return F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD), "")
 
 
 def count_terms(text: Column) -> Column:
-    pattern = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    pattern = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"  # the class of NOT_WORD's complement; twice as fast as its negation
     return F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)).cast("long")
 
 
