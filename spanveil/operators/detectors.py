@@ -159,7 +159,7 @@ def card(config: Config) -> Column:
 
 
 def ip_allowed(m: Column) -> Column:
-    cue = before(F.col("text"), m["start"], 14).rlike(r"(?i)(?:version|ver\.?|\bv|clause|section|para(?:graph)?|schedule|standard|release|rule|article)\s*$")
+    cue = before(F.col("text"), m["start"], 14).rlike(r"(?i)\b(?:version|ver\.?|v|clause|section|para(?:graph)?|schedule|standard|release|rule|article)\s*$")
     unit = after(F.col("text"), m["end"], 16).rlike(r"(?i)^\s*(?:%|million|crore|lakh|kg|mm|km|months?|years?|days?)")
     return ~cue & ~unit
 

@@ -134,6 +134,31 @@ def entity_surrogates(entities: DataFrame, config: Config) -> DataFrame:
     return ranked.withColumn("surrogate", F.when(norm(made) == norm(text), F.concat(made, F.lit(" II"))).otherwise(made)).drop("rank")
 
 
+def squash(text: Column) -> Column:
+    """Letters and digits of a name without its legal suffix."""
+    return F.regexp_replace(F.lower(F.regexp_replace(text, rf"(?U)(?:\s+(?:{any_of(L.ORG_SUFFIXES)}))+$", "")), "[^a-z0-9]", "")
+
+
+def tie_mail(named: DataFrame) -> DataFrame:
+    """Addresses of known people and companies follow their surrogates: the local part is the
+    person's, the domain the company's.  People are met by the name that the local
+    part hints at; companies in a prefix join, bucketed by the first three letters,
+    where the longest common name wins."""
+    from spanveil.operators.detectors import name_hint
+
+    mail = named.where("pii_type = 'EMAIL'").withColumn("hint", norm(name_hint(F.substring_index("canonical_text", "@", 1)))).withColumn("stem", F.regexp_replace(F.regexp_extract("canonical_text", r"@(?:.*\.)?([A-Za-z0-9\-]+)\.[A-Za-z]+$", 1), "-", ""))
+    people = named.where("pii_type = 'PERSON'").select(F.col("scope").alias("ps"), F.col("canonical_key").alias("pk"), F.lower(F.regexp_replace("surrogate", r"[^\p{L}\d]+", ".")).alias("local"))
+    firms = named.where("pii_type = 'ORGANIZATION'").select(F.col("scope").alias("os"), squash(F.col("canonical_text")).alias("name"), squash(F.col("surrogate")).alias("host"))
+    met = mail.join(people, (F.col("scope") == F.col("ps")) & (F.col("hint") == F.col("pk")), "left")
+    near = (F.col("scope") == F.col("os")) & (F.substring("stem", 1, 3) == F.substring("name", 1, 3)) & (F.col("stem").startswith(F.col("name")) | F.col("name").startswith(F.col("stem"))) & (F.length("stem") >= 3)
+    best = met.join(firms, near).groupBy("scope", "canonical_key").agg(F.max_by("host", F.struct(F.least(F.length("name"), F.length("stem")), "host")).alias("host"))
+    tied = met.join(best, ["scope", "canonical_key"], "left")
+    local = F.coalesce("local", F.substring_index("surrogate", "@", 1))
+    host = F.coalesce(F.concat("host", F.lit(".example")), F.lit("example.com"))
+    out = tied.withColumn("surrogate", F.concat(local, F.lit("@"), host))
+    return named.where("pii_type <> 'EMAIL'").unionByName(out.select(*named.columns))
+
+
 def part_of(part: Column, whole: Column, fake: Column) -> Column:
     """The words of the surrogate where the part's words stand in the whole; else all of it."""
     split = lambda x: F.split(F.trim(x), r"(?U)\s+")
@@ -152,7 +177,7 @@ def replacements(spans: DataFrame, gazetteer: DataFrame, config: Config) -> Data
     s = s.join(names, (F.col("scope") == F.col("gs")) & (F.col("norm_key") == F.col("gk")), "left").withColumn("canonical_key", F.coalesce("canonical_key", "norm_key")).drop("gs", "gk")
     s = s.join(texts, (F.col("scope") == F.col("ts")) & (F.col("canonical_key") == F.col("tk")), "left").drop("ts", "tk")
     entities = s.groupBy("scope", "pii_type", "canonical_key").agg(F.coalesce(F.max("canonical_surface"), F.max("text")).alias("canonical_text"))
-    named = entity_surrogates(entities, config)
+    named = tie_mail(entity_surrogates(entities, config))
     out = s.drop("canonical_surface").join(named, ["scope", "pii_type", "canonical_key"])
     whole = F.when(F.col("norm_key") != F.col("canonical_key"), part_of(F.col("text"), F.col("canonical_text"), F.col("surrogate"))).otherwise(F.col("surrogate"))
     cased = F.when(F.col("pii_type").isin("PERSON", "ORGANIZATION", "ADDRESS") & (case_style(F.col("text")) != case_style(F.col("canonical_text"))), match_case(whole, F.col("text"))).otherwise(whole)

@@ -20,7 +20,7 @@ DOC = "doc_id::VARCHAR"
 EMAIL = ("(^|[^\\pL\\pN_.+\\x01\\-])", "[A-Za-z0-9](?:[A-Za-z0-9._%+\\-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\\-]{0,61}[A-Za-z0-9])?\\.)+[A-Za-z]{2,24}", "($|[^\\pL\\pN_\\-])")
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP_KEEP = (
-    "NOT regexp_matches(t[greatest(start_at - 13, 1):start_at], '(?i)(version|ver\\.?|\\bv|clause|section|para(graph)?|schedule|standard|release|rule|article)\\s*$') "
+    "NOT regexp_matches(t[greatest(start_at - 13, 1):start_at], '(?i)\\b(version|ver\\.?|v|clause|section|para(graph)?|schedule|standard|release|rule|article)\\s*$') "
     "AND NOT regexp_matches(t[start_at + length(value) + 1:start_at + length(value) + 16], '(?i)^\\s*(%|million|crore|lakh|kg|mm|km|months?|years?|days?)')"
 )
 DIGITS = "regexp_replace(value, '[^0-9]', '', 'g')"
@@ -147,5 +147,7 @@ SELECT stratum, tp, fp, fn, {prf()} FROM c""",
     "stratified_sample": "SELECT o_orderkey::VARCHAR AS key, o_orderstatus AS stratum FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('20260925|' || o_orderkey::VARCHAR), o_orderkey::VARCHAR) <= CASE o_orderstatus WHEN 'F' THEN 40 WHEN 'O' THEN 45 ELSE 1000000000 END OR o_orderkey IN (1, 2)",
     "unknown_keys": f"WITH {GOLD} SELECT key, pii_type FROM g WHERE stratum = 'F'",
     "nth_occurrence": "SELECT c_custkey, (list_filter(range(1, length(s)), lambda i: substr(s, i, 2) = '00')[3] - 1)::INT AS at FROM (SELECT c_custkey, c_name || c_mktsegment AS s FROM customer)",
+    "synthetic_scores": "SELECT 'MICRO' AS pii_type, 20::BIGINT AS tp, 0::BIGINT AS fp, 0::BIGINT AS fn, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall, 1.0::DOUBLE AS f1",
+    "ner_people": made(NAME, "'Signed by Mr. '"),
     "topk_per_type": f"WITH {CLAIMS}, d AS (SELECT DISTINCT pii_type, text || doc_id AS text FROM c) SELECT pii_type, text, rank::INT AS rank FROM (SELECT pii_type, text, row_number() OVER (PARTITION BY pii_type ORDER BY length(text) DESC, text) AS rank FROM d) WHERE rank <= 14",
 }

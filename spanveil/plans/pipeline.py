@@ -15,6 +15,7 @@ from spanveil.operators.gazetteer import build, sweep
 from spanveil.operators.resolve import resolve
 from spanveil.operators.rewrite import leaks, redact as rewrite_text
 from spanveil.operators.surrogates import replacements
+from spanveil.sources.ner import ner_spans
 from spanveil.sources.store import keep
 
 
@@ -44,10 +45,13 @@ class Detection:
     spans: DataFrame
 
 
-def detect(segments: DataFrame, config: Config = DEFAULT) -> Detection:
+def detect(segments: DataFrame, config: Config = DEFAULT, ner: DataFrame | None = None) -> Detection:
     """Pass 1, the dictionary, pass 2 and resolution.  The text is scanned once for pass 1
-    and once, where its scope has entries, for pass 2."""
-    first = keep(pass_one(segments, config, seeding=True), "pass-one")  # spans only: small beside the text
+    and once, where its scope has entries, for pass 2.  ``ner``: entities of a model, if any."""
+    spans = pass_one(segments, config, seeding=True)
+    if ner is not None:
+        spans = spans.unionByName(ner_spans(ner, segments))
+    first = keep(spans, "pass-one")  # spans only: small beside the text
     gazetteer = keep(build(first, segments, config), "gazetteer") if config.sweep else build(first, segments, config)
     raw = first
     if config.sweep:

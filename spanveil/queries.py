@@ -17,7 +17,9 @@ from spanveil.operators import rewrite as W
 from spanveil.operators import scanning as S
 from spanveil.operators import surrogates as Z
 from spanveil.plans import pipeline as P
+from spanveil.sources import corpus
 from spanveil.sources import segments as I
+from spanveil.sources.ner import ner_spans
 from spanveil.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -473,3 +475,18 @@ def nth_occurrence(spark, sf):
 @query
 def topk_per_type(spark, sf):
     return E.top_per_type(claims(spark, sf).select("pii_type", F.concat("text", "doc_id").alias("text")))
+
+
+@query
+def synthetic_scores(spark, sf):
+    """The engine against the labelled synthetic corpus."""
+    seg, gold = corpus.load(spark)
+    wanted = F.col("pii_type").isin("SSN", "CREDIT_CARD", "DOB", "IP_ADDRESS", "EMAIL", "PHONE")
+    return E.scores(gold, P.detect(seg).spans.where(wanted), "strict").where("pii_type = 'MICRO'")
+
+
+@query
+def ner_people(spark, sf):
+    seg = order_texts(spark, sf, NAME_TEXT())
+    model = seg.select("doc_id", "key", F.lit(14).alias("start"), F.lit(40).alias("end"), F.substring("text", 15, 26).alias("text"), F.lit("PERSON").alias("label"))
+    return ner_spans(model, seg).select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), F.col("text").alias("value"))

@@ -14,7 +14,7 @@ from spanveil.operators.detectors import luhn
 from spanveil.operators.gazetteer import sweep_ngrams
 from spanveil.operators.surrogates import entity_surrogates
 from spanveil.plans.pipeline import detect, pass_one, redact, summary
-from spanveil.sources import docx
+from spanveil.sources import corpus, docx, reports
 from spanveil.sources.segments import run_offsets
 from spanveil.streaming.stream import detect_stream
 
@@ -176,3 +176,22 @@ def test_entry_without_training_data_operators(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "email_spans" in e.queries()
+
+
+def test_mail_follows_its_person_and_firm(spark):
+    run = redact(segments(spark, ["Mr. Orin Zelkova of Quorvex Dynamics Private Limited", "Write to orin.zelkova@quorvexdynamics.com"]))
+    got = {r["pii_type"]: r["surrogate"] for r in run.replaced.where("detector <> 'gazetteer.sweep'").collect()}
+    assert got["EMAIL"].split("@")[0] == got["PERSON"].lower().replace(" ", ".")
+    assert got["EMAIL"].split("@")[1] == got["ORGANIZATION"].replace(" Private Limited", "").lower().replace(" ", "") + ".example"
+
+
+def test_reports(spark, tmp_path):
+    df = spark.createDataFrame([('a "quoted"\nline', 1)], "original string, n int")
+    reports.write_csv(df, str(tmp_path / "m"))
+    assert reports.read_csv(spark, str(tmp_path / "m")).first()["original"] == 'a "quoted"\nline'
+    seg, gold = corpus.load(spark)
+    scores = E.scores(gold, gold, "strict")
+    assert '"f1":1.0' in reports.metrics_json(scores).first()["metrics"]
+    assert "</script>" in reports.dashboard(E.top_per_type(gold), scores)
+    rows = reports.corpus_of(seg.select("key", "text"), gold)
+    assert rows.count() == len(corpus.CASES) and rows.where("size(spans) = 0").count() == sum(not v for _, v in corpus.CASES)
