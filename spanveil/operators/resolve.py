@@ -70,12 +70,14 @@ def resolve(spans: DataFrame, config: Config) -> DataFrame:
 
 
 def resolution_stats(spans: DataFrame, config: Config) -> DataFrame:
-    """One row of counters over the corpus."""
+    """One row of counters over the corpus: spans that came in, fell below the floor, were
+    merged, were contained in or cut away by others, were shortened, and went out."""
     kept = confidence_floor(spans, config.min_confidence)
     merged, final = merge_duplicates(kept), resolve(spans, config)
     count = lambda df, name: df.agg(F.count("*").alias(name))
-    out = count(spans, "n_input").crossJoin(count(kept, "n_kept")).crossJoin(count(merged, "n_merged")).crossJoin(count(final, "n_output"))  # one row each
-    return out.select("n_input", (F.col("n_input") - F.col("n_kept")).alias("n_low_confidence"), (F.col("n_kept") - F.col("n_merged")).alias("n_duplicates"), (F.col("n_merged") - F.col("n_output")).alias("n_contained"), "n_output")
+    cut = final.join(merged, [*KEY, "start", "end", "pii_type"], "left_anti")
+    out = count(spans, "n_input").crossJoin(count(kept, "n_kept")).crossJoin(count(merged, "n_merged")).crossJoin(count(final, "n_output")).crossJoin(count(cut, "n_truncated"))  # one row each
+    return out.select("n_input", (F.col("n_input") - F.col("n_kept")).alias("n_low_confidence"), (F.col("n_kept") - F.col("n_merged")).alias("n_duplicates"), (F.col("n_merged") - F.col("n_output")).alias("n_dropped"), "n_truncated", "n_output")
 
 
 def overlapping(spans: DataFrame) -> DataFrame:
