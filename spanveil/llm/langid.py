@@ -27,11 +27,17 @@ LONGEST = 20_000
 SYMBOLS = 64
 CHUNK = 1 << 18
 LETTER = re.compile(r"[^\W\d_]")
+DIGIT = re.compile(r"[0-9]")
 NONE = "und"
 
 
 def plain(text: str) -> bytes:
-    """Lower-cased bytes; ASCII other than letters counts as a blank."""
+    """Lower-cased bytes; ASCII other than letters counts as a blank.  So do words with a
+    digit (keys, numbers, codes), which speak for no language, unless no letter stands
+    outside them."""
+    if DIGIT.search(text):
+        rest = " ".join(w for w in text.split() if not DIGIT.search(w))
+        text = rest if LETTER.search(rest) else text
     return text.lower().encode("utf-8", "replace").translate(bytes(b if b > 127 or 97 <= b <= 122 else 32 for b in range(256)))
 
 
