@@ -12,8 +12,8 @@ from spanveil.llm import decontam, langid, mixing, sharding, simhash
 from spanveil.llm.common import cut, table, with_key
 
 #: A text that costs more bits a byte than this under every language is not language:
-#: an even guess costs 6, clean text of a known language about 2.
-REJECT_BITS = 5.9
+#: an even guess costs 6 and random letters more, clean text of a known language about 2.
+REJECT_BITS = 7.0
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
