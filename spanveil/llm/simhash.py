@@ -3,7 +3,10 @@
 Fingerprints go to tables by some of their bits; within a bucket, differences are
 laid out as bit planes, one machine word holding one bit of 64 pairs, and carry-save
 counters add up all distances at once.  Blocks of 64 pairs are given up as soon as
-all of them exceed the radius."""
+all of them exceed the radius.
+
+For a similarity, fingerprints only propose: pairs that differ in few bits are taken,
+pairs that differ in some more are compared by their sets of shingles."""
 
 from __future__ import annotations
 
@@ -28,6 +31,11 @@ WIDTH, RADIUS = 3, 2
 SIMILAR_WIDTH, SIMILARITY, LANES = 5, 0.8, 4
 SMALL = 64
 CHUNK = 1 << 18
+#: Standard deviations of the number of differing bits: so many below what is expected at
+#: the similarity a pair is taken without comparing its shingles, so many above it is left.
+SURE, UNLIKELY = 4.0, 2.5
+#: Members near a centre that the doubtful ones around it are compared with as well.
+WITNESSES = 64
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -137,12 +145,19 @@ def small_links(prints: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np
     return np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
 
 
-def large_links(prints: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
+def distances(x: np.ndarray) -> np.ndarray:
+    """Differing bits of the pairs whose XORed fingerprints are the rows of x."""
+    return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
+
+
+def large_links(prints: np.ndarray, radius: int, sure: int | None = None) -> tuple[list[int], list[int]]:
     """Links that connect what all pairs of one large bucket would connect.
 
     All within the radius of a centre hang on it and need not be compared with each
     other.  What is farther can only be near one of them if it is within twice the
-    radius of the centre, and only that is compared, first as a whole."""
+    radius of the centre, and only that is compared, first as a whole.  Where links of
+    more than ``sure`` bits are yet to be verified, their members get a second link, to
+    the nearest of the centre's closest members."""
     left: list[int] = []
     right: list[int] = []
     rest = np.arange(len(prints))
@@ -153,17 +168,29 @@ def large_links(prints: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
         own = rest[near]
         left += [int(centre)] * len(own)
         right += own.tolist()
+        if sure is not None and len(own) > 1:
+            away = distances(x[near])
+            witness = own[np.argsort(away, kind="stable")[:WITNESSES]]
+            doubtful = own[away > sure]
+            for at in range(0, len(doubtful), 4096):
+                part = doubtful[at : at + 4096]
+                d = distances(prints[part][:, None, :] ^ prints[witness][None, :, :])
+                d[part[:, None] == witness[None, :]] = 1 << 20
+                left += witness[d.argmin(axis=1)].tolist()
+                right += part.tolist()
         between = rest[~near & within(x, 2 * radius)] if len(own) else rest[:0]
         for j in between:
-            found = np.flatnonzero(within(prints[own] ^ prints[j], radius))[:1]
-            left += own[found].tolist()
-            right += [int(j)] * len(found)
+            y = prints[own] ^ prints[j]
+            found = np.flatnonzero(within(y, radius))
+            if len(found):
+                left.append(int(own[found[distances(y[found]).argmin()]]))
+                right.append(int(j))
         rest = rest[~near]
     return left, right
 
 
-def bucket_links(batches: Iterator[pa.RecordBatch], lanes: int, radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, node, f0..) sorted by bucket -> links (a, b) of nodes."""
+def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, sure: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, node, f0..) sorted by bucket -> links (a, b, d) of nodes, d bits apart."""
     held: list[np.ndarray] = []
 
     def solve(rows: np.ndarray) -> pa.RecordBatch:
@@ -173,12 +200,14 @@ def bucket_links(batches: Iterator[pa.RecordBatch], lanes: int, radius: int) ->
         each = np.repeat(size, size)
         pick = np.flatnonzero((each > 1) & (each <= SMALL))
         i, j = small_links(prints[pick], bucket[pick], radius)
-        a, b = [node[pick[i]]], [node[pick[j]]]
+        a, b = [pick[i]], [pick[j]]
         for k in np.flatnonzero(size > SMALL):
-            i, j = large_links(prints[edge[k] : edge[k + 1]], radius)
-            a.append(node[edge[k] + np.array(i, np.int64)])
-            b.append(node[edge[k] + np.array(j, np.int64)])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+            i, j = large_links(prints[edge[k] : edge[k + 1]], radius, sure)
+            a.append(edge[k] + np.array(i, np.int64))
+            b.append(edge[k] + np.array(j, np.int64))
+        a, b = np.concatenate(a), np.concatenate(b)
+        d = distances(prints[a] ^ prints[b]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(d)], names=["a", "b", "d"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -227,27 +256,78 @@ def sampled_tables(lanes: int, similarity: float, nodes: int, recall: float = 0.
     return keys
 
 
-def link(nodes: DataFrame, tables: list[Column], lanes: int, radius: int) -> DataFrame:
-    """``node, f0, ..`` -> links ``a, b``.  Buckets are sorted, not collected; nodes are
+def link(nodes: DataFrame, tables: list[Column], lanes: int, radius: int, sure: int | None = None) -> DataFrame:
+    """``node, f0, ..`` -> links ``a, b, d``.  Buckets are sorted, not collected; nodes are
     distinct fingerprints, so exact copies never meet here."""
     names = [f"f{i}" for i in range(lanes)]
     rows = nodes.select(F.explode(F.array(*tables)).alias("bucket"), "node", *names)
     near = rows.repartition("bucket").sortWithinPartitions("bucket")
-    return near.mapInArrow(lambda batches: bucket_links(batches, lanes, radius), "a long, b long")
+    return near.mapInArrow(lambda batches: bucket_links(batches, radius, sure), "a long, b long, d int")
 
 
-def group(prints: DataFrame, lanes: int, radius: int, similarity: float | None) -> DataFrame:
-    """``id, f0, ..`` -> ``node, f0, .., root``: distinct fingerprints and their component."""
-    names = [f"f{i}" for i in range(lanes)]
-    node = F.col("f0") if lanes == 1 else F.xxhash64(*names)
-    nodes = prints.select(*names).distinct().select(node.alias("node"), *names)
-    if similarity is None:
-        tables = exact_tables(radius)
-    else:
-        nodes = cut(nodes, "nodes")
-        tables = sampled_tables(lanes, similarity, nodes.count())
-    roots = components(link(nodes, tables, lanes, radius))
-    return nodes.join(roots, "node", "left").select("node", *names, F.coalesce("root", "node").alias("root"))
+def group(prints: DataFrame, radius: int) -> DataFrame:
+    """``id, f0`` -> ``f0, node, root``: distinct fingerprints and their component."""
+    nodes = prints.select("f0").distinct().select(F.col("f0").alias("node"), "f0")
+    roots = components(link(nodes, exact_tables(radius), 1, radius))
+    return nodes.join(roots, "node", "left").select("node", "f0", F.coalesce("root", "node").alias("root"))
+
+
+def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+    """``node, text`` -> ``node, shingles``: the distinct hashes, sorted, as bytes."""
+    def part(batches):
+        for batch in rows_of(batches):
+            sets = [np.unique(shingle_hashes(t.as_py(), width)).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return rows.mapInArrow(part, "node long, shingles binary")
+
+
+def alike(x: bytes, y: bytes, similarity: float) -> bool:
+    """Whether two sets have at least that Jaccard similarity; two empty ones do."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``a, b`` of pairs whose shingle sets are alike.  Every pair carries its two sets."""
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
+
+    def part(batches):
+        for batch in rows_of(batches):
+            good = [alike(x.as_py(), y.as_py(), similarity) for x, y in zip(batch.column("a_set"), batch.column("b_set"), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return rows.mapInArrow(part, "a long, b long")
+
+
+def apart(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """``a, b, d, ra, rb``: the links whose ends have different roots, and these."""
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    rows = links.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return rows.select("a", "b", "d", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
+
+
+def settle(links: DataFrame, sure: int, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Candidates ``a, b, d`` -> ``node, root`` over the sure and the verified ones.
+
+    A doubtful link inside a component changes nothing.  Of the others, the nearest
+    of each component is verified first; what it joins saves its further links,
+    and all that still lie between components then are verified too."""
+    roots = cut(components(links.where(F.col("d") <= sure)), "roots")
+    doubtful = links.where(F.col("d") > sure)
+    ends = apart(doubtful, roots).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = cut(shingle_sets(texts.join(ends, "node", "left_semi"), width), "sets")
+    for best in (True, False):
+        open_ = apart(doubtful, roots)
+        if best:
+            each = open_.select(F.explode(F.array("ra", "rb")).alias("r"), F.struct("d", "a", "b").alias("l"))
+            open_ = each.groupBy("r").agg(F.min("l").alias("l")).select("l.a", "l.b").distinct()
+        found = verify(open_.select("a", "b"), sets, similarity)
+        joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found)
+        roots = cut(components(joined), "roots")
+    return roots
 
 
 def classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
@@ -255,7 +335,7 @@ def classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFr
     smallest doc_id of its component (null if all in it are null).  Null and empty
     texts have fingerprint zero and are linked like any other."""
     prints = cut(fingerprints(docs, width, 1, ("doc_id",)), "prints")
-    roots = group(prints, 1, radius, None)
+    roots = group(prints, radius)
     least = prints.groupBy("f0").agg(F.min("doc_id").alias("least"))
     named = roots.join(least, "f0")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -263,18 +343,29 @@ def classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFr
     return prints.join(by_print, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def margins(lanes: int, similarity: float) -> tuple[int, int]:
+    """Bits up to which a pair is surely at least this similar, and beyond which it hardly is."""
+    share = flip(similarity)
+    expected, deviation = 64 * lanes * share, math.sqrt(64 * lanes * share * (1 - share))
+    return int(expected - SURE * deviation), int(expected + UNLIKELY * deviation)
+
+
 def keep_one(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY, lanes: int = LANES) -> DataFrame:
     """``docs`` without near-duplicates: of every group, the document of the smallest id
-    stays.  Documents are linked if their fingerprints differ in no more bits than
-    sets of that similarity do, up to 1.65 standard deviations.  ``docs`` is a table, so
-    that its rows are numbered alike each time they are read."""
-    share = flip(similarity)
-    radius = int(64 * lanes * share + 1.65 * math.sqrt(64 * lanes * share * (1 - share)))
+    stays.  Documents are linked if their sets of shingles have that similarity;
+    fingerprints find the pairs and decide where they leave no doubt.  Texts without
+    words are copies of each other.  ``docs`` is a table, so that its rows are numbered
+    alike each time they are read."""
+    sure, radius = margins(lanes, similarity)
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     names = [f"f{i}" for i in range(lanes)]
-    prints = cut(fingerprints(numbered, width, lanes, ("__row", "doc_id")), "prints")
-    roots = group(prints, lanes, radius, similarity)
+    prints = fingerprints(numbered, width, lanes, ("__row", "doc_id"))
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(1 << 62)).alias("doc_id"), "__row"))
-    by_print = prints.groupBy(*names).agg(first.alias("first")).join(roots, names)
-    stay = by_print.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
+    nodes = cut(prints.groupBy(*names).agg(first.alias("first")).select(F.xxhash64(*names).alias("node"), *names, "first"), "nodes")
+    tables = sampled_tables(lanes, similarity, nodes.count())
+    found = link(nodes.select("node", *names), tables, lanes, radius, sure)
+    links = cut(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d")), "candidates")
+    texts = numbered.select("__row", "text").join(nodes.select("node", F.col("first.__row").alias("__row")), "__row").select("node", "text")
+    roots = settle(links, sure, texts, width, similarity)
+    stay = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
     return numbered.join(stay, "__row", "left_semi").drop("__row")
