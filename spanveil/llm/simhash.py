@@ -34,7 +34,7 @@ CHUNK = 1 << 18
 #: Standard deviations of the number of differing bits: so many below what is expected at
 #: the similarity a pair is taken without comparing its shingles, so many above it is left.
 SURE, UNLIKELY = 4.0, 2.5
-#: Members near a centre that the doubtful ones around it are compared with as well.
+#: Members closest to a centre, which the others around it are compared with as well.
 WITNESSES = 64
 
 
@@ -150,14 +150,34 @@ def distances(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
 
 
-def large_links(prints: np.ndarray, radius: int, sure: int | None = None) -> tuple[list[int], list[int]]:
+def forest(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which links make a minimum spanning forest.  It connects, at every number of bits,
+    what all links up to that number connect, with fewer links than nodes."""
+    root: dict[int, int] = {}
+
+    def top(a: int) -> int:
+        while (b := root.get(a, a)) != a:
+            root[a] = a = root.get(b, b)
+        return a
+
+    keep = []
+    order = np.argsort(d, kind="stable")
+    for k, a, b in zip(order.tolist(), i[order].tolist(), j[order].tolist(), strict=True):
+        a, b = top(a), top(b)
+        if a != b:
+            root[a] = b
+            keep.append(k)
+    return np.array(keep, np.int64)
+
+
+def large_links(prints: np.ndarray, radius: int, nearest: bool = False) -> tuple[list[int], list[int]]:
     """Links that connect what all pairs of one large bucket would connect.
 
     All within the radius of a centre hang on it and need not be compared with each
     other.  What is farther can only be near one of them if it is within twice the
-    radius of the centre, and only that is compared, first as a whole.  Where links of
-    more than ``sure`` bits are yet to be verified, their members get a second link, to
-    the nearest of the centre's closest members."""
+    radius of the centre, and only that is compared, first as a whole.  With ``nearest``,
+    for links that are yet to be verified, a member hangs on the nearest of the centre
+    and its closest members before it; that is a tree too."""
     left: list[int] = []
     right: list[int] = []
     rest = np.arange(len(prints))
@@ -166,18 +186,17 @@ def large_links(prints: np.ndarray, radius: int, sure: int | None = None) -> tup
         x = prints[rest] ^ prints[centre]
         near = within(x, radius)
         own = rest[near]
-        left += [int(centre)] * len(own)
-        right += own.tolist()
-        if sure is not None and len(own) > 1:
-            away = distances(x[near])
-            witness = own[np.argsort(away, kind="stable")[:WITNESSES]]
-            doubtful = own[away > sure]
-            for at in range(0, len(doubtful), 4096):
-                part = doubtful[at : at + 4096]
+        hung = np.full(len(own), centre)
+        if nearest and len(own) > 1:
+            own = own[np.argsort(distances(x[near]), kind="stable")]
+            witness = np.concatenate([[centre], own[:WITNESSES]])
+            for at in range(0, len(own), CHUNK >> 6):
+                part = own[at : at + (CHUNK >> 6)]
                 d = distances(prints[part][:, None, :] ^ prints[witness][None, :, :])
-                d[part[:, None] == witness[None, :]] = 1 << 20
-                left += witness[d.argmin(axis=1)].tolist()
-                right += part.tolist()
+                d[np.arange(len(witness))[None, :] > np.arange(at, at + len(part))[:, None]] = 1 << 20
+                hung[at : at + len(part)] = witness[d.argmin(axis=1)]
+        left += hung.tolist()
+        right += own.tolist()
         between = rest[~near & within(x, 2 * radius)] if len(own) else rest[:0]
         for j in between:
             y = prints[own] ^ prints[j]
@@ -189,7 +208,7 @@ def large_links(prints: np.ndarray, radius: int, sure: int | None = None) -> tup
     return left, right
 
 
-def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, sure: int | None) -> Iterator[pa.RecordBatch]:
+def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, nearest: bool) -> Iterator[pa.RecordBatch]:
     """Rows (bucket, node, f0..) sorted by bucket -> links (a, b, d) of nodes, d bits apart."""
     held: list[np.ndarray] = []
 
@@ -200,9 +219,12 @@ def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, sure: int | Non
         each = np.repeat(size, size)
         pick = np.flatnonzero((each > 1) & (each <= SMALL))
         i, j = small_links(prints[pick], bucket[pick], radius)
+        if nearest:
+            tree = forest(i, j, distances(prints[pick[i]] ^ prints[pick[j]]))
+            i, j = i[tree], j[tree]
         a, b = [pick[i]], [pick[j]]
         for k in np.flatnonzero(size > SMALL):
-            i, j = large_links(prints[edge[k] : edge[k + 1]], radius, sure)
+            i, j = large_links(prints[edge[k] : edge[k + 1]], radius, nearest)
             a.append(edge[k] + np.array(i, np.int64))
             b.append(edge[k] + np.array(j, np.int64))
         a, b = np.concatenate(a), np.concatenate(b)
@@ -256,13 +278,13 @@ def sampled_tables(lanes: int, similarity: float, nodes: int, recall: float = 0.
     return keys
 
 
-def link(nodes: DataFrame, tables: list[Column], lanes: int, radius: int, sure: int | None = None) -> DataFrame:
+def link(nodes: DataFrame, tables: list[Column], lanes: int, radius: int, nearest: bool = False) -> DataFrame:
     """``node, f0, ..`` -> links ``a, b, d``.  Buckets are sorted, not collected; nodes are
     distinct fingerprints, so exact copies never meet here."""
     names = [f"f{i}" for i in range(lanes)]
     rows = nodes.select(F.explode(F.array(*tables)).alias("bucket"), "node", *names)
     near = rows.repartition("bucket").sortWithinPartitions("bucket")
-    return near.mapInArrow(lambda batches: bucket_links(batches, radius, sure), "a long, b long, d int")
+    return near.mapInArrow(lambda batches: bucket_links(batches, radius, nearest), "a long, b long, d int")
 
 
 def group(prints: DataFrame, radius: int) -> DataFrame:
@@ -363,7 +385,7 @@ def keep_one(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SI
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(1 << 62)).alias("doc_id"), "__row"))
     nodes = cut(prints.groupBy(*names).agg(first.alias("first")).select(F.xxhash64(*names).alias("node"), *names, "first"), "nodes")
     tables = sampled_tables(lanes, similarity, nodes.count())
-    found = link(nodes.select("node", *names), tables, lanes, radius, sure)
+    found = link(nodes.select("node", *names), tables, lanes, radius, nearest=True)
     links = cut(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d")), "candidates")
     texts = numbered.select("__row", "text").join(nodes.select("node", F.col("first.__row").alias("__row")), "__row").select("node", "text")
     roots = settle(links, sure, texts, width, similarity)

@@ -251,13 +251,22 @@ def test_near_copies_equal_exact_similarity(spark):
     assert {500, 502, 504} <= got and not {501, 503} & got
 
 
-def test_doubtful_members_get_a_witness():
+def test_nearest_links_are_trees():
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 2**63, size=4).astype(np.uint64)
     noise = lambda n: np.packbits(rng.permutation(np.arange(256) < n)).view(np.uint64)
     prints = np.array([centre] + [centre ^ noise(30) for _ in range(200)], np.uint64)
-    left, right = simhash.large_links(prints, 53, 16)
-    assert Counter(right) == {i: 2 for i in range(1, 201)} and all(a != b for a, b in zip(left, right, strict=True))
+    left, right = simhash.large_links(prints, 53, nearest=True)
+    assert sorted(right) == list(range(1, 201)) and len(set(groups(201, zip(left, right, strict=True)))) == 1
+    assert all(simhash.distances(prints[a] ^ prints[b]) <= 30 for a, b in zip(left, right, strict=True))
+    i, j = (np.array(x) for x in zip(*[(a, b) for a in range(60) for b in range(a)], strict=True))
+    d = simhash.distances(prints[i] ^ prints[j])
+    tree = simhash.forest(i, j, d)
+    assert len(tree) == 59
+    for bits in range(20, 60, 5):
+        few = [k for k in tree if d[k] <= bits]
+        every = np.flatnonzero(d <= bits)
+        assert same_partition(groups(60, zip(i[few], j[few], strict=True)), groups(60, zip(i[every], j[every], strict=True)))
 
 
 # --- lines, suffixes
