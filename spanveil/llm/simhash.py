@@ -5,8 +5,8 @@ laid out as bit planes, one machine word holding one bit of 64 pairs, and carry-
 counters add up all distances at once.  Blocks of 64 pairs are given up as soon as
 all of them exceed the radius.
 
-For a similarity, fingerprints only propose: pairs that differ in few bits are taken,
-pairs that differ in some more are compared by their sets of shingles."""
+For a similarity, fingerprints only propose: every pair is compared by its sets of
+shingles, and only texts of equal sets are one node."""
 
 from __future__ import annotations
 
@@ -31,9 +31,8 @@ WIDTH, RADIUS = 3, 2
 SIMILAR_WIDTH, SIMILARITY, LANES = 5, 0.8, 4
 SMALL = 64
 CHUNK = 1 << 18
-#: Standard deviations of the number of differing bits: so many below what is expected at
-#: the similarity a pair is taken without comparing its shingles, so many above it is left.
-SURE, UNLIKELY = 4.0, 2.5
+#: So many standard deviations above the differing bits expected at the similarity, a pair is left.
+UNLIKELY = 2.5
 #: Members closest to a centre, which the others around it are compared with as well.
 WITNESSES = 64
 
@@ -75,17 +74,22 @@ def fingerprint(h: np.ndarray, lanes: int) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int, lanes: int, keep: tuple[str, ...]) -> DataFrame:
-    """The columns in ``keep``, which are longs, and ``f0, f1, ..``."""
+def fingerprints(docs: DataFrame, width: int, lanes: int, keep: tuple[str, ...], as_set: bool = False) -> DataFrame:
+    """The columns in ``keep``, which are longs, and ``f0, f1, ..``; ``as_set`` leaves
+    repeated shingles out and adds ``node``, the hash of the set."""
     def part(batches):
         for batch in rows_of(batches):
-            prints = np.array([fingerprint(shingle_hashes(t.as_py(), width), lanes) for t in batch.column("text")], np.uint64).reshape(-1, lanes)
+            hashes = [shingle_hashes(t.as_py(), width) for t in batch.column("text")]
+            if as_set:
+                hashes = [np.unique(h) for h in hashes]
+            prints = np.array([fingerprint(h, lanes) for h in hashes], np.uint64).reshape(-1, lanes)
+            nodes = [pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in hashes], np.uint64).view(np.int64))] if as_set else []
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c).cast(pa.int64()) for c in keep] + [pa.array(prints[:, i].copy().view(np.int64)) for i in range(lanes)],
-                names=[*keep, *(f"f{i}" for i in range(lanes))],
+                [batch.column(c).cast(pa.int64()) for c in keep] + [pa.array(prints[:, i].copy().view(np.int64)) for i in range(lanes)] + nodes,
+                names=[*keep, *(f"f{i}" for i in range(lanes)), *["node"] * as_set],
             )
 
-    schema = ", ".join([f"{c} long" for c in keep] + [f"f{i} long" for i in range(lanes)])
+    schema = ", ".join([f"{c} long" for c in keep] + [f"f{i} long" for i in range(lanes)] + ["node long"] * as_set)
     return docs.select(*keep, "text").mapInArrow(part, schema)
 
 
@@ -331,18 +335,16 @@ def apart(links: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.select("a", "b", "d", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
 
 
-def settle(links: DataFrame, sure: int, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Candidates ``a, b, d`` -> ``node, root`` over the sure and the verified ones.
+def settle(links: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Candidates ``a, b, d`` -> ``node, root`` over the verified ones.
 
-    A doubtful link inside a component changes nothing.  Of the others, the nearest
-    of each component is verified first; what it joins saves its further links,
-    and all that still lie between components then are verified too."""
-    roots = cut(components(links.where(F.col("d") <= sure)), "roots")
-    doubtful = links.where(F.col("d") > sure)
-    ends = apart(doubtful, roots).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    The nearest link of each node is verified first; a link inside a component changes
+    nothing, and all that still lie between components then are verified too."""
+    roots = links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = cut(shingle_sets(texts.join(ends, "node", "left_semi"), width), "sets")
     for best in (True, False):
-        open_ = apart(doubtful, roots)
+        open_ = apart(links, roots)
         if best:
             each = open_.select(F.explode(F.array("ra", "rb")).alias("r"), F.struct("d", "a", "b").alias("l"))
             open_ = each.groupBy("r").agg(F.min("l").alias("l")).select("l.a", "l.b").distinct()
@@ -365,29 +367,28 @@ def classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFr
     return prints.join(by_print, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def margins(lanes: int, similarity: float) -> tuple[int, int]:
-    """Bits up to which a pair is surely at least this similar, and beyond which it hardly is."""
+def margin(lanes: int, similarity: float) -> int:
+    """Bits beyond which a pair is hardly this similar."""
     share = flip(similarity)
-    expected, deviation = 64 * lanes * share, math.sqrt(64 * lanes * share * (1 - share))
-    return int(expected - SURE * deviation), int(expected + UNLIKELY * deviation)
+    return int(64 * lanes * share + UNLIKELY * math.sqrt(64 * lanes * share * (1 - share)))
 
 
 def keep_one(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY, lanes: int = LANES) -> DataFrame:
     """``docs`` without near-duplicates: of every group, the document of the smallest id
     stays.  Documents are linked if their sets of shingles have that similarity;
-    fingerprints find the pairs and decide where they leave no doubt.  Texts without
+    fingerprints find the pairs, and the sets decide on every one.  Texts without
     words are copies of each other.  ``docs`` is a table, so that its rows are numbered
     alike each time they are read."""
-    sure, radius = margins(lanes, similarity)
+    radius = margin(lanes, similarity)
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     names = [f"f{i}" for i in range(lanes)]
-    prints = fingerprints(numbered, width, lanes, ("__row", "doc_id"))
+    prints = fingerprints(numbered, width, lanes, ("__row", "doc_id"), as_set=True)
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(1 << 62)).alias("doc_id"), "__row"))
-    nodes = cut(prints.groupBy(*names).agg(first.alias("first")).select(F.xxhash64(*names).alias("node"), *names, "first"), "nodes")
+    nodes = cut(prints.groupBy("node", *names).agg(first.alias("first")), "nodes")
     tables = sampled_tables(lanes, similarity, nodes.count())
     found = link(nodes.select("node", *names), tables, lanes, radius, nearest=True)
     links = cut(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d")), "candidates")
     texts = numbered.select("__row", "text").join(nodes.select("node", F.col("first.__row").alias("__row")), "__row").select("node", "text")
-    roots = settle(links, sure, texts, width, similarity)
+    roots = settle(links, texts, width, similarity)
     stay = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
     return numbered.join(stay, "__row", "left_semi").drop("__row")

@@ -269,6 +269,16 @@ def test_nearest_links_are_trees():
         assert same_partition(groups(60, zip(i[few], j[few], strict=True)), groups(60, zip(i[every], j[every], strict=True)))
 
 
+def test_repeats_do_not_make_copies(spark):
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    line = " ".join(word() for _ in range(9))
+    own = lambda n: " ".join(word() for _ in range(n))
+    texts = [f"{line} " * 30 + own(200) for _ in range(8)] + ["run " * 200 + own(150) for _ in range(8)]
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect())
+    assert kept == list(range(16))
+
+
 # --- lines, suffixes
 
 
