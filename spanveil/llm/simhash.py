@@ -5,15 +5,14 @@ laid out as bit planes, one machine word holding one bit of 64 pairs, and carry-
 counters add up all distances at once.  Blocks of 64 pairs are given up as soon as
 all of them exceed the radius.
 
-For a similarity, fingerprints only propose: every pair is compared by its sets of
-shingles, and only texts of equal sets are one node."""
+For a similarity, sets of shingles are compared themselves: in one order of all
+shingles, two alike sets share one of their first few, which are their buckets."""
 
 from __future__ import annotations
 
 import itertools
 import math
-import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +27,14 @@ SEED = 42
 #: The 64-bit query: shingles of three words, two bits of difference.
 WIDTH, RADIUS = 3, 2
 #: Near-duplicates by similarity: shingles of five words, 0.8 or more.
-SIMILAR_WIDTH, SIMILARITY, LANES = 5, 0.8, 4
+SIMILAR_WIDTH, SIMILARITY = 5, 0.8
 SMALL = 64
 CHUNK = 1 << 18
-#: So many standard deviations above the differing bits expected at the similarity, a pair is left.
-UNLIKELY = 2.5
+#: Texts of the sample that tells common shingles, and how many of these are kept.  They
+#: set the order of shingles, which decides how much is compared and not what is found.
+SAMPLE, COMMON = 10_000, 200_000
+#: Products of the similarity and a count may be off by so much.
+ROUND = 1e-9
 #: Members closest to a centre, which the others around it are compared with as well.
 WITNESSES = 64
 
@@ -74,22 +76,17 @@ def fingerprint(h: np.ndarray, lanes: int) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int, lanes: int, keep: tuple[str, ...], as_set: bool = False) -> DataFrame:
-    """The columns in ``keep``, which are longs, and ``f0, f1, ..``; ``as_set`` leaves
-    repeated shingles out and adds ``node``, the hash of the set."""
+def fingerprints(docs: DataFrame, width: int, lanes: int, keep: tuple[str, ...]) -> DataFrame:
+    """The columns in ``keep``, which are longs, and ``f0, f1, ..``."""
     def part(batches):
         for batch in rows_of(batches):
-            hashes = [shingle_hashes(t.as_py(), width) for t in batch.column("text")]
-            if as_set:
-                hashes = [np.unique(h) for h in hashes]
-            prints = np.array([fingerprint(h, lanes) for h in hashes], np.uint64).reshape(-1, lanes)
-            nodes = [pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in hashes], np.uint64).view(np.int64))] if as_set else []
+            prints = np.array([fingerprint(shingle_hashes(t.as_py(), width), lanes) for t in batch.column("text")], np.uint64).reshape(-1, lanes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c).cast(pa.int64()) for c in keep] + [pa.array(prints[:, i].copy().view(np.int64)) for i in range(lanes)] + nodes,
-                names=[*keep, *(f"f{i}" for i in range(lanes)), *["node"] * as_set],
+                [batch.column(c).cast(pa.int64()) for c in keep] + [pa.array(prints[:, i].copy().view(np.int64)) for i in range(lanes)],
+                names=[*keep, *(f"f{i}" for i in range(lanes))],
             )
 
-    schema = ", ".join([f"{c} long" for c in keep] + [f"f{i} long" for i in range(lanes)] + ["node long"] * as_set)
+    schema = ", ".join([f"{c} long" for c in keep] + [f"f{i} long" for i in range(lanes)])
     return docs.select(*keep, "text").mapInArrow(part, schema)
 
 
@@ -260,28 +257,6 @@ def exact_tables(radius: int) -> list[Column]:
     return [F.xxhash64(F.lit(t), bits(i), bits(j)) for t, (i, j) in enumerate(itertools.combinations(range(blocks), 2))]
 
 
-def flip(similarity: float) -> float:
-    """Expected share of differing bits of two sets of this Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def sampled_tables(lanes: int, similarity: float, nodes: int, recall: float = 0.95) -> list[Column]:
-    """Bucket keys for a similarity: each table takes random bits, more of them the more
-    fingerprints there are, and there are as many tables as give a pair at the
-    threshold ``recall``; more similar pairs meet almost surely."""
-    bits = max(16, math.ceil(math.log2(max(nodes, 2))) - 4)
-    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - flip(similarity)) ** bits))
-    rng = random.Random(SEED)
-    keys = []
-    for t in range(tables):
-        masks = [0] * lanes
-        for place in rng.sample(range(64 * lanes), bits):
-            masks[place // 64] |= 1 << place % 64
-        signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-        keys.append(F.xxhash64(F.lit(t), *[F.col(f"f{i}").bitwiseAND(F.lit(m)) for i, m in enumerate(signed)]))
-    return keys
-
-
 def link(nodes: DataFrame, tables: list[Column], lanes: int, radius: int, nearest: bool = False) -> DataFrame:
     """``node, f0, ..`` -> links ``a, b, d``.  Buckets are sorted, not collected; nodes are
     distinct fingerprints, so exact copies never meet here."""
@@ -315,45 +290,20 @@ def alike(x: bytes, y: bytes, similarity: float) -> bool:
     return both >= similarity * (len(x) + len(y) - both)
 
 
-def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The ``a, b`` of pairs whose shingle sets are alike.  Every pair carries its two sets."""
-    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_set", "b_set")
+def verify(pairs: DataFrame, kept: DataFrame, test: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The ``a, b`` of pairs whose ``kept`` values pass.  The test is the same both ways,
+    so the two values are the least and the greatest of a pair."""
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("node")).join(kept.toDF("node", "kept"), "node")
+    rows = ends.groupBy("a", "b").agg(F.min("kept").alias("x"), F.max("kept").alias("y"))
 
     def part(batches):
         for batch in rows_of(batches):
-            good = [alike(x.as_py(), y.as_py(), similarity) for x, y in zip(batch.column("a_set"), batch.column("b_set"), strict=True)]
+            good = [test(x.as_py(), y.as_py()) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return rows.mapInArrow(part, "a long, b long")
 
 
-def apart(links: DataFrame, roots: DataFrame) -> DataFrame:
-    """``a, b, d, ra, rb``: the links whose ends have different roots, and these."""
-    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
-    rows = links.join(root("a"), "a", "left").join(root("b"), "b", "left")
-    return rows.select("a", "b", "d", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).where("ra <> rb")
-
-
-def settle(links: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Candidates ``a, b, d`` -> ``node, root`` over the verified ones.
-
-    The nearest link of each node is verified first; a link inside a component changes
-    nothing, and all that still lie between components then are verified too."""
-    roots = links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(shingle_sets(texts.join(ends, "node", "left_semi"), width), "sets")
-    for best in (True, False):
-        open_ = apart(links, roots)
-        if best:
-            each = open_.select(F.explode(F.array("ra", "rb")).alias("r"), F.struct("d", "a", "b").alias("l"))
-            open_ = each.groupBy("r").agg(F.min("l").alias("l")).select("l.a", "l.b").distinct()
-        found = verify(open_.select("a", "b"), sets, similarity)
-        joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found)
-        roots = cut(components(joined), "roots")
-    return roots
-
-
 def classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """One row for each document: doc_id, its 64-bit fingerprint in hexadecimal, and the
     smallest doc_id of its component (null if all in it are null).  Null and empty
@@ -367,28 +317,213 @@ def classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFr
     return prints.join(by_print, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def margin(lanes: int, similarity: float) -> int:
-    """Bits beyond which a pair is hardly this similar."""
-    share = flip(similarity)
-    return int(64 * lanes * share + UNLIKELY * math.sqrt(64 * lanes * share * (1 - share)))
+def common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found more than once in a sample of the texts, sorted, and how often."""
+    share = max(1, docs.count() // SAMPLE)
+    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text")
+
+    def part(batches):
+        for batch in rows_of(batches):
+            found = [np.unique(shingle_hashes(t.as_py(), width)) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["shingle"])
+
+    counts = some.mapInArrow(part, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    rows = counts.sort(F.desc("n"), "shingle").limit(COMMON).collect()
+    shingle, n = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+    order = np.argsort(shingle.view(np.uint64))
+    return shingle.view(np.uint64)[order], n[order]
+
+
+def prefix(h: np.ndarray, known: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The shingles of a set of which two sets of that similarity share at least one, in an
+    order that all sets share: the less common ones first."""
+    n = np.zeros(len(h), np.int64)
+    if len(known[0]):
+        at = np.minimum(np.searchsorted(known[0], h), len(known[0]) - 1)
+        n = np.where(known[0][at] == h, known[1][at], 0)
+    return h[np.argsort(n, kind="stable")[: len(h) - math.ceil(similarity * len(h) - ROUND) + 1]]
 
 
-def keep_one(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY, lanes: int = LANES) -> DataFrame:
+def parity(h: np.ndarray) -> bytes:
+    """The size of a set, and bits of which each one tells whether an odd number of its
+    members fall on it; about as many bits as members."""
+    bits = 1 << max(6, (len(h) - 1).bit_length())
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.int64(len(h)).tobytes() + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differ(x: bytes, y: bytes, similarity: float) -> bool:
+    """Whether the parities of two sets show that they are less alike: in as many bits as
+    differ, at least one member is in one set only."""
+    n = sum(int(np.frombuffer(z, np.int64, 1)[0]) for z in (x, y))
+    a, b = (np.frombuffer(z, np.uint64, offset=8) for z in (x, y))
+    words = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(z.reshape(-1, words), axis=0) for z in (a, b))
+    return int(np.bitwise_count(a ^ b).sum()) > n * (1 - similarity) / (1 + similarity) + ROUND
+
+
+def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``__row, doc_id, node, n, prefix, parity``: node is the hash of the set of n shingles."""
+    known = docs.sparkSession.sparkContext.broadcast(common(docs, width))
+
+    def part(batches):
+        for batch in rows_of(batches):
+            sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in batch.column("text")]
+            node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64)
+            first = [prefix(h, known.value, similarity).view(np.int64) for h in sets]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("__row").cast(pa.int64()), batch.column("doc_id").cast(pa.int64()), pa.array(node.view(np.int64)), pa.array([len(h) for h in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array([parity(h) for h in sets], pa.binary())],
+                names=["__row", "doc_id", "node", "n", "prefix", "parity"],
+            )
+
+    return docs.select("__row", "doc_id", "text").mapInArrow(part, "__row long, doc_id long, node long, n long, prefix array<long>, parity binary")
+
+
+def possible(rows: np.ndarray, i: np.ndarray, k: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows i and k > i of one bucket may be alike by their sizes and, if their
+    shingle is the first they share, by what can still follow it."""
+    n, pos = rows[:, 1], rows[:, 3]
+    least = np.ceil(similarity / (1 + similarity) * (n[i] + n[k]) - ROUND)
+    return (n[i] >= similarity * n[k] - ROUND) & (np.minimum(n[i] - pos[i], n[k] - pos[k]) >= least)
+
+
+def matched(rows: np.ndarray, first: np.ndarray, last: np.ndarray, similarity: float) -> np.ndarray:
+    """Which rows have any possible partner in their bucket; rows are sorted by size."""
+    n, found, step = rows[:, 1], np.zeros(len(rows), bool), 0
+    up = down = np.arange(len(rows))
+    while len(up) or len(down):
+        step += 1
+        up = up[(up + step < last[up]) & ~found[up]]
+        up = up[n[up] >= similarity * n[up + step] - ROUND]
+        down = down[(down - step >= first[down]) & ~found[down]]
+        down = down[n[down - step] >= similarity * n[down] - ROUND]
+        i, k = np.concatenate([up, down - step]), np.concatenate([up + step, down])
+        good = possible(rows, i, k, similarity)
+        found[i[good]] = found[k[good]] = True
+    return found
+
+
+def spans(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the buckets begin, and their sizes."""
+    edge = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]])) if len(rows) else np.zeros(0, np.int64)
+    return edge, np.diff(np.append(edge, len(rows)))
+
+
+def partners(rows: np.ndarray, low: int, high: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (shingle, n, node, pos, root), sorted.  Those of buckets that are not settled, and
+    pairs of them, at least ``low`` and at most ``high`` rows apart, that may be alike
+    and have different roots.  Rows without a possible partner go first, which they do
+    in every round alike, so that distances stay.  A pair passes in the bucket of the first
+    shingle it shares.  One of two different roots is not the most frequent one."""
+    edge, size = spans(rows)
+    rows = rows[np.repeat(size > 1, size)]
+    edge, size = spans(rows)
+    rows = rows[matched(rows, np.repeat(edge, size), np.repeat(edge + size, size), similarity)]
+    edge, size = spans(rows)
+    none = np.zeros(0, np.int64)
+    if not len(rows):
+        return rows, none, none
+    unsettled = (size > low) & (np.minimum.reduceat(rows[:, 4], edge) != np.maximum.reduceat(rows[:, 4], edge))
+    rows = rows[np.repeat(unsettled, size)]
+    edge, size = spans(rows)
+    if not len(rows):
+        return rows, none, none
+    bucket, first, last = (np.repeat(x, size) for x in (np.arange(len(size)), edge, edge + size))
+    root = rows[:, 4]
+    order = np.lexsort((root, bucket))
+    run = np.flatnonzero(np.concatenate([[True], (np.diff(root[order]) != 0) | (np.diff(bucket[order]) != 0)]))
+    best = np.lexsort((np.diff(np.append(run, len(rows))), bucket[order[run]]))
+    most = np.repeat(root[order[run[best[np.cumsum(np.bincount(bucket[order[run]])) - 1]]]], size)
+    a, b = [none], [none]
+    left = np.flatnonzero(root != most)
+    for step in range(low, high + 1):
+        left = left[(left + step < last[left]) | (left - step >= first[left])]
+        if not len(left):
+            break
+        back = left[left - step >= first[left]] - step
+        i = np.concatenate([left[left + step < last[left]], back[root[back] == most[back]]])
+        k = i + step
+        good = (root[i] != root[k]) & possible(rows, i, k, similarity)
+        a.append(i[good])
+        b.append(k[good])
+    return rows, np.concatenate(a), np.concatenate(b)
+
+
+def propose(rows: DataFrame, low: int, high: int, similarity: float) -> DataFrame:
+    """``shingle, n, node, pos, root`` -> those of buckets with more than one root and more
+    than ``low`` rows, and ``others``, the nodes each one is to be compared with.
+    Without ``root``, each node is its own."""
+    def solve(held: np.ndarray):
+        rows, a, b = partners(held, low, high, similarity)
+        order = np.argsort(a, kind="stable")
+        edge = np.searchsorted(a[order], np.arange(len(rows) + 1)).astype(np.int32)
+        others = pa.ListArray.from_arrays(pa.array(edge), pa.array(rows[b[order], 2]))
+        return pa.RecordBatch.from_arrays([*(pa.array(rows[:, c].copy()) for c in range(4)), others], names=["shingle", "n", "node", "pos", "others"])
+
+    def part(batches):
+        held: list[np.ndarray] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            held.append(np.stack([*columns, columns[2]][:5], axis=1))
+            last = held[-1][-1, 0]
+            if sum(map(len, held)) >= 100_000 and held[-1][0, 0] != last:
+                now = np.concatenate(held)
+                whole = len(now) - int((held[-1][:, 0] == last).sum())
+                held = [now[whole:]]
+                yield solve(now[:whole])
+        if held:
+            yield solve(np.concatenate(held))
+
+    dealt = rows.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+    return dealt.mapInArrow(part, "shingle long, n long, node long, pos long, others array<long>")
+
+
+def settle(nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``node, n, prefix, parity, first`` -> ``node, root`` over all pairs of alike sets.
+
+    Two alike sets meet in a bucket of a shingle.  Neighbours in a bucket are compared
+    first, by parities and then by sets; what that joins needs no further comparison, and
+    the others go on with rows farther off until no bucket has two roots that were not
+    compared."""
+    rows = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "n", "node", "pos")
+    roots = sets = None
+    low, high = 1, 2
+    while True:
+        met = cut(propose(rows, low, high, similarity), "met")
+        if met.isEmpty():
+            return roots if roots is not None else nodes.select("node", F.col("node").alias("root")).limit(0)
+        pairs = met.select(F.col("node").alias("x"), F.explode("others").alias("y"))
+        pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+        pairs = cut(verify(pairs, nodes.select("node", "parity"), lambda x, y: not differ(x, y, similarity)), "pairs")
+        if not pairs.isEmpty():
+            ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            if sets is not None:
+                ends = ends.join(sets.select("node"), "node", "left_anti")
+            wanted = cut(nodes.select("node", F.col("first.__row").alias("__row")).join(ends, "node"), "wanted")
+            if not wanted.isEmpty():
+                more = cut(shingle_sets(texts.join(wanted, "__row").select("node", "text"), width), "sets")
+                sets = more if sets is None else sets.unionAll(more)
+            found = verify(pairs, sets, lambda x, y: alike(x, y, similarity))
+            if roots is not None:
+                found = found.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+            roots = cut(components(found), "roots")
+        rows = met.select("shingle", "n", "node", "pos", F.col("node").alias("root"))
+        if roots is not None:
+            rows = met.join(roots, "node", "left").select("shingle", "n", "node", "pos", F.coalesce("root", "node").alias("root"))
+        low, high = high + 1, 4 * high
+
+
+def keep_one(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without near-duplicates: of every group, the document of the smallest id
-    stays.  Documents are linked if their sets of shingles have that similarity;
-    fingerprints find the pairs, and the sets decide on every one.  Texts without
-    words are copies of each other.  ``docs`` is a table, so that its rows are numbered
-    alike each time they are read."""
-    radius = margin(lanes, similarity)
+    stays.  Documents are linked if their sets of shingles have that similarity.
+    Texts without words are copies of each other.  ``docs`` is a table, so that its rows
+    are numbered alike each time they are read."""
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    names = [f"f{i}" for i in range(lanes)]
-    prints = fingerprints(numbered, width, lanes, ("__row", "doc_id"), as_set=True)
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(1 << 62)).alias("doc_id"), "__row"))
-    nodes = cut(prints.groupBy("node", *names).agg(first.alias("first")), "nodes")
-    tables = sampled_tables(lanes, similarity, nodes.count())
-    found = link(nodes.select("node", *names), tables, lanes, radius, nearest=True)
-    links = cut(found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d")), "candidates")
-    texts = numbered.select("__row", "text").join(nodes.select("node", F.col("first.__row").alias("__row")), "__row").select("node", "text")
-    roots = settle(links, texts, width, similarity)
-    stay = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
+    nodes = prefixes(numbered, width, similarity).groupBy("node").agg(first.alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
+    nodes = cut(nodes, "nodes")
+    roots = settle(nodes, numbered.select("__row", "text"), width, similarity)
+    stay = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
     return numbered.join(stay, "__row", "left_semi").drop("__row")

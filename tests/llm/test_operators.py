@@ -279,6 +279,30 @@ def test_repeats_do_not_make_copies(spark):
     assert kept == list(range(16))
 
 
+def left_by_exact_sets(texts):
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    found = groups(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    return sorted({g: i for i, g in reversed(list(enumerate(found)))}.values())
+
+
+def left(spark, texts):
+    return sorted(r["doc_id"] for r in simhash.keep_one(frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect())
+
+
+def test_no_near_pair_is_displaced(spark):
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for size in (*[12] * 10, 90, 90):
+        base = [word() for _ in range(200)]
+        for _ in range(size):
+            w = list(base)
+            for at in rng.sample(range(200), rng.choice([2, 3, 3, 3])):
+                w[at] = word()
+            texts.append(" ".join(w))
+    assert left(spark, texts) == left_by_exact_sets(texts)
+
+
 # --- lines, suffixes
 
 
