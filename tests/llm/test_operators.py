@@ -303,6 +303,20 @@ def test_no_near_pair_is_displaced(spark):
     assert left(spark, texts) == left_by_exact_sets(texts)
 
 
+def test_short_and_repeated_near_copies_meet(spark):
+    rng = random.Random(19)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for n in (*[8] * 80, *[10] * 40, *[14] * 40):
+        base = [word() for _ in range(n)]
+        texts += [" ".join(base), " ".join([*base, word()])]
+    for _ in range(40):
+        base = [word() for _ in range(200)]
+        texts += [" ".join(base), " ".join(base + base[50:80] * 20)]
+    want = left_by_exact_sets(texts)
+    assert len(want) == 200 and left(spark, texts) == want
+
+
 # --- lines, suffixes
 
 
