@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -43,34 +44,63 @@ def with_key(docs: DataFrame, *columns: str) -> DataFrame:
     )
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``row, k1, k2``: all columns of ``docs`` in one struct, which no name can clash with,
+    and the keys of :func:`with_key`."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.select("row", F.xxhash64(F.col("row.doc_id").cast("string"), F.lit(1)).alias("k1"), F.xxhash64("row.text", F.lit(7)).alias("k2"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """The columns that :func:`packed` put into ``row``."""
+    return rows.select("row.*")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  A temporary one is made only
-    where the session names none, which is the case in local tests."""
+    """The folder that driver and executors share.  Where the session names none, a
+    temporary one will do if all run on one machine; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         found = f"file://{tempfile.gettempdir()}/spanveil-shared"
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there and
-    a lost executor costs nothing that was written.  The files go when the JVM ends."""
+#: Where the tables that :func:`cut` wrote lie, by the frame that it returned.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def cut(df: DataFrame, tag: str, *by: str) -> DataFrame:
+    """Write ``df``, in folders by the columns ``by``, to the shared folder and read it
+    back: lineage ends there and a lost executor costs nothing that was written.  The
+    files go with :func:`drop_cut`, or when the JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def renamed(df: DataFrame, *names: str) -> DataFrame:
+    """A frame that :func:`cut` returned, its columns under other names."""
+    out = df.toDF(*names)
+    _WRITTEN[out] = _WRITTEN.pop(df)
+    return out
 
 
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a frame that :func:`cut` returned."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    spark, path = df.sparkSession, _WRITTEN.pop(df)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    filesystem = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    filesystem.delete(target, True)
+    filesystem.cancelDeleteOnExit(target)
 
 
 def rows_of(batches: Iterator[pa.RecordBatch], most: int = 256) -> Iterator[pa.RecordBatch]:

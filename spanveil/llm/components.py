@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import cut, drop_cut
+from spanveil.llm.common import cut, drop_cut, renamed
 
 
 def _large(links: DataFrame) -> DataFrame:
@@ -24,10 +24,10 @@ def _small(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``a, b`` links of long ids -> ``node, root``: every linked node but the smallest of
-    its component, with that smallest one.  Rounds grow with the logarithm of the
-    longest chain.  Each round is written to the shared folder, and minima are summed
-    up map-side, so a node with very many links is no hot task."""
+    """``a, b`` links of long ids -> a written table ``node, root``: every linked node but the
+    smallest of its component, with that smallest one.  Rounds grow with the logarithm
+    of the longest chain.  Each round is written to the shared folder, and minima are
+    summed up map-side, so a node with very many links is no hot task."""
     now = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
     while True:
@@ -36,5 +36,5 @@ def components(links: DataFrame) -> DataFrame:
         now = then
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return renamed(now, "node", "root")
         mark = seen

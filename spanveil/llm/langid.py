@@ -3,9 +3,10 @@
 Each language has a tree of byte contexts of order 0 to 3 with the counts of the
 bytes that followed.  A byte costs -log2 of its share in the longest context that has
 seen it, plus the escapes from longer ones (method C: a context with n bytes of q
-kinds escapes with q / (n + q)).  The statistics are frozen after fitting, so all
-costs are worked out beforehand into one table (context, byte, language), and a text
-is scored by looking its bytes up; the language with the shortest code wins."""
+kinds escapes with q / (n + q)); a byte that no context has seen costs another eight
+bits.  The statistics are frozen after fitting: the costs of all strings of a context
+and a byte that any language has seen, and the escapes of all contexts, are worked
+out beforehand.  The language with the shortest code wins."""
 
 from __future__ import annotations
 
@@ -24,44 +25,95 @@ ORDER = 3
 #: The documented bound of the sample: rows for each language, and the longest text in it.
 PER_LANGUAGE = 250
 LONGEST = 20_000
-SYMBOLS = 64
 CHUNK = 1 << 18
-LETTER = re.compile(r"[^\W\d_]")
-DIGIT = re.compile(r"[0-9]")
+ASCII_LETTER = re.compile(r"[A-Za-z]")
 NONE = "und"
+#: What stands before the first byte of a text.
+BEFORE = b" " * ORDER
 
 
-def plain(text: str) -> bytes:
-    """Lower-cased bytes; ASCII other than letters counts as a blank.  So do words with a
-    digit (keys, numbers, codes), which speak for no language, unless no letter stands
-    outside them."""
-    if DIGIT.search(text):
-        rest = " ".join(w for w in text.split() if not DIGIT.search(w))
-        text = rest if LETTER.search(rest) else text
-    return text.lower().encode("utf-8", "replace").translate(bytes(b if b > 127 or 97 <= b <= 122 else 32 for b in range(256)))
+def has_letter(text: str) -> bool:
+    return bool(ASCII_LETTER.search(text)) or any(c.isalpha() for c in text)
+
+
+def strings(data: np.ndarray, order: int) -> np.ndarray:
+    """Each byte of a text after BEFORE, with the ``order`` bytes before it, as a number."""
+    n = len(data) - ORDER
+    out = np.zeros(n, np.uint32)
+    for back in range(order, -1, -1):
+        out = out << np.uint32(8) | data[ORDER - back : ORDER - back + n]
+    return out
+
+
+def octets(text: str) -> np.ndarray:
+    return np.frombuffer(BEFORE + text.encode("utf-8", "replace"), np.uint8)
+
+
+class Table:
+    """Numbers and what belongs to them, found by hash: a number stands in the slot of its
+    hash, or in one of the next few."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.keys, self.values = keys, values
+        self.bits = max(8, int(4 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        left, self.probes = np.arange(len(keys), dtype=np.int32), 0
+        while len(left):
+            at = self.slot(keys[left], self.probes)
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            left = left[self.slots[at] != left]
+            self.probes += 1
+
+    def slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        mixed = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+        return (mixed + np.uint64(probe)).astype(np.int64) & ((1 << self.bits) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each number, -1 if it is not here."""
+        out = np.full(len(keys), -1, np.int32)
+        left = np.arange(len(keys))
+        for probe in range(self.probes):
+            place = self.slots[self.slot(keys[left], probe)]
+            hit = (place >= 0) & (self.keys[place] == keys[left])
+            out[left[hit]] = place[hit]
+            left = left[(place >= 0) & ~hit]
+            if not len(left):
+                break
+        return out
 
 
 @dataclass
 class Model:
     languages: list[str]
-    symbol: np.ndarray  # byte -> symbol
-    row: np.ndarray  # the last three symbols -> row of the longest context known
-    cost: np.ndarray  # (row * SYMBOLS + symbol, language) -> bits
+    costs: list[Table]  # of each order: string -> bits for each language
+    escapes: list[Table]  # of each order: context -> bits of leaving it
 
     def bits(self, text: str) -> tuple[np.ndarray, int]:
         """Code length of the whole text for each language, and its bytes."""
-        s = np.concatenate([np.full(ORDER, self.symbol[32]), self.symbol[np.frombuffer(plain(text), np.uint8)]]).astype(np.int64)
-        total = np.zeros(len(self.languages))
-        for at in range(ORDER, len(s), CHUNK):
-            end = min(at + CHUNK, len(s))
-            context = (s[at - 3 : end - 3] * SYMBOLS + s[at - 2 : end - 2]) * SYMBOLS + s[at - 1 : end - 1]
-            total += self.cost[self.row[context] * SYMBOLS + s[at:end]].sum(axis=0, dtype=np.float64)
-        return total, len(s) - ORDER
+        data = octets(text)
+        total, n = np.zeros(len(self.languages)), len(data) - ORDER
+        for at in range(0, n, CHUNK):
+            part = data[at : min(at + CHUNK, n) + ORDER]
+            left = np.arange(len(part) - ORDER)
+            for order in range(ORDER, -1, -1):
+                key = strings(part, order)[left]
+                costs, escapes = self.costs[order], self.escapes[order]
+                place = costs.find(key)
+                seen = place >= 0
+                total += costs.values[place[seen]].sum(axis=0)
+                left = left[~seen]
+                if not len(left):
+                    break
+                context = escapes.find(key[~seen] >> np.uint32(8))
+                total += escapes.values[context[context >= 0]].sum(axis=0)
+            total += 8.0 * len(left)
+        return total, n
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
         """Language, score and bits a byte.  A null text or one without a letter has
         none.  The score is the posterior share on evidence of up to 64 bytes."""
-        if not text or not self.languages or not LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return NONE, 0.0, 0.0
         total, n = self.bits(text)
         rate = total / n
@@ -73,55 +125,29 @@ class Model:
 def fit(rows: list[tuple[str, str]]) -> Model:
     """A model of (language, text) rows."""
     languages = sorted({x for x, _ in rows})
-    data = {x: [plain(t) for y, t in rows if y == x] for x in languages}
-    seen = np.zeros(256, np.int64)
-    for texts in data.values():
-        for t in texts:
-            seen += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
-    # the most frequent bytes are symbols of their own, all others share the last
-    frequent = np.argsort(-seen, kind="stable")[: SYMBOLS - 1]
-    symbol = np.full(256, SYMBOLS - 1, np.int64)
-    symbol[frequent[seen[frequent] > 0]] = np.arange((seen[frequent] > 0).sum())
-    if not seen[32]:
-        symbol[32] = SYMBOLS - 1
-    grams: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-    for x in languages:
-        parts = [np.concatenate([np.full(ORDER, symbol[32]), symbol[np.frombuffer(t, np.uint8)]]) for t in data[x]]
-        for order in range(ORDER + 1):
-            keys = []
-            for s in parts:
-                key = np.zeros(len(s) - ORDER, np.int64)
-                for back in range(order, -1, -1):
-                    key = key * SYMBOLS + s[ORDER - back : len(s) - back]
-                keys.append(key)
-            grams[x, order] = np.unique(np.concatenate(keys or [np.zeros(0, np.int64)]), return_counts=True)
-    contexts = [np.unique(np.concatenate([grams[x, k][0] // SYMBOLS for x in languages] or [np.zeros(0, np.int64)])) for k in range(ORDER + 1)]
-    if not languages:
-        return Model([], symbol, np.zeros(SYMBOLS**ORDER, np.int32), np.zeros((SYMBOLS, 0), np.float32))
-    tables = []
-    for k, known in enumerate(contexts):
-        table = np.empty((len(known), SYMBOLS, len(languages)), np.float32)
-        for j, x in enumerate(languages):
-            count = np.zeros((len(known), SYMBOLS))
-            keys, n = grams[x, k]
-            count[np.searchsorted(known, keys // SYMBOLS), keys % SYMBOLS] = n
-            total, kinds = count.sum(axis=1, keepdims=True), (count > 0).sum(axis=1, keepdims=True)
-            if k:
-                shorter = tables[k - 1][np.searchsorted(contexts[k - 1], known % SYMBOLS ** (k - 1)), :, j]
-            else:
-                shorter = np.full((1, SYMBOLS), np.log2(SYMBOLS))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
-                table[:, :, j] = np.where(count > 0, -np.log2(count / (total + kinds)), escape + shorter)
-        tables.append(table)
-    starts = np.cumsum([0] + [len(t) for t in tables])
-    row = np.zeros(SYMBOLS**ORDER, np.int32)
-    every = np.arange(SYMBOLS**ORDER)
-    for k, known in enumerate(contexts):
-        own = every % SYMBOLS**k
-        place = np.minimum(np.searchsorted(known, own), len(known) - 1)
-        row = np.where(known[place] == own, starts[k] + place, row).astype(np.int32)
-    return Model(languages, symbol, row, np.concatenate(tables).reshape(-1, len(languages)))
+    costs: list[Table] = []
+    escapes: list[Table] = []
+    for order in range(ORDER + 1):
+        counted = [np.unique(np.concatenate([strings(octets(t), order) for y, t in rows if y == x]), return_counts=True) for x in languages]
+        keys = np.unique(np.concatenate([k for k, _ in counted] or [np.zeros(0, np.uint32)]))
+        contexts, owner = np.unique(keys >> np.uint32(8), return_inverse=True)
+        count = np.zeros((len(keys), len(languages)))
+        for j, (k, n) in enumerate(counted):
+            count[np.searchsorted(keys, k), j] = n
+        total, kinds = np.zeros((len(contexts), len(languages))), np.zeros((len(contexts), len(languages)))
+        np.add.at(total, owner, count)
+        np.add.at(kinds, owner, count > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            leave = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+            own = -np.log2(count / (total + kinds)[owner])
+        if order:
+            # every shorter string of a seen one was seen too
+            shorter = costs[-1].values[costs[-1].find(keys & np.uint32((1 << 8 * order) - 1))]
+        else:
+            shorter = np.full((len(keys), len(languages)), 8.0)
+        costs.append(Table(keys, np.where(count > 0, own, leave[owner] + shorter)))
+        escapes.append(Table(contexts, leave))
+    return Model(languages, costs, escapes)
 
 
 def held_out():
@@ -141,9 +167,11 @@ SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits_pe
 
 
 def identify(docs: DataFrame, model: Model | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each document: the columns of SCHEMA and those in ``keep``.  The
-    prediction sees the text alone.  Nothing is shuffled; the model, whose size is
-    bounded by the sample, is broadcast."""
+    """One row for each document: the columns of SCHEMA, and those in ``keep`` as
+    ``keep_0, keep_1, ..``.  The prediction sees the text alone.  Null and empty texts and
+    those without a letter are ``und`` with score 0, and so are all if no row has a
+    language.  Nothing is shuffled; the model, whose size is bounded by the sample, is
+    broadcast."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model or train(docs))
     names = ["doc_id", "text", "held_out", *keep]

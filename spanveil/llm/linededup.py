@@ -1,9 +1,10 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
 Documents come in batches.  A batch's lines are counted, one for each document, and
-become a run: a written table sorted by line hash.  A level that is full is compacted
-into one run of the next level.  Lines that the runs already know to be frequent are
-anti-joined away, so they are not written again with every batch."""
+sorted by hash.  The batch is merge-anti-joined with the runs: hashes that no run holds
+become a run of their own, so every hash stands in exactly one run; hashes that some run
+holds already become a tally, which adds to that run's counts.  A level that is full is
+compacted: its runs are merged, its tallies are summed, and both go one level up."""
 
 from __future__ import annotations
 
@@ -20,112 +21,134 @@ BLANK = b" \t\n\x0b\x0c\r"
 MIN_DOCUMENTS = 10
 BATCHES = 4
 FANOUT = 3
+#: A line with this share of all (document, line) pairs is hot.  There are at most so many
+#: of them, and only they are broadcast; any other line is a small part of a shuffle.
+HOT = 1000
 
 
 def key_of(line: bytes) -> bytes:
     return line.strip(BLANK).lower()
 
 
-def digest(key: bytes) -> tuple[int, int]:
-    """128 bits as two signed longs."""
-    h = xxhash.xxh3_128_digest(key)
-    return int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)
+def digest(key: bytes) -> bytes:
+    """128 bits."""
+    return xxhash.xxh3_128_digest(key)
 
 
 def lines_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split(b"\n")
 
 
-def line_rows(docs: DataFrame) -> DataFrame:
-    """``k1, k2, h1, h2``: the distinct line keys of each document, empty ones left out."""
-    def part(batches):
-        for batch in rows_of(batches):
+def line_rows(docs: DataFrame, batches: int) -> DataFrame:
+    """``batch, k1, k2, h``: the distinct line keys of each document, empty ones left out."""
+    def part(chunks):
+        for chunk in rows_of(chunks):
             out: list[tuple] = []
-            for k1, k2, t in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text"), strict=True):
-                out += [(k1, k2, *digest(k)) for k in {key_of(x) for x in lines_of(t.as_py())} if k]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], [], []))], names=["k1", "k2", "h1", "h2"])
+            for k1, k2, t in zip(chunk.column("k1").to_pylist(), chunk.column("k2").to_pylist(), chunk.column("text"), strict=True):
+                out += [(k1 % batches, k1, k2, digest(k)) for k in {key_of(x) for x in lines_of(t.as_py())} if k]
+            columns = zip(*out, strict=True) if out else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["batch", "k1", "k2", "h"])
 
-    return with_key(docs, "text").mapInArrow(part, "k1 long, k2 long, h1 long, h2 long")
+    return with_key(docs, "text").mapInArrow(part, "batch int, k1 long, k2 long, h binary")
 
 
-class Runs:
-    """``levels[i]`` holds up to FANOUT written runs ``h1, h2, n`` sorted by hash."""
-
-    def __init__(self, threshold: int, fanout: int = FANOUT) -> None:
-        self.threshold, self.fanout = threshold, fanout
-        self.levels: list[list[DataFrame]] = []
-        self.settled: DataFrame | None = None
+def sorted_run(counts: DataFrame, tag: str) -> DataFrame:
+    """A written run, sorted by hash."""
+    return cut(counts.repartition("h").sortWithinPartitions("h"), tag)
 
-    @staticmethod
-    def write(counts: DataFrame) -> DataFrame:
-        return cut(counts.repartition("h1", "h2").sortWithinPartitions("h1", "h2"), "run")
 
-    def merged(self, runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for r in runs[1:]:
-            out = out.unionAll(r)
-        return out.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+def union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for x in frames[1:]:
+        out = out.unionAll(x)
+    return out
 
-    def add(self, counts: DataFrame) -> None:
-        """A batch ``h1, h2, n``: what is settled as frequent goes, the rest is a new run."""
-        fresh = counts if self.settled is None else counts.join(self.settled, ["h1", "h2"], "left_anti")
-        self.put(0, self.write(fresh))
 
-    def put(self, level: int, run: DataFrame) -> None:
+class Runs:
+    """``levels[i]`` holds up to ``fanout`` pairs (run, tally) of written tables ``h, n``.
+    No hash is in two runs; a tally's hashes are all in runs of its level or above."""
+
+    def __init__(self, fanout: int = FANOUT) -> None:
+        self.fanout = fanout
+        self.levels: list[list[tuple[DataFrame, DataFrame]]] = []
+
+    def tables(self) -> list[tuple[DataFrame, DataFrame]]:
+        return [x for level in self.levels for x in level]
+
+    def add(self, batch: DataFrame) -> None:
+        """``h``, one row for each document that has the line."""
+        counts = sorted_run(batch.groupBy("h").agg(F.count("*").alias("n")), "batch")
+        if not self.tables():
+            self.put(0, counts, cut(counts.limit(0), "tally"))
+            return
+        known = union([run.select("h") for run, _ in self.tables()]).hint("merge")
+        fresh = sorted_run(counts.join(known, "h", "left_anti"), "run")
+        tally = sorted_run(counts.join(known, "h", "left_semi"), "tally")
+        drop_cut(counts)
+        self.put(0, fresh, tally)
+
+    def put(self, level: int, run: DataFrame, tally: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(run)
-        if len(self.levels[level]) == self.fanout:
-            old, self.levels[level] = self.levels[level], []
-            whole = self.write(self.merged(old))
-            for r in old:
-                drop_cut(r)
-            frequent = whole.where(F.col("n") >= self.threshold).select("h1", "h2")
-            self.settled = frequent if self.settled is None else self.settled.unionAll(frequent)
-            self.put(level + 1, whole)
-
-    def frequent(self) -> DataFrame:
-        """``h1, h2`` of all lines that reach the threshold over all runs."""
-        runs = [r for level in self.levels for r in level]
-        return self.merged(runs).where(F.col("n") >= self.threshold).select("h1", "h2")
+        self.levels[level].append((run, tally))
+        if len(self.levels[level]) < self.fanout:
+            return
+        old, self.levels[level] = self.levels[level], []
+        whole = sorted_run(union([r for r, _ in old]), "run")
+        total = sorted_run(union([t for _, t in old]).groupBy("h").agg(F.sum("n").alias("n")), "tally")
+        for pair in old:
+            for table in pair:
+                drop_cut(table)
+        self.put(level + 1, whole, total)
+
+    def counts(self) -> DataFrame:
+        """``h, n`` over all that was added."""
+        return union([x for pair in self.tables() for x in pair]).groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def frequent_lines(rows: DataFrame, threshold: int, batches: int) -> DataFrame:
-    runs = Runs(threshold)
-    # batches by document, each document's lines in one of them
-    counts = rows.groupBy(F.pmod("k1", F.lit(batches)).cast("int").alias("batch"), "h1", "h2").agg(F.count("*").alias("n"))
-    counts = cut(counts, "lines")
+    """``h, n`` of the lines that reach the threshold."""
+    runs = Runs()
     for i in range(batches):
-        runs.add(counts.where(F.col("batch") == i).select("h1", "h2", "n"))
-    return runs.frequent()
+        runs.add(rows.where(F.col("batch") == i).select("h"))
+    return runs.counts().where(F.col("n") >= threshold)
 
 
-SCHEMA = "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept string"
+def holders(rows: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The rows of frequent lines.  Lines that hold a thousandth of all rows, of which
+    there are a thousand at most, are broadcast; the others are joined by a shuffle in
+    which no line is large."""
+    limit = max(1, rows.count() // HOT)
+    hot = F.broadcast(frequent.where(F.col("n") >= limit).select("h"))
+    rest = frequent.where(F.col("n") < limit).select("h")
+    return rows.join(hot, "h", "left_semi").unionAll(rows.join(hot, "h", "left_anti").join(rest, "h", "left_semi"))
 
 
-def dedup(docs: DataFrame, threshold: int = MIN_DOCUMENTS, batches: int = BATCHES) -> DataFrame:
+def dedup(docs: DataFrame, threshold: int = MIN_DOCUMENTS, batches: int = BATCHES, text: bool = True) -> DataFrame:
     """One row for each document: doc_id, number of lines, of dropped ones, SHA-256 of the
-    rest, and the rest.  Null and empty texts are one empty line, which stays.
-    Repeated rows are documents of their own.  A line as frequent as a third of the
-    documents meets its one row of the frequent set in a join that Spark can split."""
-    rows = cut(line_rows(docs), "keys")
-    hits = rows.join(frequent_lines(rows, threshold, batches), ["h1", "h2"], "left_semi")
-    drops = hits.groupBy("k1", "k2").agg(F.collect_set("h1").alias("drop"))
+    rest, and with ``text`` the rest itself as ``kept``.  Null and empty texts are one
+    empty line, which stays.  Repeated rows are documents of their own.  An empty table
+    gives no rows."""
+    rows = cut(line_rows(docs, batches), "keys", "batch")
+    frequent = cut(frequent_lines(rows, threshold, batches), "frequent")
+    drops = holders(rows.select("k1", "k2", "h"), frequent).groupBy("k1", "k2").agg(F.collect_set("h").alias("drop"))
     texts = with_key(docs, "doc_id", "text").join(drops, ["k1", "k2"], "left").select("doc_id", "text", "drop")
 
-    def part(batches):
-        for batch in rows_of(batches, 64):
+    def part(chunks):
+        for chunk in rows_of(chunks, 64):
             n_lines, n_dropped, kept = [], [], []
-            for t, drop in zip(batch.column("text"), batch.column("drop").to_pylist(), strict=True):
+            for t, drop in zip(chunk.column("text"), chunk.column("drop").to_pylist(), strict=True):
                 lines = lines_of(t.as_py())
                 gone = set(drop or ())
-                stay = [x for x in lines if not (k := key_of(x)) or digest(k)[0] not in gone] if gone else lines
+                stay = [x for x in lines if not (k := key_of(x)) or digest(k) not in gone] if gone else lines
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(stay))
                 kept.append(b"\n".join(stay))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array([k.decode("utf-8", "replace") for k in kept], pa.string())],
-                names=["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept"],
-            )
-
-    return texts.mapInArrow(part, SCHEMA)
+            columns = [chunk.column("doc_id").cast(pa.int64()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+            names = ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
+            if text:
+                columns.append(pa.array([k.decode("utf-8", "replace") for k in kept], pa.string()))
+                names.append("kept")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return texts.mapInArrow(part, "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", kept string" * text)

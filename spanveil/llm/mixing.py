@@ -57,35 +57,34 @@ def unit_interval(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix_plan(docs: DataFrame, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each document: ``doc_id, source, size, source_size, target,
-    copies, taken`` and the columns in ``keep``.
-
-    ``copies`` is the whole part of target / source_size and one more with the
-    fraction as its probability, drawn from a hash of seed, doc_id and text, so
-    reruns agree.  Null text or no word: size 0, taken 0.  Repeated rows draw alike.
-    Sources are summed with map-side partial sums, so a hot one is no hot task."""
-    own = docs.select(
-        "doc_id", "source", size_of(F.col("text")).alias("size"),
-        unit_interval(seed, F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))).alias("draw"), *keep,
-    )
+def plan(docs: DataFrame, seed: int) -> DataFrame:
+    """``row``, a struct of all columns of ``docs``, and ``size, source_size, target, copies``."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = rows.select("row", size_of(F.col("row.text")).alias("size"), unit_interval(seed, F.col("row.doc_id"), F.md5(F.coalesce("row.text", F.lit("")))).alias("draw"))
     totals = docs.groupBy("source").agg(F.sum(size_of(F.col("text"))).alias("source_size"))
     # written, so that its size is known and Spark broadcasts it only while it is small
-    targets = cut(source_targets(totals).withColumnRenamed("source", "target_source"), "targets")
+    targets = cut(source_targets(totals), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    return (
-        own.join(targets, own["source"].eqNullSafe(F.col("target_source")), "left")
-        .drop("target_source")
-        .withColumn("rate", rate)
-        .withColumn("copies", F.floor("rate") + F.when(F.col("draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0))
-        .withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-    )
+    joined = own.join(targets, F.col("row.source").eqNullSafe(F.col("source")), "left").withColumn("rate", rate)
+    copies = F.floor("rate") + F.when(F.col("draw") < F.col("rate") - F.floor("rate"), 1).otherwise(0)
+    return joined.select("row", "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix_plan(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """One row for each document: ``doc_id, source, size, source_size, target, copies,
+    taken``.
+
+    ``copies`` is the whole part of target / source_size and one more with the
+    fraction as its probability, drawn from a hash of seed, doc_id and text, so
+    reruns agree.  Null text or no word: size 0, taken 0.  Rows that agree in doc_id
+    and text draw alike: a source of nothing but such rows is not near its target.
+    An empty table gives no rows.  Sources are summed with map-side partial sums, so
+    a hot one is no hot task."""
+    return plan(docs, seed).select("row.doc_id", "row.source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """The mixed corpus: the rows of ``docs``, each as often as its plan says."""
-    plan = mix_plan(docs, seed, keep=tuple(c for c in docs.columns if c not in ("doc_id", "source")))
-    return (
-        plan.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-        .select(*docs.columns)
-    )
+    """The mixed corpus: the rows of ``docs``, each as often as :func:`mix_plan` says, with
+    all their columns whatever these are called."""
+    rows = plan(docs, seed).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
+    return rows.select("row.*")

@@ -33,7 +33,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return linededup.dedup(table(spark, sf_dir, "documents"), text=False)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

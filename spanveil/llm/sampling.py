@@ -13,14 +13,14 @@ def choose(labelled: DataFrame, label: str, per_class: int) -> DataFrame:
     """At most ``per_class`` rows of each class, those of the smallest hash of doc_id.
 
     Classes are counted with partial sums; a hash threshold for each class leaves
-    about twice the rows wanted, whatever the size of the table, and only these
-    are ranked.  Equal ids are kept or left together by the threshold and
-    ranked in a fixed order."""
-    counts = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}  # one row for each class
-    unit = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(11)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), min(1.0, MARGIN * per_class / max(n, 1))).otherwise(share)
-    by = Window.partitionBy(label).orderBy("unit", "doc_id")
-    thin = labelled.withColumn("unit", unit).where(F.col("unit") < share)
-    return thin.withColumn("place", F.row_number().over(by)).where(F.col("place") <= per_class).drop("unit", "place")
+    about twice the rows wanted, whatever the size of the table, and only these are
+    ranked.  Equal ids are told apart by a hash of the text, if there is one: what is
+    left as a tie then is the same row twice."""
+    counts = labelled.groupBy(label).agg(F.count("*").alias("class_size")).withColumnRenamed(label, "class_label")
+    hashed = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(11))
+    unit = F.pmod(hashed, F.lit(1 << 20)) / F.lit(float(1 << 20))
+    then = [F.xxhash64("text")] if "text" in labelled.columns else []
+    by = Window.partitionBy(label).orderBy("unit", "doc_id", *then)
+    # one row for each class: Spark broadcasts the counts while they are small
+    thin = labelled.withColumn("unit", unit).join(counts, F.col(label) == F.col("class_label")).where(F.col("unit") * F.col("class_size") < MARGIN * per_class)
+    return thin.withColumn("place", F.row_number().over(by)).where(F.col("place") <= per_class).drop("unit", "place", "class_label", "class_size")

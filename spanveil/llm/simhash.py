@@ -1,12 +1,13 @@
 """Near-duplicates by SimHash with bit-sliced comparison.
 
-Fingerprints go to tables by some of their bits; within a bucket, differences are
-laid out as bit planes, one machine word holding one bit of 64 pairs, and carry-save
-counters add up all distances at once.  Blocks of 64 pairs are given up as soon as
-all of them exceed the radius.
+Fingerprints go to buckets by some of their bits.  The rows of buckets are stored as bit
+planes, one machine word holding one bit of 64 fingerprints; a comparison runs down the
+planes, carry-save counters add up 64 distances at once, and blocks are given up as soon
+as all their distances exceed the radius.
 
-For a similarity, sets of shingles are compared themselves: in one order of all
-shingles, two alike sets share one of their first few, which are their buckets."""
+For a similarity, pairs of close fingerprints are compared by their whole sets of
+shingles.  What fingerprints cannot tell is found exactly: in one order of all shingles,
+two alike sets share one of their first few, which are further buckets."""
 
 from __future__ import annotations
 
@@ -17,10 +18,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from spanveil.llm.common import cut, rows_of
+from spanveil.llm.common import cut, drop_cut, packed, rows_of, unpacked
 from spanveil.llm.components import components
 
 SEED = 42
@@ -29,14 +31,14 @@ WIDTH, RADIUS = 3, 2
 #: Near-duplicates by similarity: shingles of five words, 0.8 or more.
 SIMILAR_WIDTH, SIMILARITY = 5, 0.8
 SMALL = 64
+#: Fingerprints of distinct shingles that are linked before sets are looked for otherwise.
+FIRST_RADIUS = 3
 CHUNK = 1 << 18
 #: Texts of the sample that tells common shingles, and how many of these are kept.  They
 #: set the order of shingles, which decides how much is compared and not what is found.
 SAMPLE, COMMON = 10_000, 200_000
 #: Products of the similarity and a count may be off by so much.
 ROUND = 1e-9
-#: Members closest to a centre, which the others around it are compared with as well.
-WITNESSES = 64
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -53,184 +55,156 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.fromiter((digest(line[s : e - 1], SEED) for s, e in zip(starts, starts[width:])), np.uint64, n - width + 1)
 
 
-def lane(h: np.ndarray, i: int) -> np.ndarray:
-    """The hashes themselves, or for further lanes a mixture of them (splitmix finaliser)."""
-    if i == 0:
-        return h
-    with np.errstate(over="ignore"):
-        x = h + np.uint64(i) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+def fingerprint(h: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; no hashes give zero."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), CHUNK):
+        part = h[at : at + CHUNK].astype(">u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h)).view(">u8")[0])
 
 
-def fingerprint(h: np.ndarray, lanes: int) -> list[int]:
-    """A bit is 1 if it is set in over half of the hashes; no hashes give zero."""
-    out = []
-    for i in range(lanes):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(h), CHUNK):
-            part = lane(h[at : at + CHUNK], i).astype(">u8")
-            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(h)).view(">u8")[0]))
-    return out
-
-
-def fingerprints(docs: DataFrame, width: int, lanes: int, keep: tuple[str, ...]) -> DataFrame:
-    """The columns in ``keep``, which are longs, and ``f0, f1, ..``."""
+def fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, print``."""
     def part(batches):
         for batch in rows_of(batches):
-            prints = np.array([fingerprint(shingle_hashes(t.as_py(), width), lanes) for t in batch.column("text")], np.uint64).reshape(-1, lanes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c).cast(pa.int64()) for c in keep] + [pa.array(prints[:, i].copy().view(np.int64)) for i in range(lanes)],
-                names=[*keep, *(f"f{i}" for i in range(lanes))],
-            )
-
-    schema = ", ".join([f"{c} long" for c in keep] + [f"f{i} long" for i in range(lanes)])
-    return docs.select(*keep, "text").mapInArrow(part, schema)
-
-
-def within(x: np.ndarray, radius: int) -> np.ndarray:
-    """x: (pairs, words) of XORed fingerprints.  Which pairs differ in at most ``radius`` bits."""
-    pairs, words = x.shape
-    out = np.zeros(pairs, bool)
-    for start in range(0, pairs, CHUNK):
-        part = x[start : start + CHUNK]
-        n = len(part)
-        blocks = -(-n // 64)
-        if n % 64:
-            part = np.concatenate([part, np.full((blocks * 64 - n, words), ~np.uint64(0))])
-        alive = np.arange(blocks)
-        digits = radius.bit_length() + 1
-        counters = [np.zeros(blocks, np.uint64) for _ in range(digits)]
-        over = np.zeros(blocks, np.uint64)
-        for w in range(words):
-            own = part.reshape(blocks, 64, words)[alive, :, w].reshape(-1)
-            bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1)
-            planes = np.packbits(np.ascontiguousarray(bits.T), axis=1).view(np.uint64)
-            for plane in planes:
-                carry = plane
-                for k in range(digits):
-                    counters[k], carry = counters[k] ^ carry, counters[k] & carry
+            prints = np.array([fingerprint(shingle_hashes(t.as_py(), width)) for t in batch.column("text")], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(prints.view(np.int64))], names=["doc_id", "print"])
+
+    return docs.select("doc_id", "text").mapInArrow(part, "doc_id long, print long")
+
+
+ALL = ~np.uint64(0)
+#: Planes that are added up before blocks are given up.
+STRIDE = 8
+
+
+class Planes:
+    """Fingerprints laid out vertically: ``rows[b]`` holds bit b of all of them, 64 to a word."""
+
+    def __init__(self, prints: np.ndarray) -> None:
+        self.n, self.blocks = len(prints), -(-len(prints) // 64)
+        padded = np.zeros(self.blocks * 64, np.uint64)
+        padded[: self.n] = prints
+        bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(self.blocks, 64, 8), axis=2, bitorder="little")
+        words = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view("<u8")[:, :, 0]
+        self.rows = np.concatenate([words, np.zeros((64, 1), words.dtype)], axis=1).astype(np.uint64)
+
+    def mask(self, wanted: np.ndarray) -> np.ndarray:
+        """Booleans of the fingerprints as one bit of each word."""
+        padded = np.zeros(self.blocks * 64, np.uint8)
+        padded[: len(wanted)] = wanted
+        return np.packbits(padded, bitorder="little").view("<u8").astype(np.uint64)
+
+    def within(self, other: Callable[[int, np.ndarray], np.ndarray], wanted: np.ndarray, radius: int) -> np.ndarray:
+        """Which of the wanted fingerprints differ in at most ``radius`` bits from what
+        ``other(bit, blocks)`` gives for them.
+
+        Bits that differ are added up by carry-save counters, one bit of the count in each
+        word.  After every STRIDE planes, blocks whose 64 counts all exceed the radius,
+        or were not wanted, are given up."""
+        mask = self.mask(wanted)
+        block = np.flatnonzero(mask)
+        over = ~mask[block]
+        counters = [np.zeros(len(block), np.uint64) for _ in range(radius.bit_length())]
+        for first in range(0, 64, STRIDE):
+            for bit in range(first, first + STRIDE):
+                carry = self.rows[bit, block] ^ other(bit, block)
+                for k, c in enumerate(counters):
+                    counters[k], carry = c ^ carry, c & carry
                 over |= carry
-            # bit-sliced comparison with the radius, from the highest digit down
-            more, same = over.copy(), ~np.uint64(0)
-            for k in reversed(range(digits)):
+            same = np.full(len(block), ALL)  # comparison with the radius, from the highest digit down
+            for k in reversed(range(len(counters))):
                 if radius >> k & 1:
                     same = same & counters[k]
                 else:
-                    more |= same & counters[k]
+                    over |= same & counters[k]
                     same = same & ~counters[k]
-            left = more != ~np.uint64(0)
-            alive, over, more = alive[left], over[left], more[left]
-            counters = [c[left] for c in counters]
-            if not len(alive):
+            left = over != ALL
+            if not left.all():
+                block, over, counters = block[left], over[left], [c[left] for c in counters]
+            if not len(block):
                 break
-        if len(alive):
-            good = np.zeros((blocks, 64), bool)
-            good[alive] = np.unpackbits((~more).view(np.uint8).reshape(-1, 8), axis=1).astype(bool)
-            out[start : start + n] = good.reshape(-1)[:n]
-    return out
+        out = np.zeros(self.blocks, np.uint64)
+        out[block] = ~over
+        return np.unpackbits(out.astype("<u8").view(np.uint8), bitorder="little")[: self.n].astype(bool)
+
+    def near(self, print_: int, wanted: np.ndarray, radius: int) -> np.ndarray:
+        """Which of the wanted ones are within the radius of one fingerprint."""
+        return self.within(lambda bit, block: ALL if print_ >> bit & 1 else np.uint64(0), wanted, radius)
+
+    def ahead(self, step: int, wanted: np.ndarray, radius: int) -> np.ndarray:
+        """Which of the wanted ones are within the radius of the one ``step`` places on."""
+        whole, part = divmod(step, 64)
+
+        def other(bit: int, block: np.ndarray) -> np.ndarray:
+            low = self.rows[bit, np.minimum(block + whole, self.blocks)]
+            if not part:
+                return low
+            high = self.rows[bit, np.minimum(block + whole + 1, self.blocks)]
+            return low >> np.uint64(part) | high << np.uint64(64 - part)
+
+        return self.within(other, wanted, radius)
 
 
 def small_links(prints: np.ndarray, bucket: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links inside many small buckets at once; equal bucket numbers stand together."""
-    left, right = [], []
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    planes = Planes(prints)
     for step in range(1, SMALL):
-        i = np.flatnonzero(bucket[:-step] == bucket[step:]) if step < len(bucket) else np.zeros(0, np.int64)
-        if not len(i):
+        wanted = bucket[:-step] == bucket[step:]
+        if not wanted.any():
             break
-        i = i[within(prints[i] ^ prints[i + step], radius)]
+        i = np.flatnonzero(planes.ahead(step, wanted, radius))
         left.append(i)
         right.append(i + step)
-    return np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
-
-
-def distances(x: np.ndarray) -> np.ndarray:
-    """Differing bits of the pairs whose XORed fingerprints are the rows of x."""
-    return np.bitwise_count(x).sum(axis=-1, dtype=np.int64)
-
-
-def forest(i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Which links make a minimum spanning forest.  It connects, at every number of bits,
-    what all links up to that number connect, with fewer links than nodes."""
-    root: dict[int, int] = {}
+    return np.concatenate(left), np.concatenate(right)
 
-    def top(a: int) -> int:
-        while (b := root.get(a, a)) != a:
-            root[a] = a = root.get(b, b)
-        return a
 
-    keep = []
-    order = np.argsort(d, kind="stable")
-    for k, a, b in zip(order.tolist(), i[order].tolist(), j[order].tolist(), strict=True):
-        a, b = top(a), top(b)
-        if a != b:
-            root[a] = b
-            keep.append(k)
-    return np.array(keep, np.int64)
-
-
-def large_links(prints: np.ndarray, radius: int, nearest: bool = False) -> tuple[list[int], list[int]]:
+def large_links(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect what all pairs of one large bucket would connect.
 
     All within the radius of a centre hang on it and need not be compared with each
     other.  What is farther can only be near one of them if it is within twice the
-    radius of the centre, and only that is compared, first as a whole.  With ``nearest``,
-    for links that are yet to be verified, a member hangs on the nearest of the centre
-    and its closest members before it; that is a tree too."""
-    left: list[int] = []
-    right: list[int] = []
-    rest = np.arange(len(prints))
-    while len(rest) > 1:
-        centre, rest = rest[0], rest[1:]
-        x = prints[rest] ^ prints[centre]
-        near = within(x, radius)
-        own = rest[near]
-        hung = np.full(len(own), centre)
-        if nearest and len(own) > 1:
-            own = own[np.argsort(distances(x[near]), kind="stable")]
-            witness = np.concatenate([[centre], own[:WITNESSES]])
-            for at in range(0, len(own), CHUNK >> 6):
-                part = own[at : at + (CHUNK >> 6)]
-                d = distances(prints[part][:, None, :] ^ prints[witness][None, :, :])
-                d[np.arange(len(witness))[None, :] > np.arange(at, at + len(part))[:, None]] = 1 << 20
-                hung[at : at + len(part)] = witness[d.argmin(axis=1)]
-        left += hung.tolist()
-        right += own.tolist()
-        between = rest[~near & within(x, 2 * radius)] if len(own) else rest[:0]
-        for j in between:
-            y = prints[own] ^ prints[j]
-            found = np.flatnonzero(within(y, radius))
-            if len(found):
-                left.append(int(own[found[distances(y[found]).argmin()]]))
-                right.append(int(j))
-        rest = rest[~near]
-    return left, right
-
-
-def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, nearest: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, node, f0..) sorted by bucket -> links (a, b, d) of nodes, d bits apart."""
+    radius of the centre, and only that is compared with them."""
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
+    planes, rest = Planes(prints), np.ones(len(prints), bool)
+    for centre in range(len(prints)):
+        if not rest[centre]:
+            continue
+        rest[centre] = False
+        own = planes.near(int(prints[centre]), rest, radius)
+        rest &= ~own
+        if not own.any():
+            continue
+        left.append(np.full(own.sum(), centre))
+        right.append(np.flatnonzero(own))
+        for j in np.flatnonzero(planes.near(int(prints[centre]), rest, 2 * radius)):
+            found = np.flatnonzero(planes.near(int(prints[j]), own, radius))[:1]
+            left.append(found)
+            right.append(np.full(len(found), j))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def bucket_links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, node, print) sorted by bucket -> links (a, b) of nodes."""
     held: list[np.ndarray] = []
 
     def solve(rows: np.ndarray) -> pa.RecordBatch:
-        bucket, node, prints = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2:]).view(np.uint64)
+        bucket, node, prints = rows[:, 0], rows[:, 1], np.ascontiguousarray(rows[:, 2]).view(np.uint64)
         edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
         size = np.diff(edge)
         each = np.repeat(size, size)
         pick = np.flatnonzero((each > 1) & (each <= SMALL))
         i, j = small_links(prints[pick], bucket[pick], radius)
-        if nearest:
-            tree = forest(i, j, distances(prints[pick[i]] ^ prints[pick[j]]))
-            i, j = i[tree], j[tree]
         a, b = [pick[i]], [pick[j]]
         for k in np.flatnonzero(size > SMALL):
-            i, j = large_links(prints[edge[k] : edge[k + 1]], radius, nearest)
-            a.append(edge[k] + np.array(i, np.int64))
-            b.append(edge[k] + np.array(j, np.int64))
-        a, b = np.concatenate(a), np.concatenate(b)
-        d = distances(prints[a] ^ prints[b]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(d)], names=["a", "b", "d"])
+            i, j = large_links(prints[edge[k] : edge[k + 1]], radius)
+            a.append(edge[k] + i)
+            b.append(edge[k] + j)
+        return pa.RecordBatch.from_arrays([pa.array(node[np.concatenate(a)]), pa.array(node[np.concatenate(b)])], names=["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -239,38 +213,35 @@ def bucket_links(batches: Iterator[pa.RecordBatch], radius: int, nearest: bool)
         last = held[-1][-1, 0]
         if sum(map(len, held)) >= 100_000 and held[-1][0, 0] != last:
             rows = np.concatenate(held)
-            whole = np.searchsorted(rows[:, 0], last)
+            whole = len(rows) - int((held[-1][:, 0] == last).sum())
             held = [rows[whole:]]
             yield solve(rows[:whole])
     if held:
         yield solve(np.concatenate(held))
 
 
-def exact_tables(radius: int) -> list[Column]:
-    """Bucket keys of the 64-bit query: ``radius`` + 2 blocks of bits, of which two at
-    least agree in every pair within the radius, so no link is lost."""
+def tables(radius: int) -> list[Column]:
+    """Bucket keys: ``radius`` + 2 blocks of bits, of which two at least agree in every
+    pair within the radius, so no link is lost."""
     blocks = radius + 2
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     def bits(i: int) -> Column:
-        value = F.shiftrightunsigned("f0", edges[i])
-        return value.bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+        return F.shiftrightunsigned("print", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
     return [F.xxhash64(F.lit(t), bits(i), bits(j)) for t, (i, j) in enumerate(itertools.combinations(range(blocks), 2))]
 
 
-def link(nodes: DataFrame, tables: list[Column], lanes: int, radius: int, nearest: bool = False) -> DataFrame:
-    """``node, f0, ..`` -> links ``a, b, d``.  Buckets are sorted, not collected; nodes are
-    distinct fingerprints, so exact copies never meet here."""
-    names = [f"f{i}" for i in range(lanes)]
-    rows = nodes.select(F.explode(F.array(*tables)).alias("bucket"), "node", *names)
+def link(nodes: DataFrame, radius: int) -> DataFrame:
+    """``node, print`` -> links ``a, b``.  Buckets are sorted, not collected."""
+    rows = nodes.select(F.explode(F.array(*tables(radius))).alias("bucket"), "node", "print")
     near = rows.repartition("bucket").sortWithinPartitions("bucket")
-    return near.mapInArrow(lambda batches: bucket_links(batches, radius, nearest), "a long, b long, d int")
+    return near.mapInArrow(lambda batches: bucket_links(batches, radius), "a long, b long")
 
 
 def group(prints: DataFrame, radius: int) -> DataFrame:
-    """``id, f0`` -> ``f0, node, root``: distinct fingerprints and their component."""
-    nodes = prints.select("f0").distinct().select(F.col("f0").alias("node"), "f0")
-    roots = components(link(nodes, exact_tables(radius), 1, radius))
-    return nodes.join(roots, "node", "left").select("node", "f0", F.coalesce("root", "node").alias("root"))
+    """``print`` -> ``print, root``: distinct fingerprints and their component."""
+    nodes = prints.select("print").distinct().select(F.col("print").alias("node"), "print")
+    roots = components(link(nodes, radius))
+    return nodes.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("root"))
 
 
 def shingle_sets(rows: DataFrame, width: int) -> DataFrame:
@@ -307,20 +278,20 @@ def verify(pairs: DataFrame, kept: DataFrame, test: Callable[[bytes, bytes], boo
 def classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """One row for each document: doc_id, its 64-bit fingerprint in hexadecimal, and the
     smallest doc_id of its component (null if all in it are null).  Null and empty
-    texts have fingerprint zero and are linked like any other."""
-    prints = cut(fingerprints(docs, width, 1, ("doc_id",)), "prints")
-    roots = group(prints, radius)
-    least = prints.groupBy("f0").agg(F.min("doc_id").alias("least"))
-    named = roots.join(least, "f0")
+    texts have fingerprint zero and are linked like any other; an empty table gives no
+    rows; repeated rows are one node."""
+    prints = cut(fingerprints(docs, width), "prints")
+    least = prints.groupBy("print").agg(F.min("doc_id").alias("least"))
+    named = cut(group(prints, radius).join(least, "print"), "named")
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = named.join(ids, "root").select("f0", "component_id")
-    return prints.join(by_print, "f0").select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
+    by_print = named.join(ids, "root").select("print", "component_id")
+    return prints.join(by_print, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+def common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles found more than once in a sample of the texts, sorted, and how often."""
-    share = max(1, docs.count() // SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text")
+    share = max(1, rows.count() // SAMPLE)
+    some = rows.where(F.pmod(F.xxhash64("k1", "k2"), F.lit(share)) == 0).select("text")
 
     def part(batches):
         for batch in rows_of(batches):
@@ -328,8 +299,8 @@ def common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["shingle"])
 
     counts = some.mapInArrow(part, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    rows = counts.sort(F.desc("n"), "shingle").limit(COMMON).collect()
-    shingle, n = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+    found = counts.sort(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    shingle, n = (found.column(c).to_numpy().astype(np.int64) for c in ("shingle", "n"))
     order = np.argsort(shingle.view(np.uint64))
     return shingle.view(np.uint64)[order], n[order]
 
@@ -362,21 +333,23 @@ def differ(x: bytes, y: bytes, similarity: float) -> bool:
     return int(np.bitwise_count(a ^ b).sum()) > n * (1 - similarity) / (1 + similarity) + ROUND
 
 
-def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``__row, doc_id, node, n, prefix, parity``: node is the hash of the set of n shingles."""
-    known = docs.sparkSession.sparkContext.broadcast(common(docs, width))
+def prefixes(rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``k1, k2, doc_id, node, n, print, prefix, parity``: node is the hash of the set of n
+    shingles, print their fingerprint."""
+    known = rows.sparkSession.sparkContext.broadcast(common(rows, width))
 
     def part(batches):
         for batch in rows_of(batches):
             sets = [np.unique(shingle_hashes(t.as_py(), width)) for t in batch.column("text")]
             node = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64)
+            prints = np.array([fingerprint(h) for h in sets], np.uint64)
             first = [prefix(h, known.value, similarity).view(np.int64) for h in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("__row").cast(pa.int64()), batch.column("doc_id").cast(pa.int64()), pa.array(node.view(np.int64)), pa.array([len(h) for h in sets], pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array([parity(h) for h in sets], pa.binary())],
-                names=["__row", "doc_id", "node", "n", "prefix", "parity"],
+                [batch.column("k1"), batch.column("k2"), batch.column("doc_id").cast(pa.int64()), pa.array(node.view(np.int64)), pa.array([len(h) for h in sets], pa.int64()), pa.array(prints.view(np.int64)), pa.array(first, pa.list_(pa.int64())), pa.array([parity(h) for h in sets], pa.binary())],
+                names=["k1", "k2", "doc_id", "node", "n", "print", "prefix", "parity"],
             )
 
-    return docs.select("__row", "doc_id", "text").mapInArrow(part, "__row long, doc_id long, node long, n long, prefix array<long>, parity binary")
+    return rows.select("k1", "k2", "doc_id", "text").mapInArrow(part, "k1 long, k2 long, doc_id long, node long, n long, print long, prefix array<long>, parity binary")
 
 
 def possible(rows: np.ndarray, i: np.ndarray, k: np.ndarray, similarity: float) -> np.ndarray:
@@ -451,8 +424,7 @@ def partners(rows: np.ndarray, low: int, high: int, similarity: float) -> tuple[
 
 def propose(rows: DataFrame, low: int, high: int, similarity: float) -> DataFrame:
     """``shingle, n, node, pos, root`` -> those of buckets with more than one root and more
-    than ``low`` rows, and ``others``, the nodes each one is to be compared with.
-    Without ``root``, each node is its own."""
+    than ``low`` rows, and ``others``, the nodes each one is to be compared with."""
     def solve(held: np.ndarray):
         rows, a, b = partners(held, low, high, similarity)
         order = np.argsort(a, kind="stable")
@@ -466,7 +438,7 @@ def propose(rows: DataFrame, low: int, high: int, similarity: float) -> DataFram
             if not batch.num_rows:
                 continue
             columns = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            held.append(np.stack([*columns, columns[2]][:5], axis=1))
+            held.append(np.stack(columns, axis=1))
             last = held[-1][-1, 0]
             if sum(map(len, held)) >= 100_000 and held[-1][0, 0] != last:
                 now = np.concatenate(held)
@@ -480,50 +452,75 @@ def propose(rows: DataFrame, low: int, high: int, similarity: float) -> DataFram
     return dealt.mapInArrow(part, "shingle long, n long, node long, pos long, others array<long>")
 
 
+class Alike:
+    """The groups that verified pairs make.  A pair is compared by parities first, and
+    only nodes of pairs that pass have their whole sets fetched."""
+
+    def __init__(self, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> None:
+        self.nodes, self.texts, self.width, self.similarity = nodes, texts, width, similarity
+        self.sets: DataFrame | None = None
+        self.roots = cut(nodes.select("node", F.col("node").alias("root")).limit(0), "roots")
+
+    def join(self, pairs: DataFrame) -> None:
+        similarity = self.similarity
+        asked = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        left = cut(verify(asked, self.nodes.select("node", "parity"), lambda x, y: not differ(x, y, similarity)), "pairs")
+        drop_cut(asked)
+        if not left.isEmpty():
+            ends = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+            if self.sets is not None:
+                ends = ends.join(self.sets.select("node"), "node", "left_anti")
+            wanted = cut(self.nodes.select("node", "first.k1", "first.k2").join(ends, "node"), "wanted")
+            if not wanted.isEmpty():
+                more = cut(shingle_sets(self.texts.join(wanted, ["k1", "k2"]).select("node", "text"), self.width), "sets")
+                self.sets = more if self.sets is None else self.sets.unionAll(more)
+            drop_cut(wanted)
+            found = verify(left, self.sets, lambda x, y: alike(x, y, similarity))
+            known = self.roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            roots = components(found.unionAll(known))
+            drop_cut(self.roots)
+            self.roots = roots
+        drop_cut(left)
+
+    def rooted(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def settle(nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``node, n, prefix, parity, first`` -> ``node, root`` over all pairs of alike sets.
-
-    Two alike sets meet in a bucket of a shingle.  Neighbours in a bucket are compared
-    first, by parities and then by sets; what that joins needs no further comparison, and
-    the others go on with rows farther off until no bucket has two roots that were not
-    compared."""
-    rows = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "n", "node", "pos")
-    roots = sets = None
-    low, high = 1, 2
+    """``node, n, print, prefix, parity, first`` -> ``node, root`` over all pairs of alike sets.
+
+    Pairs of close fingerprints are joined first.  For all others: two alike sets meet in
+    a bucket of a shingle.  Neighbours in a bucket are compared first; what is joined
+    needs no further comparison, and the others go on with rows farther off until no
+    bucket has two roots that were not compared."""
+    groups = Alike(nodes, texts, width, similarity)
+    groups.join(link(nodes.select("node", "print"), FIRST_RADIUS))
+    rows = groups.rooted(nodes.select("node", "n", "prefix")).select("node", "n", "root", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "n", "node", "pos", "root")
+    low, high, before = 1, 2, None
     while True:
         met = cut(propose(rows, low, high, similarity), "met")
+        if before is not None:
+            drop_cut(before)
         if met.isEmpty():
-            return roots if roots is not None else nodes.select("node", F.col("node").alias("root")).limit(0)
-        pairs = met.select(F.col("node").alias("x"), F.explode("others").alias("y"))
-        pairs = cut(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-        pairs = cut(verify(pairs, nodes.select("node", "parity"), lambda x, y: not differ(x, y, similarity)), "pairs")
-        if not pairs.isEmpty():
-            ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            if sets is not None:
-                ends = ends.join(sets.select("node"), "node", "left_anti")
-            wanted = cut(nodes.select("node", F.col("first.__row").alias("__row")).join(ends, "node"), "wanted")
-            if not wanted.isEmpty():
-                more = cut(shingle_sets(texts.join(wanted, "__row").select("node", "text"), width), "sets")
-                sets = more if sets is None else sets.unionAll(more)
-            found = verify(pairs, sets, lambda x, y: alike(x, y, similarity))
-            if roots is not None:
-                found = found.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-            roots = cut(components(found), "roots")
-        rows = met.select("shingle", "n", "node", "pos", F.col("node").alias("root"))
-        if roots is not None:
-            rows = met.join(roots, "node", "left").select("shingle", "n", "node", "pos", F.coalesce("root", "node").alias("root"))
-        low, high = high + 1, 4 * high
+            return groups.roots
+        groups.join(met.select(F.col("node").alias("a"), F.explode("others").alias("b")))
+        rows = groups.rooted(met.select("shingle", "n", "node", "pos")).select("shingle", "n", "node", "pos", "root")
+        low, high, before = high + 1, 4 * high, met
 
 
 def keep_one(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without near-duplicates: of every group, the document of the smallest id
-    stays.  Documents are linked if their sets of shingles have that similarity.
-    Texts without words are copies of each other.  ``docs`` is a table, so that its rows
-    are numbered alike each time they are read."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(1 << 62)).alias("doc_id"), "__row"))
-    nodes = prefixes(numbered, width, similarity).groupBy("node").agg(first.alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
+    """``docs`` without near-duplicates, all columns as they are: of every group, the
+    document of the smallest id stays, null ids last.  Documents are linked if their sets
+    of shingles have that similarity.  Null texts and texts without words are copies of
+    each other.  Of rows that agree in doc_id and text one stays, by a hash of their other
+    columns.  An empty table gives no rows."""
+    rows = packed(docs)
+    texts = rows.select("k1", "k2", "row.doc_id", "row.text")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(1 << 62)).alias("doc_id"), "k1", "k2"))
+    nodes = prefixes(texts, width, similarity).groupBy("node").agg(first.alias("first"), *[F.first(c).alias(c) for c in ("n", "print", "prefix", "parity")])
     nodes = cut(nodes, "nodes")
-    roots = settle(nodes, numbered.select("__row", "text"), width, similarity)
-    stay = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.__row").alias("__row"))
-    return numbered.join(stay, "__row", "left_semi").drop("__row")
+    roots = settle(nodes, texts.select("k1", "k2", "text"), width, similarity)
+    stay = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.k1", "first.k2")
+    other = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.xxhash64(*other)))
+    return unpacked(rows.join(stay, ["k1", "k2"], "left_semi").withColumn("place", place).where("place = 1"))
