@@ -87,7 +87,7 @@ class Planes:
         padded = np.zeros(self.blocks * 64, np.uint64)
         padded[: self.n] = prints
         bits = np.unpackbits(padded.astype("<u8").view(np.uint8).reshape(self.blocks, 64, 8), axis=2, bitorder="little")
-        words = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little").view("<u8")[:, :, 0]
+        words = np.ascontiguousarray(np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")).view("<u8")[:, :, 0]
         self.rows = np.concatenate([words, np.zeros((64, 1), words.dtype)], axis=1).astype(np.uint64)
 
     def mask(self, wanted: np.ndarray) -> np.ndarray:

@@ -153,7 +153,8 @@ def calibrate(evidence: tuple[list[float], list[float]]) -> tuple[float, float]:
     cuts = np.append((steps[:-1] + steps[1:]) / 2, steps[-1] + 1)
     above = [1 - np.searchsorted(x, cuts) / len(x) for x in values]
     gain = above[1] - ALARM * above[0]
-    best = int(gain.argmax())
+    ties = np.flatnonzero(gain == gain.max())
+    best = ties[len(ties) // 2]
     return float(cuts[best]), float(gain[best])
 
 
