@@ -3,11 +3,15 @@
 Only suffixes that can share their first THRESHOLD bytes with another are sorted.  Each
 window of that many bytes is dealt by its anchor, the piece of PIECE bytes in it with
 the smallest hash, so equal windows have equal anchors.  Neighbouring windows with the
-same anchor travel as one stretch.  Where an anchor occurs once in the whole corpus,
-none of its windows repeats.  The stretches of each other anchor are sorted by
-most-significant-digit passes over their windows: a pass splits the groups of the one
-before by the next digit and drops groups of one, and what is left after the last
-digit are exactly the repeated windows."""
+same anchor travel as one stretch; equal stretches of a task travel once.  Where an
+anchor occurs once in the whole corpus, none of its windows repeats.  An anchor that
+occurs very often is dealt in slices, by how far it stands from the window's start, which
+equal windows share too.
+
+The windows of an anchor are ordered by most-significant-digit passes.  A digit is eight
+bytes, read as one big-endian number: a pass orders each group of the pass before by the
+next digit, makes a group of each digit, and drops groups of one.  What is left after
+the last digit are exactly the repeated windows."""
 
 from __future__ import annotations
 
@@ -24,9 +28,11 @@ from spanveil.llm.common import cut, rows_of, with_key
 THRESHOLD = 200
 PIECE = 32
 #: Bytes of a digit, and windows that are sorted at once.
-DIGIT = 40
+DIGIT = 8
 AT_ONCE = 4_000_000
-#: Bytes of distinct stretches that are gathered before sorting.
+#: An anchor with so many occurrences is dealt in slices of so many window starts.
+HOT, SLICE = 500, 32
+#: Bytes of distinct stretches that a task gathers before it passes them on, or sorts them.
 GATHER = 8 << 20
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
@@ -36,15 +42,10 @@ def octets(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(data, 8)[at].view(np.uint64).ravel()
 
 
-def stretches(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, number of windows) of each stretch, in order."""
-    return _stretches(data)[:3]
-
-
 def anchors_in(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct anchors, and how often each one's piece stands in the text: in a text of
     short period it does so more than once inside one stretch."""
-    anchor, _, _, hashes = _stretches(data)
+    anchor, _, _, hashes = stretches(data)
     known = np.unique(anchor)
     marked = np.zeros(1 << 16, bool)
     marked[known & 0xFFFF] = True
@@ -52,7 +53,9 @@ def anchors_in(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return known, n[np.searchsorted(found, known)] if len(known) else known
 
 
-def _stretches(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def stretches(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, number of windows) of each stretch, in order, and the hash of
+    the piece at each place."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < THRESHOLD:
@@ -93,57 +96,77 @@ def anchor_rows(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(part, "k1 long, k2 long, anchor long, n long")
 
 
+def slices(first: int, n: int, places: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(slice, first window, number of windows) of one stretch, whose anchor stands at the
+    places.  The slice of a window is told by how far on its first anchor is."""
+    at = np.arange(first, first + n)
+    number = (places[np.searchsorted(places, at)] - at) // SLICE
+    edge = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1], [True]]))
+    for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        yield int(number[s]), first + s, e - s
+
+
 def stretch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with their repeated anchors -> ``anchor, k1, k2, first, n, data``."""
+    """Documents with their repeated anchors -> ``anchor, slice, data, k1, k2, first``, the
+    last three as lists of the places where the stretch occurs."""
+    held: dict[tuple[int, int, bytes], tuple[list, list, list]] = {}
+    size = 0
+    types = [pa.int64(), pa.int32(), pa.binary()] + 3 * [pa.list_(pa.int64())]
+
+    def flush() -> pa.RecordBatch:
+        columns = [[k[0] for k in held], [k[1] for k in held], [k[2] for k in held], *([v[i] for v in held.values()] for i in range(3))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["anchor", "slice", "data", "k1", "k2", "first"])
+
     for batch in rows_of(batches, 32):
-        out: list[tuple] = []
-        for k1, k2, t, wanted in zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), batch.column("text"), batch.column("anchors").to_pylist(), strict=True):
+        for k1, k2, t, wanted, hot in zip(*(batch.column(c).to_pylist() if c != "text" else batch.column(c) for c in ("k1", "k2", "text", "anchors", "hot")), strict=True):
             data = (t.as_py() or "").encode("utf-8", "surrogatepass")
-            anchor, first, n = stretches(data)
-            for i in np.flatnonzero(np.isin(anchor, np.array(wanted, np.int64))):
-                s = int(first[i])
-                out.append((int(anchor[i]), k1, k2, s, int(n[i]), data[s : s + int(n[i]) + THRESHOLD - 1]))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        columns = list(zip(*out, strict=True)) if out else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["anchor", "k1", "k2", "first", "n", "data"])
+            anchor, first, n, hashes = stretches(data)
+            hot = set(hot)
+            for i in np.flatnonzero(np.isin(anchor, np.array(wanted, np.int64))).tolist():
+                a, s, c = int(anchor[i]), int(first[i]), int(n[i])
+                if a in hot:
+                    parts = slices(s, c, s + np.flatnonzero(hashes[s : s + c + THRESHOLD - PIECE] == a))
+                else:
+                    parts = ((0, s, c),)
+                for number, start, count in parts:
+                    key = a, number, data[start : start + count + THRESHOLD - 1]
+                    places = held.get(key)
+                    if places is None:
+                        places = held[key] = [], [], []
+                        size += len(key[2])
+                    for column, value in zip(places, (k1, k2, start)):
+                        column.append(value)
+                    size += 24
+        if size >= GATHER:
+            yield flush()
+            held.clear()
+            size = 0
+    if held:
+        yield flush()
 
 
 def radix(data: np.ndarray, at: np.ndarray, group: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Which of the windows at ``at`` equal another of their group, or stand for several.
-
-    A digit is read as a 64-bit mixture of its bytes, so a pass is one sort of
-    numbers; groups left at the end are compared byte by byte."""
-    alive = np.arange(len(at))
-    key = group.astype(np.uint64) * MIX[0]
+    """Which of the windows at ``at`` equal another of their group, or stand for several."""
+    alive = np.argsort(group, kind="stable")
+    first = np.concatenate([[True], np.diff(group[alive]) != 0])[: len(alive)]  # of its group
     for start in range(0, THRESHOLD, DIGIT):
-        with np.errstate(over="ignore"):
-            digit = key[alive] if start == 0 else key
-            for i in range(DIGIT // 8):
-                digit = (digit ^ octets(data, at[alive] + start + 8 * i)) * MIX[i]
-                digit ^= digit >> np.uint64(32)
-        order = np.argsort(digit)
-        ranked = digit[order]
-        edge = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        total = np.add.reduceat(weight[alive[order]], edge) if len(edge) else edge
-        keep = np.repeat(total > 1, np.diff(np.append(edge, len(ranked))))
-        alive, key = alive[order[keep]], ranked[keep]
         if not len(alive):
-            return np.zeros(len(at), bool)
-    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    sizes = np.diff(np.append(edge, len(key)))
-    leader = np.repeat(alive[edge], sizes)
-    same = group[leader] == group[alive]
-    for i in range(0, THRESHOLD, 8):
-        same &= octets(data, at[alive] + i) == octets(data, at[leader] + i)
-    for k in np.unique(np.repeat(np.arange(len(edge)), sizes)[~same]):  # two contents with one mixture: told apart by their bytes
-        part = slice(edge[k], edge[k] + sizes[k])
-        seen: dict[bytes, int] = {}
-        texts = [data[p : p + THRESHOLD].tobytes() for p in at[alive[part]]]
-        for t, w in zip(texts, weight[alive[part]], strict=True):
-            seen[t] = seen.get(t, 0) + int(w)
-        same[part] = [seen[t] > 1 for t in texts]
+            break
+        digit = octets(data, at[alive] + start).byteswap()
+        number = np.cumsum(first) - 1
+        differs = ~first & np.concatenate([[False], digit[1:] != digit[:-1]])
+        if differs.any():  # groups of one digit throughout are in order
+            mixed = np.zeros(number[-1] + 1, bool)
+            mixed[number[differs]] = True
+            part = np.flatnonzero(mixed[number])
+            order = part[np.lexsort((digit[part], number[part]))]
+            alive[part], digit[part] = alive[order], digit[order]
+            first[1:] |= digit[1:] != digit[:-1]
+        edge = np.flatnonzero(first)
+        keep = np.repeat(np.add.reduceat(weight[alive], edge) > 1, np.diff(np.append(edge, len(alive))))
+        alive, first = alive[keep], first[keep]
     out = np.zeros(len(at), bool)
-    out[alive[same]] = True
+    out[alive] = True
     return out
 
 
@@ -180,48 +203,47 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches sorted by anchor -> ``k1, k2, start, stop`` of covered bytes.  Equal
-    stretches are held once, with the places where they occur."""
-    held: dict[tuple[int, bytes], tuple[int, list[tuple[int, int, int]]]] = {}
+    """Stretches sorted by anchor and slice -> ``k1, k2, start, stop`` of covered bytes.
+    Equal stretches are held once, with the places where they occur."""
+    held: dict[tuple[int, int, bytes], list[tuple[list, list, list]]] = {}
     size = 0
 
     def solve() -> pa.RecordBatch:
-        keys = list(held)
-        counts = np.array([len(held[k][1]) for k in keys])
-        n = np.array([held[k][0] for k in keys], np.int64)
-        anchors, group = np.unique(np.array([k[0] for k in keys], np.int64), return_inverse=True)
+        keys, places = list(held), list(held.values())
+        counts = np.array([sum(len(p[0]) for p in x) for x in places])
+        n = np.array([len(k[2]) - THRESHOLD + 1 for k in keys], np.int64)
+        group = np.cumsum([i > 0 and keys[i][:2] != keys[i - 1][:2] for i in range(len(keys))])
         # a stretch that occurs twice repeats as a whole; where all do, nothing is left to sort
         open_ = np.flatnonzero((np.bincount(group, weights=counts == 1) > 0)[group])
         flags: dict[int, np.ndarray] = {}
         if len(open_):
-            for i, f in zip(open_, repeated(group[open_], counts[open_], [keys[i][1] for i in open_], n[open_]), strict=True):
+            for i, f in zip(open_, repeated(group[open_], counts[open_], [keys[i][2] for i in open_], n[open_]), strict=True):
                 flags[int(i)] = f
         out: list[tuple[int, int, int, int]] = []
         for i, k in enumerate(keys):
             if counts[i] > 1:
-                spans = [(0, len(k[1]))]
+                spans = [(0, len(k[2]))]
             elif i in flags:
                 spans = list(zip(*(x.tolist() for x in runs_of(flags[i])), strict=True))
             else:
                 spans = []
-            out += [(k1, k2, first + s, first + e) for k1, k2, first in held[k][1] for s, e in spans]
+            out += [(k1, k2, first + s, first + e) for p in places[i] for k1, k2, first in zip(*p, strict=True) for s, e in spans]
         columns = list(zip(*out, strict=True)) if out else [[]] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["k1", "k2", "start", "stop"])
 
     last = None
     for batch in rows_of(batches, 4096):
-        for anchor, k1, k2, first, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if anchor != last and size >= GATHER:
+        for anchor, number, data, *places in zip(*(batch.column(c).to_pylist() for c in ("anchor", "slice", "data", "k1", "k2", "first")), strict=True):
+            if (anchor, number) != last and size >= GATHER:
                 yield solve()
                 held.clear()
                 size = 0
-            last = anchor
-            entry = held.get((anchor, data))
-            if entry is None:
-                held[anchor, data] = (n, [(k1, k2, first)])
+            last = anchor, number
+            key = anchor, number, data
+            if key not in held:
+                held[key] = []
                 size += len(data)
-            else:
-                entry[1].append((k1, k2, first))
+            held[key].append(places)
     if held:
         yield solve()
 
@@ -253,9 +275,9 @@ def dedup(docs: DataFrame) -> DataFrame:
     than the threshold lose nothing; repeated rows repeat each other."""
     rows = with_key(docs, "doc_id", "text")
     anchors = cut(anchor_rows(rows.select("k1", "k2", "text")), "anchors")
-    common = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    wanted = anchors.join(common, "anchor", "left_semi").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("anchors"))
-    pieces = rows.join(wanted, ["k1", "k2"]).select("doc_id", "text", "k1", "k2", "anchors").mapInArrow(stretch_rows, "anchor long, k1 long, k2 long, first int, n int, data binary")
-    found = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort_groups, "k1 long, k2 long, start long, stop long")
+    common = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", F.when(F.col("n") >= HOT, F.col("anchor")).alias("hot"))
+    wanted = anchors.select("k1", "k2", "anchor").join(common, "anchor").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("anchors"), F.collect_set("hot").alias("hot"))
+    pieces = rows.join(wanted, ["k1", "k2"]).select("text", "k1", "k2", "anchors", "hot").mapInArrow(stretch_rows, "anchor long, slice int, data binary, k1 array<long>, k2 array<long>, first array<long>")
+    found = pieces.repartition("anchor", "slice").sortWithinPartitions("anchor", "slice").mapInArrow(sort_groups, "k1 long, k2 long, start long, stop long")
     spans = found.distinct().groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     return rows.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(remove, SCHEMA)

@@ -412,6 +412,21 @@ def test_suffixes_equal_all_windows(spark):
     assert [tuple(got[i])[1:] for i in range(len(texts))] == want
 
 
+def test_slices_of_equal_windows_agree(spark, monkeypatch):
+    rng = random.Random(3)
+    for _ in range(30):
+        data = bytes(rng.choice(b"abc") for _ in range(rng.choice([1, 5, 700]))) * rng.choice([1, 200])
+        seen, anchors = {}, suffixes.stretches(data)
+        for a, first, n in zip(*(x.tolist() for x in anchors[:3]), strict=True):
+            parts = list(suffixes.slices(first, n, first + np.flatnonzero(anchors[3][first : first + n + suffixes.THRESHOLD - suffixes.PIECE] == a)))
+            assert sum(n for _, _, n in parts) == n
+            for number, start, count in parts:
+                for w in range(start, start + count):
+                    assert seen.setdefault((a, data[w : w + 200]), number) == number
+    monkeypatch.setattr(suffixes, "HOT", 2)
+    test_suffixes_equal_all_windows(spark)
+
+
 def test_radix_in_rounds(monkeypatch):
     rng = random.Random(9)
     texts = [bytes(rng.choice(b"ab") for _ in range(30)) * 10 for _ in range(20)] + [b"k" * 300, b"k" * 300 + b"m"]
