@@ -65,9 +65,14 @@ def distinct_digits(text: Column) -> Column:
     return F.size(F.array_distinct(F.filter(F.split(digits(text), ""), lambda x: x != "")))
 
 
-#: The tables of the dihedral checksum (Verhoeff).
-DIHEDRAL = [[0, 1, 2, 3, 4, 5, 6, 7, 8, 9], [1, 2, 3, 4, 0, 6, 7, 8, 9, 5], [2, 3, 4, 0, 1, 7, 8, 9, 5, 6], [3, 4, 0, 1, 2, 8, 9, 5, 6, 7], [4, 0, 1, 2, 3, 9, 5, 6, 7, 8],
-            [5, 9, 8, 7, 6, 0, 4, 3, 2, 1], [6, 5, 9, 8, 7, 1, 0, 4, 3, 2], [7, 6, 5, 9, 8, 2, 1, 0, 4, 3], [8, 7, 6, 5, 9, 3, 2, 1, 0, 4], [9, 8, 7, 6, 5, 4, 3, 2, 1, 0]]
+def dihedral(a: int, b: int) -> int:
+    """The group of the pentagon's ten symmetries: 0 to 4 are rotations, 5 to 9 reflections."""
+    turn = (a + b if a < 5 else a - b) % 5
+    return turn + 5 * ((a < 5) != (b < 5))
+
+
+DIHEDRAL = [[dihedral(a, b) for b in range(10)] for a in range(10)]
+#: Verhoeff's permutation, of which the others are powers.
 PERMUTE = [[0, 1, 2, 3, 4, 5, 6, 7, 8, 9], [1, 5, 7, 6, 2, 8, 3, 0, 9, 4]]
 while len(PERMUTE) < 8:
     PERMUTE.append([PERMUTE[1][x] for x in PERMUTE[-1]])

@@ -65,29 +65,40 @@ def trimmed(found: Column, tail: str) -> Column:
     return F.filter(F.transform(found, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(cut(m))).alias("end"), cut(m).alias("text"))), lambda m: m["end"] > m["start"])
 
 
-EMAIL = r"(?U)(?<![\w.+\-])[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w\-])"
-URL = r"(?Ui)(?<![\w@])(?:(?:https?|ftp)://|www\. ?)[a-z0-9\-]+(?:(?:\.|\. (?=(?:com|net|org|in|co|gov|edu|io)\b))[a-z0-9\-]+)+(?::\d+)?(?:[/?#][^\s<>\"']*)?"
+#: A dot-atom of letters, digits and the signs that mail hosts allow; labels of letters, digits
+#: and inner hyphens; a last label of letters.
+MAIL_ATOM = r"[0-9A-Za-z_%+\-]+"
+HOST_LABEL = r"[0-9A-Za-z]+(?:-+[0-9A-Za-z]+)*"
+EMAIL_BODY = rf"{MAIL_ATOM}(?:\.{MAIL_ATOM})*@(?:{HOST_LABEL}\.)+[A-Za-z]{{2,}}"
+EMAIL = rf"(?U)(?<![\w.%+\-]){EMAIL_BODY}(?![\w\-])"
+#: Justified text may put a blank after a dot of the host.
+HOST_DOT = r"(?:\.|\. (?=[a-z0-9\-]+\.[a-z]|(?:com|net|org|in|co|gov|edu|io)\b))"
+URL = rf"(?Ui)(?<![\w@])(?:(?:https?|ftp)://|www\. ?)[a-z0-9\-]+(?:{HOST_DOT}[a-z0-9\-]+)+(?::\d+)?(?:[/?#][^\s<>\"']*)?"
 SSN_BODY = r"(?!000|666|9\d\d)\d{3}{sep}(?!00)\d{2}{sep}(?!0000)\d{4}"
 SSN = r"(?U)(?<![\w\-])" + SSN_BODY.replace("{sep}", r"[\-–]") + r"(?![\w\-])"
-SSN_LABELLED = r"(?Ui)(\b(?:ssn|social security(?: (?:number|no\.?))?)(?:\s+(?:is|was|of))?\s*[:#\-]?\s*)(" + SSN_BODY.replace("{sep}", r"[\- –]?") + r")(?![\w\-])"
-CARD = r"(?U)(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?!\d|[.\-]\d)"
+SSN_LABELLED = r"(?Ui)(\b(?:ssn|social security(?: (?:number|no\.?|#))?)(?:\s+(?:is|was|of|as|reads|(?:given|shown|listed|recorded|stated) as|on (?:file|record) is))?\s*[:#\-]?\s*)(" + SSN_BODY.replace("{sep}", r"[\- –]?") + r")(?![\w\-])"
+#: A card number has 12 to 19 digits (ISO/IEC 7812), with a blank or hyphen between any two.
+CARD_BODY = r"\d(?:[ \-]?\d){11,18}"
+CARD = rf"(?U)(?<![\d.\-]){CARD_BODY}(?!\d|[.\-]\d)"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"(?U)(?<![\w.\-])(?:{OCTET}\.){{3}}{OCTET}(?![\w\-]|\.\d)"
 H = "[0-9A-Fa-f]{1,4}"
-IPV6 = rf"(?U)(?<![\w:.])(?:(?:{H}:){{7}}{H}|(?=(?:[0-9A-Fa-f]*:){{2,7}}[0-9A-Fa-f]*(?![\w:]))(?:{H}(?::{H}){{0,6}})?::(?:{H}(?::{H}){{0,6}})?)(?![\w:])"
-PHONE_CC = r"(?U)(?<![\w+])\+\d{1,3}(?:[ .()\-]{0,3}\d){6,14}(?!\d)"
-PHONE_TRUNK = r"(?U)(?<![\w.+\-])0\d{2,4}[ \-]\d{6,8}(?!\d|\.\d)"
-PHONE_LABEL = r"(?Ui)(\b(?:tel(?:ephone)?|phone|mobile|mob|cell|fax|contact no)\b\.?(?:\s*(?:nos?|number)\b\.?)?\s*[:\-]?\s*)(\+?\d[\d ()\-]{6,20}\d)"
+IPV6 = rf"(?U)(?<![\w:.])(?:(?:{H}:){{7}}{H}|(?=(?:[0-9A-Fa-f]*:){{2,7}}[0-9A-Fa-f]*(?![\w:]))(?:{H}(?::{H}){{0,6}})?::(?:{H}(?::{H}){{0,6}})?)(?:/(?:12[0-8]|1[01]\d|\d{{1,2}})(?!\d))?(?![\w:])"
+#: International numbers (E.164): a plus and 8 to 15 digits, the first not 0, with up to two
+#: blanks, dots, hyphens or brackets before each.
+PHONE_BODY = r"\+[1-9](?:[ .()\-]{0,2}\d){7,14}"
+PHONE_CC = rf"(?U)(?<![\w+]){PHONE_BODY}(?!\d)"
+#: National numbers: the trunk digit 0, an area code of two to four digits, and the subscriber's.
+PHONE_TRUNK = r"(?U)(?<![\w.+\-])0[1-9]\d{1,3}[ \-]\d{3,4}[ \-]?\d{3,4}(?!\d|\.\d)"
+PHONE_NUMBER = r"\+?\d[\d ()\-]{6,20}\d"
+PHONE_LABEL = rf"(?Ui)(\b(?:tel(?:ephone)?|phone|mobile|mob|cell|fax|contact no)\b\.?(?:\s*(?:nos?|number)\b\.?)?\s*[:\-]?\s*)({PHONE_NUMBER}(?:\s*(?:[/,;]|or|and)\s*{PHONE_NUMBER})*)"
 MONTHS = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
-DATE = rf"(?:\d{{1,2}}(?:st|nd|rd|th)?\s+{MONTHS},?\s+\d{{4}}|{MONTHS}\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}[/.\-]\d{{1,2}}[/.\-]\d{{2,4}}|{MONTHS}\s+\d{{4}})"
+DATE = rf"(?:\d{{1,2}}(?:st|nd|rd|th)?\s+{MONTHS},?\s+\d{{4}}|{MONTHS}\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+\d{{4}}|\d{{4}}(?:-\d{{1,2}}-|/\d{{1,2}}/|\.\d{{1,2}}\.)\d{{1,2}}|\d{{1,2}}[/.\-]\d{{1,2}}[/.\-]\d{{2,4}}|{MONTHS}\s+\d{{4}})"
 DOB_LABEL = rf"(?Ui)(\b(?:date of birth|birth ?date|d\.?o\.?b\b\.?|born on)\s*[:\-]?\s*(?:is\s+)?)({DATE})(?![\w/])"
-DOB_BORN = rf"(?Ui)(\b(?:born|b\.)\s+(?:on|in)?\s*)({DATE})(?![\w/])"
-BIRTH_CUE = r"(?Ui)\b(?:born|birth|birthday|aged?|years old)\b"
+DOB_BORN = rf"(?Ui)(\bborn\s+(?:(?:on|in)\s+(?:the\s+)?)?|\bb\.\s*)({DATE})(?![\w/])"
+BIRTH_CUE = r"(?Ui)\b(?:born|birth(?:day|date|place)?|age[ds]?|years? old)\b"
 NAME_TOKEN = r"(?:\p{Lu}\.|\p{Lu}[\p{L}'’\-]+)"
 NAME = rf"{NAME_TOKEN}(?:\s+(?:(?:de|da|van|von|der|bin|al|la|le)\s+)?{NAME_TOKEN}){{1,4}}"
-HONORIFIC = rf"(?U)((?<![\w.])(?:{any_of(L.HONORIFICS)})\s+)({NAME_TOKEN}(?:\s+{NAME_TOKEN}){{0,4}})"
-CUE_NAME = rf"(?U)((?<!\w)(?:{any_of(L.PERSON_CUES)})\s*[:\-–]\s*)({NAME})"
-NAME_CUE = rf"(?U)(?<!\w){NAME}(?=\s*[,|]\s+(?:{any_of(L.PERSON_CUES)})\b)"
 
 
 def has_digit() -> Column:
@@ -120,7 +131,10 @@ def plausible_phone(m: Column) -> Column:
 
 @register("phone.pattern", "PHONE")
 def phone(config: Config) -> Column:
-    parts = [(matches(F.col("text"), PHONE_CC, guard=F.col("text").contains("+")), 0.97), (matches(F.col("text"), PHONE_TRUNK, guard=has_digit()), 0.90), (matches(F.col("text"), PHONE_LABEL, 2, 2, has_digit()), 1.0)]
+    runs = matches(F.col("text"), PHONE_LABEL, 2, 2, has_digit())
+    moved = lambda r: F.transform(matches(r["text"], PHONE_NUMBER), lambda m: F.struct((r["start"] + m["start"]).alias("start"), (r["start"] + m["end"]).alias("end"), m["text"].alias("text")))
+    labelled = F.flatten(F.transform(runs, moved))
+    parts = [(matches(F.col("text"), PHONE_CC, guard=F.col("text").contains("+")), 0.97), (matches(F.col("text"), PHONE_TRUNK, guard=F.col("text").rlike("0[1-9]")), 0.90), (labelled, 1.0)]
     return F.concat(*[spans(x, "PHONE", "phone.pattern", c, plausible_phone) for x, c in parts])
 
 
@@ -248,24 +262,13 @@ def looks_like_person(text: Column, single: bool = False) -> Column:
     )
 
 
-@register("person.hybrid", "PERSON")
-def person(config: Config) -> Column:
-    parts = [
-        (matches(F.col("text"), CUE_NAME, 2, 2), 0.98, False),
-        (matches(F.col("text"), NAME_CUE), 0.95, False),
-        (matches(F.col("text"), HONORIFIC, 2, 2), 0.95, True),
-    ]
-    out = [spans(trimmed(x, " .,"), "PERSON", "person.hybrid", c, lambda m, s=s: looks_like_person(m["text"], s)) for x, c, s in parts]
-    cell = F.coalesce(norm(F.col("column_header")).isin(list(L.NAME_HEADERS)) & (F.length(F.col("text")) <= 80) & looks_like_person(F.col("text")), F.lit(False))
-    return F.concat(*out, whole_cell(cell, "PERSON", "person.hybrid"))
-
-
 def name_hint(local: Column) -> Column:
-    """A person's name inside the local part of an address, or null."""
-    parts = F.filter(F.transform(F.split(local, r"[._\-+]"), lambda x: F.regexp_replace(x, r"\d+$", "")), lambda x: x != "")
+    """A person's name inside the local part of an address, or null; words that are no name
+    (offices, firms, titles) are left out."""
+    parts = F.filter(F.transform(F.split(local, r"[._\-+]"), lambda x: F.regexp_replace(x, r"\d+$", "")), lambda x: (x != "") & ~F.lower(x).isin(list(L.MAIL_NOISE)))
     fine = (
         F.size(parts).between(2, 3)
-        & F.forall(parts, lambda x: x.rlike("^[A-Za-z]{2,}$") & ~F.lower(x).isin(list(L.ROLE_MAILBOXES)))
+        & F.forall(parts, lambda x: x.rlike("^[A-Za-z]{2,}$"))
         & F.exists(parts, lambda x: F.length(x) > 2)
     )
     return F.when(fine, F.array_join(F.transform(parts, lambda x: F.initcap(F.lower(x))), " "))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from spanveil.config import SWEPT, Config
 from spanveil.functions import lexicons as L
-from spanveil.functions.text import matches, norm
+from spanveil.functions.text import let, matches, norm
 from spanveil.operators.detectors import any_of, looks_like_person, name_hint
+from spanveil.sources.store import keep
 
 DERIVED, OBSERVED = 0.72, 0.95
 ALIAS = r"(?U)((?:\p{Lu}[\p{L}\d&.'’\-]*\s+(?:(?:and|&)\s+)?){1,8}(?:" + any_of(L.ORG_SUFFIXES) + r"))\s*\((?:the\s+)?[\"“]([^\"”)]{2,60})[\"”]\)"
@@ -78,57 +79,109 @@ def build(spans: DataFrame, segments: DataFrame, config: Config) -> DataFrame:
     ).select("scope", "key", "surface", "pii_type", F.when((F.col("dependent") == 1) & (F.col("parent_key") != F.col("key")), F.col("parent_key")).alias("parent_key"), "derived", "sources")
 
 
-def canonical(gazetteer: DataFrame, steps: int = 3) -> DataFrame:
-    """Adds ``canonical_key``: the end of each alias chain.  Chains are short (alias, name,
-    whole name), and a step that leads nowhere or back ends it."""
-    out = gazetteer.withColumn("canonical_key", F.coalesce("parent_key", "key"))
-    links = gazetteer.where("parent_key is not null").select(F.col("scope").alias("s"), F.col("key").alias("k"), F.col("parent_key").alias("p"))
-    for _ in range(steps):
-        out = out.join(links, (F.col("scope") == F.col("s")) & (F.col("canonical_key") == F.col("k")), "left")
-        out = out.withColumn("canonical_key", F.when(F.col("p").isNotNull() & (F.col("p") != F.col("key")), F.col("p")).otherwise(F.col("canonical_key"))).drop("s", "k", "p")
-    return out
+def canonical(gazetteer: DataFrame) -> DataFrame:
+    """Adds ``canonical_key``: the end of each alias chain, however long.  A parent that is no
+    entry ends its chain; names that lead into a circle stand for themselves.
+
+    Every round doubles the length of the chains that are followed."""
+    end = gazetteer.select("scope", "key", F.coalesce("parent_key", "key").alias("canonical_key"))
+    n = gazetteer.where("parent_key is not null").count()
+    for _ in range(n.bit_length()):
+        far = end.select(F.col("scope").alias("s"), F.col("key").alias("k"), F.col("canonical_key").alias("next"))
+        step = end.join(far, (F.col("scope") == F.col("s")) & (F.col("canonical_key") == F.col("k")), "left")
+        step = keep(step.select("scope", "key", F.coalesce("next", "canonical_key").alias("canonical_key"), (F.col("next") != F.col("canonical_key")).alias("moved")), "chains")
+        end = step.drop("moved")
+        if step.where("moved").isEmpty():
+            break
+    on = gazetteer.where("parent_key is not null").select(F.col("scope").alias("s"), F.col("key").alias("k"))
+    out = end.join(on, (F.col("scope") == F.col("s")) & (F.col("canonical_key") == F.col("k")), "left")
+    out = out.select("scope", "key", F.when(F.col("k").isNull(), F.col("canonical_key")).otherwise(F.col("key")).alias("canonical_key"))
+    return gazetteer.join(out, ["scope", "key"])
 
 
 def case_sensitive(surface: Column) -> Column:
     return (F.length(surface) <= 6) & surface.rlike(r"^\p{Lu}+$")
 
 
-def alternations(gazetteer: DataFrame) -> DataFrame:
-    """``scope, pii_type, cased, derived, pattern``: the entries of one scope as one pattern
-    each, longest first, blanks of any width, no word or mail character beside."""
+def entries_of(gazetteer: DataFrame) -> DataFrame:
+    """What is looked for: entries of swept kinds, three characters long or more."""
+    return gazetteer.where(F.col("pii_type").isin(list(SWEPT)) & (F.length("surface") >= 3))
+
+
+def alternations(entries: DataFrame) -> DataFrame:
+    """``scope, pii_type, pattern``: the entries of one scope and kind as one pattern, longest
+    first, blanks of any width, no word or mail character beside; entries in capitals
+    by their case only."""
     quoted = F.concat(F.lit("\\Q"), F.regexp_replace("surface", r"(?U)\s+", r"\\E\\s+\\Q"), F.lit("\\E"))
     lead = F.when(F.col("surface").rlike(r"(?U)^\w"), r"(?<![\w@.])").otherwise("")
     tail = F.when(F.col("surface").rlike(r"(?U)\w$"), r"(?![\w@])").otherwise("")
-    forms = gazetteer.where(F.length("surface") >= 3).select("scope", "pii_type", case_sensitive(F.col("surface")).alias("cased"), "derived", F.struct((-F.length("surface")).alias("n"), F.lower("surface").alias("s"), F.concat(lead, quoted, tail).alias("p")).alias("form"))
-    grouped = forms.groupBy("scope", "pii_type", "cased", "derived").agg(F.transform(F.array_sort(F.collect_set("form")), lambda x: x["p"]).alias("forms"))
-    return grouped.select("scope", "pii_type", "cased", "derived", F.concat(F.when(F.col("cased"), F.lit("(?U)")).otherwise(F.lit("(?Uiu)")), F.lit("(?:"), F.array_join("forms", "|"), F.lit(")")).alias("pattern"))
-
-
-def sweep(segments: DataFrame, gazetteer: DataFrame, config: Config) -> DataFrame:
-    """Pass 2 for document scope: segments meet the patterns of their document only."""
-    patterns = alternations(gazetteer.where(F.col("pii_type").isin(list(SWEPT)))).withColumnRenamed("pii_type", "kind")
-    met = segments.select(scope_of(config).alias("scope"), "doc_id", "key", "text").join(patterns, "scope")
-    hit = F.explode(matches(F.col("text"), F.col("pattern"))).alias("m")
-    return met.select("doc_id", "key", "kind", "derived", hit).select(
-        "doc_id", "key", F.col("m.start").alias("start"), F.col("m.end").alias("end"), F.col("m.text").alias("text"), F.col("kind").alias("pii_type"),
+    one = F.when(case_sensitive(F.col("surface")), F.concat(F.lit("(?-i:"), quoted, F.lit(")"))).otherwise(quoted)
+    forms = entries.select("scope", "pii_type", F.struct((-F.length("surface")).alias("n"), F.lower("surface").alias("s"), F.concat(lead, one, tail).alias("p")).alias("form"))
+    grouped = forms.groupBy("scope", "pii_type").agg(F.transform(F.array_sort(F.collect_set("form")), lambda x: x["p"]).alias("forms"))
+    return grouped.select("scope", "pii_type", F.concat(F.lit("(?Uiu)(?:"), F.array_join("forms", "|"), F.lit(")")).alias("pattern"))
+
+
+HIT = "array<struct<start:int,stop:int,text:string>>"
+
+
+def swept(hits: DataFrame, entries: DataFrame) -> DataFrame:
+    """``scope, doc_id, key, pii_type, start, end, text`` -> spans: the leftmost, and of these the
+    longest, hits of each segment and kind that do not overlap."""
+    rows = F.array_sort(F.collect_set(F.struct("start", (-F.col("end")).alias("stop"), "text")))
+    end = lambda a: F.coalesce(-F.get(a, F.size(a) - 1)["stop"], F.lit(0))
+    pick = lambda a, x: F.when(x["start"] >= end(a), F.concat(a, F.array(x))).otherwise(a)
+    kept = hits.groupBy("scope", "doc_id", "key", "pii_type").agg(F.aggregate(rows.cast(HIT), F.array().cast(HIT), pick).alias("r"))
+    kept = kept.select("scope", "doc_id", "key", "pii_type", F.explode("r").alias("h")).withColumn("norm", norm(F.col("h.text")))
+    known = entries.select(F.col("scope").alias("s"), F.col("key").alias("k"), "derived")
+    out = kept.join(known, (F.col("scope") == F.col("s")) & (F.col("norm") == F.col("k")))
+    return out.select(
+        "doc_id", "key", F.col("h.start").alias("start"), (-F.col("h.stop")).alias("end"), F.col("h.text").alias("text"), "pii_type",
         F.lit("gazetteer.sweep").alias("detector"), F.when(F.col("derived"), DERIVED).otherwise(OBSERVED).alias("confidence"),
     )
 
 
-def sweep_ngrams(segments: DataFrame, gazetteer: DataFrame, config: Config, longest: int = 8) -> DataFrame:
-    """Pass 2 for large dictionaries: word n-grams of the segments meet the dictionary in an
-    equi-join on their normal form, and overlapping hits of a kind give way to the
-    leftmost longest.  Cost follows the text, not the number of entries."""
-    token = matches(F.col("text"), r"(?U)[\w@.&'’\-+/]*\w\.?")
-    grams = segments.withColumn("scope", scope_of(config)).select("scope", "doc_id", "key", "text", token.alias("w"))
-    grams = grams.select("scope", "doc_id", "key", "text", "w", F.explode(F.sequence(F.lit(1), F.lit(longest))).alias("n")).where("size(w) >= n")
-    cells = F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.struct(F.get(F.col("w"), i - 1)["start"].alias("start"), F.get(F.col("w"), i + F.col("n") - 2)["end"].alias("end")))
-    spots = grams.select("scope", "doc_id", "key", "text", F.explode(cells).alias("c"))
-    spots = spots.select("scope", F.col("doc_id"), F.col("key").alias("seg"), F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.substring(F.col("text"), F.col("c.start") + 1, F.col("c.end") - F.col("c.start")).alias("text"))
-    spots = spots.withColumn("key", norm(F.col("text")))
-    hits = spots.join(gazetteer.where(F.col("pii_type").isin(list(SWEPT)) & (F.length("surface") >= 3)), ["scope", "key"]).where(~case_sensitive(F.col("surface")) | (F.col("text") == F.col("surface")))
-    rows = F.array_sort(F.collect_set(F.struct("start", (-F.col("end")).alias("stop"), "text", "derived")))
-    pick = lambda a, x: F.when(x["start"] >= F.coalesce(-F.element_at(F.concat(F.array(F.lit(None).cast("struct<start:int,stop:int,text:string,derived:boolean>")), a), -1)["stop"], F.lit(0)), F.concat(a, F.array(x))).otherwise(a)
-    kept = hits.groupBy("doc_id", "seg", "pii_type").agg(rows.alias("r"))
-    kept = kept.select("doc_id", F.col("seg").alias("key"), "pii_type", F.explode(F.aggregate("r", F.array().cast("array<struct<start:int,stop:int,text:string,derived:boolean>>"), pick)).alias("h"))
-    return kept.select("doc_id", "key", F.col("h.start").alias("start"), (-F.col("h.stop")).alias("end"), F.col("h.text").alias("text"), "pii_type", F.lit("gazetteer.sweep").alias("detector"), F.when(F.col("h.derived"), DERIVED).otherwise(OBSERVED).alias("confidence"))
+def sweep(segments: DataFrame, gazetteer: DataFrame, config: Config) -> DataFrame:
+    """Pass 2 for document scope: segments meet the patterns of their document only."""
+    entries = entries_of(gazetteer)
+    met = segments.select(scope_of(config).alias("scope"), "doc_id", "key", "text").join(alternations(entries), "scope")
+    hits = met.select("scope", "doc_id", "key", "pii_type", F.explode(matches(F.col("text"), F.col("pattern"))).alias("m"))
+    return swept(hits.select("scope", "doc_id", "key", "pii_type", "m.*"), entries)
+
+
+WORDS = r"(?U)\w+"
+
+
+def sweep_ngrams(segments: DataFrame, gazetteer: DataFrame, config: Config) -> DataFrame:
+    """Pass 2 for large dictionaries: the words of the segments meet the first words of the
+    entries in an equi-join, and the run of words that an entry is long is compared with
+    it in its normal form.  Cost follows the text and the entries that begin with its
+    words, not the number of entries; entries may have any length."""
+    entries = entries_of(gazetteer)
+    words = F.regexp_extract_all("key", F.lit(WORDS), F.lit(0))
+    heads = entries.select(
+        F.col("scope"), F.col("key").alias("entry"), "surface", "pii_type", F.get(words, F.lit(0)).alias("first"), F.size(words).alias("n"),
+        F.length(F.regexp_extract("key", r"(?U)^\W*", 0)).alias("lead"), F.length(F.regexp_extract("key", r"(?U)\W*$", 0)).alias("tail"),
+    ).where("n > 0")
+    texts = segments.where("text is not null").select(scope_of(config).alias("scope"), "doc_id", "key", "text")
+    spots = texts.select("scope", "doc_id", "key", F.posexplode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("i", "word"))
+    met = spots.withColumn("first", F.lower("word")).join(heads, ["scope", "first"])
+    asked = met.groupBy("scope", "doc_id", "key").agg(F.collect_list(F.struct("i", "n", "lead", "tail", "entry", "surface", "pii_type")).alias("asked"))
+
+    def found(w: Column) -> Column:
+        text = F.col("text")
+
+        def one(a: Column) -> Column:
+            start = F.get(w, a["i"])["start"] - a["lead"]
+            end = F.get(w, a["i"] + a["n"] - 1)["end"] + a["tail"]
+            return F.struct(start.alias("start"), end.alias("end"), F.substring(text, start + 1, end - start).alias("text"), a["entry"].alias("entry"), a["surface"].alias("surface"), a["pii_type"].alias("pii_type"))
+
+        def fine(h: Column) -> Column:
+            left = ~h["surface"].rlike(r"(?U)^\w") | ~F.substring(text, h["start"], F.lit(1)).rlike(r"(?U)[\w@.]") | (h["start"] == 0)
+            right = ~h["surface"].rlike(r"(?U)\w$") | ~F.substring(text, h["end"] + 1, F.lit(1)).rlike(r"(?U)[\w@]")
+            cased = ~case_sensitive(h["surface"]) | (h["text"] == h["surface"])
+            return F.coalesce((h["start"] >= 0) & (norm(h["text"]) == h["entry"]) & left & right & cased, F.lit(False))
+
+        return F.filter(F.transform("asked", one), fine)
+
+    hits = texts.join(asked, ["scope", "doc_id", "key"]).select("scope", "doc_id", "key", F.explode(let(matches(F.col("text"), WORDS), found)).alias("h"))
+    return swept(hits.select("scope", "doc_id", "key", "h.pii_type", "h.start", "h.end", "h.text"), entries)

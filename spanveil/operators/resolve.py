@@ -31,8 +31,8 @@ def merge_duplicates(spans: DataFrame) -> DataFrame:
 
 
 def _claims(spans: DataFrame) -> DataFrame:
-    """Claims of a segment in the order of the fold: priority, longest, first, name."""
-    order = F.struct(priority(F.col("pii_type")).alias("p"), (F.col("start") - F.col("end")).alias("l"), F.col("start").alias("s"), F.col("detector").alias("d"), F.struct("start", "end", "text", "pii_type", "detector", "confidence").alias("c"))
+    """Claims of a segment in the order of the fold: priority, longest, first, surest, name."""
+    order = F.struct(priority(F.col("pii_type")).alias("p"), (F.col("start") - F.col("end")).alias("l"), F.col("start").alias("s"), (-F.col("confidence")).alias("f"), F.col("detector").alias("d"), F.struct("start", "end", "text", "pii_type", "detector", "confidence").alias("c"))
     return spans.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["c"].cast(SPAN)).alias("claims"))
 
 

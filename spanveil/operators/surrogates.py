@@ -116,22 +116,40 @@ def url(text: Column, seed: int, key: Column, rank: Column) -> Column:
     return F.concat(lead, F.lower(pick(L.ORG_HEADS, rank)), F.when(rank >= len(L.ORG_HEADS), rank.cast("string")).otherwise(""), F.lit(".example"), path)
 
 
+#: Ranks of a corpus are counted in so many parts of the hash range.
+PARTS = 256
+
+
+def ranked(entities: DataFrame, order: Column, config: Config) -> DataFrame:
+    """``entities`` with ``rank`` from 0 on within (scope, kind), by hash.  In corpus scope a
+    kind's entities are ranked in parts of the hash range, and a part's ranks follow
+    those of the parts before it."""
+    if config.scope == "doc_id":
+        return entities.withColumn("rank", (F.row_number().over(Window.partitionBy("scope", "pii_type").orderBy(order, "canonical_key")) - 1).cast("long"))
+    part = F.floor(order / F.lit((1 << 48) / PARTS)).cast("int")
+    parts = entities.withColumn("part", part)
+    before = Window.partitionBy("scope", "pii_type").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy("scope", "pii_type", "part").agg(F.count("*").alias("n"))  # PARTS rows a kind at most
+    counts = counts.select("scope", "pii_type", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    own = parts.withColumn("place", F.row_number().over(Window.partitionBy("scope", "pii_type", "part").orderBy(order, "canonical_key")) - 1)
+    return own.join(counts, ["scope", "pii_type", "part"]).withColumn("rank", (F.col("place") + F.col("offset")).cast("long")).drop("part", "place", "offset")
+
+
 def entity_surrogates(entities: DataFrame, config: Config) -> DataFrame:
     """``scope, pii_type, canonical_key, canonical_text`` -> with ``surrogate``.
 
     Uniqueness comes from a rank within (scope, kind) by hash, run through the pools as
-    a bijection: no shared state, no order of tasks.  With document scope the windows
-    are as small as documents; corpus scope ranks a kind's distinct entities in one sort."""
+    a bijection: no shared state, no order of tasks."""
     s, text, key, rank = config.seed, F.col("canonical_text"), F.concat_ws("|", "pii_type", "canonical_key"), F.col("rank")
     kind = F.col("pii_type")
-    ranked = entities.withColumn("rank", (F.row_number().over(Window.partitionBy("scope", "pii_type").orderBy(chance(s, key), "canonical_key")) - 1).cast("long"))
+    rows = ranked(entities, chance(s, key), config)
     made = (
         F.when(kind == "PERSON", person(text, rank)).when(kind == "ORGANIZATION", organization(text, rank)).when(kind == "ADDRESS", address(text, s, key, rank))
         .when(kind == "EMAIL", email(s, key, rank)).when(kind == "URL", url(text, s, key, rank)).when(kind == "PHONE", phone(text, s, key))
         .when(kind == "SSN", ssn(text, s, key)).when(kind == "CREDIT_CARD", card(text, s, key)).when(kind == "DOB", dob(text, s, key))
         .when(kind == "IP_ADDRESS", ip(text, s, key)).otherwise(national_id(text, s, key))
     )
-    return ranked.withColumn("surrogate", F.when(norm(made) == norm(text), F.concat(made, F.lit(" II"))).otherwise(made)).drop("rank")
+    return rows.withColumn("surrogate", F.when(norm(made) == norm(text), F.concat(made, F.lit(" II"))).otherwise(made)).drop("rank")
 
 
 def squash(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from spanveil.cases import CASES
+
+
 def split_sql(table: str, doc: str, text: str, left: str, core: str, right: str, keep: str = "true") -> str:
     """Matches with offsets: context is consumed by groups, sentinels are put around the
     value, twice so that two values may share a delimiter, and lengths are summed."""
@@ -17,7 +20,9 @@ SELECT doc_id, start_at, (start_at + length(value))::INT AS end_at, value FROM y
 
 
 DOC = "doc_id::VARCHAR"
-EMAIL = ("(^|[^\\pL\\pN_.+\\x01\\-])", "[A-Za-z0-9](?:[A-Za-z0-9._%+\\-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\\-]{0,61}[A-Za-z0-9])?\\.)+[A-Za-z]{2,24}", "($|[^\\pL\\pN_\\-])")
+#: A mail address: atoms between dots, at most none of them empty; then labels of letters, digits and
+#: inner hyphens; then letters.
+EMAIL = ("(^|[^\\pL\\pN_.%+\\x01\\-])", "[\\w%+\\-]+(?:\\.[\\w%+\\-]+)*@(?:[^\\W_]+(?:-+[^\\W_]+)*\\.)+[A-Za-z][A-Za-z]+", "($|[^\\pL\\pN_\\-])")
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IP_KEEP = (
     "NOT regexp_matches(t[greatest(start_at - 13, 1):start_at], '(?i)\\b(version|ver\\.?|v|clause|section|para(graph)?|schedule|standard|release|rule|article)\\s*$') "
@@ -85,13 +90,27 @@ STRICT = "g.s = p.s AND g.e = p.e"
 RUNS = "r AS (SELECT o_custkey::VARCHAR AS doc_id, o_orderkey::VARCHAR AS key, unnest([0, 1, 2]) AS run_ix, o_orderstatus FROM orders)"
 TABLE = "x AS (SELECT (l_orderkey % 50)::VARCHAR AS doc_id, l_orderkey AS table_index, l_linenumber - 1 AS row_index, unnest([0, 1, 2]) AS col_index, unnest([l_partkey::VARCHAR, l_suppkey::VARCHAR, l_returnflag]) AS text FROM lineitem)"
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def cases_sql() -> str:
+    rows = ", ".join(f"({i}, {quoted(t)}, {'true' if h else 'false'}, {quoted(k)}, {quoted(v)})" for i, (t, h, found) in enumerate(CASES) for k, v in found)
+    return f"""
+WITH c(i, t, cell, pii_type, value) AS (VALUES {rows}),
+x AS (SELECT o_orderkey::VARCHAR AS doc_id, pii_type, value, CASE WHEN cell THEN t ELSE 'No ' || o_orderkey::VARCHAR || ': ' || t END AS t FROM orders JOIN c ON o_orderkey % {len(CASES)} = c.i)
+SELECT doc_id, (strpos(t, value) - 1)::INT AS start_at, (strpos(t, value) - 1 + length(value))::INT AS end_at, pii_type, value FROM x
+"""
+
+
 SQL: dict[str, str] = {
+    "detector_cases": cases_sql(),
     "email_spans": split_sql("documents", DOC, "text", *EMAIL),
     "email_spans_pages": split_sql("pages", "page_id::VARCHAR", "html", *EMAIL),
     "ipv4_spans": split_sql("documents", DOC, "text", "(^|[^\\pL\\pN_.\\x01\\-])", f"(?:{OCTET}\\.){{3}}{OCTET}", "($|\\.$|\\.[^0-9]|[^\\pL\\pN_.\\-])", IP_KEEP),
     "ipv6_spans": made("'2001:db8::' || lower(to_hex(o_orderkey % 65536))", "'peer '"),
-    "phone_country_spans": split_sql("documents", DOC, "text", "(^|[^\\pL\\pN_+\\x01])", "\\+[0-9]{1,3}(?:[ .()\\-]{0,3}[0-9]){6,14}", "($|[^0-9])", f"length({DIGITS}) BETWEEN 8 AND 15 AND {DISTINCT} > 2 AND {PHONE_KEEP}"),
-    "card_spans": split_sql("documents", DOC, "text", "(^|[^0-9.\\x01\\-])", "[0-9](?:[ \\-]?[0-9]){12,18}", "($|[.\\-]$|[.\\-][^0-9]|[^0-9.\\-])",
+    "phone_country_spans": split_sql("documents", DOC, "text", "(^|[^\\pL\\pN_+\\x01])", "\\+[1-9](?:[ .()\\-]{0,2}[0-9]){7,14}", "($|[^0-9])", f"length({DIGITS}) BETWEEN 8 AND 15 AND {DISTINCT} > 2 AND {PHONE_KEEP}"),
+    "card_spans": split_sql("documents", DOC, "text", "(^|[^0-9.\\x01\\-])", "[0-9](?:[ \\-]?[0-9]){11,18}", "($|[.\\-]$|[.\\-][^0-9]|[^0-9.\\-])",
                             f"{LUHN} AND {scheme_sql(DIGITS)} IS NOT NULL AND ({STRONG} OR (length(value) IN (15, 16) AND {DISTINCT} >= 4 AND NOT {REPEATED}))"),
     "card_schemes": f"WITH d AS (SELECT rpad(['4', '51', '2720', '6011', '3528', '9'][(o_orderkey % 6 + 1)::INT] || o_custkey::VARCHAR, 16, '0') AS d FROM orders) SELECT {scheme_sql('d')} AS scheme, count(*) AS n FROM d GROUP BY 1",
     "luhn_valid": f"SELECT o_orderkey, {LUHN} AS valid FROM (SELECT o_orderkey, '411111' || {pad('o_orderkey', 10)} AS value FROM orders)",

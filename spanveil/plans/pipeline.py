@@ -11,7 +11,7 @@ from spanveil.config import DEFAULT, Config
 from spanveil.operators import evaluate as E
 from spanveil.operators import scanning  # noqa: F401  (registers its detectors)
 from spanveil.operators.detectors import active
-from spanveil.operators.gazetteer import build, sweep
+from spanveil.operators.gazetteer import build, sweep, sweep_ngrams
 from spanveil.operators.resolve import resolve
 from spanveil.operators.rewrite import leaks, redact as rewrite_text
 from spanveil.operators.surrogates import replacements
@@ -55,7 +55,9 @@ def detect(segments: DataFrame, config: Config = DEFAULT, ner: DataFrame | None
     gazetteer = keep(build(first, segments, config), "gazetteer") if config.sweep else build(first, segments, config)
     raw = first
     if config.sweep:
-        raw = raw.unionByName(sweep(segments, gazetteer, config))
+        # the dictionary of a document is one small pattern, that of a corpus is not
+        again = sweep if config.scope == "doc_id" else sweep_ngrams
+        raw = raw.unionByName(again(segments, gazetteer, config))
     raw = raw.where(F.col("pii_type").isin(list(config.types)))
     return Detection(raw, gazetteer, resolve(raw, config))
 
@@ -81,20 +83,22 @@ def summary(run: Redaction) -> DataFrame:
     return by.groupBy("pii_type").agg(F.sum("n").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("detector", "n")))).alias("by_detector")).select(F.to_json(F.struct("*")).alias("summary"))
 
 
-#: Settings that are compared in an ablation.
+#: Settings that are compared in an ablation, and whether entities of a model take part.
 ABLATIONS = {
-    "full": DEFAULT,
-    "no_sweep": Config(sweep=False),
-    "no_person": DEFAULT.without("person.hybrid"),
-    "floor_0": Config(min_confidence=0.0),
-    "floor_90": Config(min_confidence=0.90),
+    "full": (DEFAULT, True),
+    "no_sweep": (Config(sweep=False), True),
+    "no_ner": (DEFAULT, False),
+    "no_ner_no_sweep": (Config(sweep=False), False),
+    "no_person": (DEFAULT.without("person.hybrid"), False),
+    "floor_0": (Config(min_confidence=0.0), True),
+    "floor_90": (Config(min_confidence=0.90), True),
 }
 
 
-def ablations(segments: DataFrame, gold: DataFrame, configs: dict[str, Config] = ABLATIONS, mode: str = "relaxed") -> DataFrame:
-    """Scores of each setting."""
+def ablations(segments: DataFrame, gold: DataFrame, ner: DataFrame | None = None, configs: dict[str, tuple[Config, bool]] = ABLATIONS, mode: str = "relaxed") -> DataFrame:
+    """Scores of each setting; ``ner``: entities of a model, if any."""
     out = None
-    for name, config in configs.items():
-        rows = E.scores(gold, detect(segments, config).spans, mode).withColumn("config", F.lit(name))
+    for name, (config, model) in configs.items():
+        rows = E.scores(gold, detect(segments, config, ner if model else None).spans, mode).withColumn("config", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanveil.cases import CASES
 from spanveil.config import DEFAULT, Config
 from spanveil.functions import text as T
 from spanveil.operators import detectors as D
@@ -56,6 +57,23 @@ ORG_TEXT = lambda: F.concat(F.lit("sold to "), F.element_at(F.array(*[F.lit(x) f
 URL_TEXT = lambda: F.concat(F.lit("see https://www.host"), (F.col("o_custkey") % 97).cast("string"), F.when(F.col("o_orderkey") % 2 == 0, ".example.com").otherwise(".gov.in"), F.lit("/p/"), F.col("o_orderkey").cast("string"), F.lit(", thanks"))
 
 
+def case_segments(spark, sf) -> DataFrame:
+    """One case of the table for each order, after the order's number."""
+    at = (F.col("o_orderkey") % len(CASES) + 1).cast("int")
+    pick = lambda values: F.element_at(F.array(*[F.lit(v).cast("string") for v in values]), at)
+    header = pick([h for _, h, _ in CASES])
+    rows = I.table(spark, sf, "orders").withColumn("header", header)
+    text = F.concat(F.when(F.col("header").isNull(), F.concat(F.lit("No "), F.col("o_orderkey").cast("string"), F.lit(": "))).otherwise(""), pick([t for t, _, _ in CASES]))
+    return I._segments(rows, F.col("o_orderkey"), F.lit(0), text, "paragraph", F.col("header"))
+
+
+@query
+def detector_cases(spark, sf):
+    """All detectors on texts with several spans, one or none."""
+    spans = P.pass_one(case_segments(spark, sf))
+    return spans.select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "pii_type", F.col("text").alias("value")).distinct()
+
+
 @query
 def email_spans(spark, sf):
     return found(I.documents(spark, sf), D.email(DEFAULT))
@@ -150,13 +168,13 @@ def url_hosts(spark, sf):
 
 @query
 def person_honorific(spark, sf):
-    return found(order_texts(spark, sf, NAME_TEXT()), D.person(DEFAULT))
+    return found(order_texts(spark, sf, NAME_TEXT()), S.person(DEFAULT))
 
 
 @query
 def person_column_header(spark, sf):
     text = F.concat(F.lit("Arlo "), F.element_at(F.array(*[F.lit(x) for x in ("Velden", "Road", "Yardley")]), (F.col("o_orderkey") % 3 + 1).cast("int")))
-    return found(order_texts(spark, sf, text, "Name"), D.person(DEFAULT))
+    return found(order_texts(spark, sf, text, "Name"), S.person(DEFAULT))
 
 
 @query

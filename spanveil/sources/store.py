@@ -12,7 +12,11 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once and read it back, so that later uses neither repeat its work nor
     depend on the executors that did it.  The files go when the JVM ends."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/spanveil-shared"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/spanveil-shared"
     path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
