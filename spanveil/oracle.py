@@ -103,7 +103,51 @@ SELECT doc_id, (strpos(t, value) - 1)::INT AS start_at, (strpos(t, value) - 1 +
 """
 
 
+#: The fold over the claims of a segment: each meets the accepted ones in order and is kept, cut or dropped.
+CUT = """CASE WHEN x.s < 0 OR x.s >= a.e OR a.s >= x.e THEN x WHEN x.s >= a.s AND x.e <= a.e THEN {'s': -1, 'e': -1, 't': x.t}
+  WHEN a.s - x.s >= x.e - a.e THEN CASE WHEN a.s - x.s >= 3 THEN {'s': x.s, 'e': a.s, 't': x.t} ELSE {'s': -1, 'e': -1, 't': x.t} END
+  ELSE CASE WHEN x.e - a.e >= 3 THEN {'s': a.e, 'e': x.e, 't': x.t} ELSE {'s': -1, 'e': -1, 't': x.t} END END"""
+RESOLVED = f"""RECURSIVE {CLAIMS},
+merged AS (SELECT doc_id, key, start_at, end_at, pii_type, string_agg(DISTINCT detector, '+' ORDER BY detector) AS detector, max(confidence) AS confidence FROM c WHERE confidence >= 0.6 GROUP BY 1, 2, 3, 4, 5),
+ranked AS (SELECT doc_id, key, {{'s': start_at, 'e': end_at, 't': pii_type}} AS x,
+  row_number() OVER (PARTITION BY doc_id, key ORDER BY CASE pii_type WHEN 'EMAIL' THEN 10 WHEN 'PHONE' THEN 40 ELSE 80 END, start_at - end_at, start_at, -confidence, detector) AS place FROM merged),
+folded AS (
+  SELECT doc_id, key, 1 AS place, [x] AS taken FROM ranked WHERE place = 1
+  UNION ALL
+  SELECT f.doc_id, f.key, f.place + 1, list_filter(list_append(f.taken, list_reduce(f.taken, lambda x, a: {CUT}, r.x)), lambda y: y.s >= 0)
+  FROM folded f JOIN ranked r ON r.doc_id = f.doc_id AND r.key = f.key AND r.place = f.place + 1
+),
+resolved AS (SELECT doc_id, key, unnest(taken, recursive := true) FROM folded QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY place DESC) = 1)"""
+PERMUTATION = "1576283094"
+
+
+def permutations() -> str:
+    """The eight powers of the permutation, one after the other."""
+    rows = ["0123456789"]
+    while len(rows) < 8:
+        rows.append("".join(PERMUTATION[int(x)] for x in rows[-1]))
+    return "".join(rows)
+
+
+TURNED = "((CASE WHEN a < 5 THEN a + b ELSE a - b + 10 END) % 5 + CASE WHEN (a < 5) <> (b < 5) THEN 5 ELSE 0 END)"
+VERHOEFF = f"""WITH b AS (SELECT o_orderkey, reverse('2' || {pad('o_orderkey', 10)} || '0') AS t FROM orders),
+f AS (SELECT o_orderkey, list_reduce(list_transform(range(0, 12), lambda i: substr('{permutations()}', ((i % 8) * 10 + substr(t, i + 1, 1)::INT + 1)::INT, 1)::INT), lambda a, b: {TURNED}, 0) AS c FROM b)
+SELECT o_orderkey, (CASE WHEN c < 5 THEN (5 - c) % 5 ELSE c END)::INT AS digit FROM f"""
+FIRST = "['Arlo', 'Bram', 'Cato', 'Dane'][(o_custkey % 4 + 1)::INT]"
+#: Documents that introduce a name, and the order texts in which its forms stand.
+NAMES = f"""n AS (SELECT DISTINCT o_custkey, {FIRST} AS first FROM orders WHERE o_orderkey % 2 = 0),
+h AS (SELECT o_custkey::VARCHAR AS doc_id, o_custkey::VARCHAR || '/' || o_orderkey::VARCHAR AS key, unnest(CASE WHEN o_orderkey % 2 = 0 THEN [{{'s': 4, 'n': length(first) + 7, 'c': 0.95}}] ELSE [{{'s': 5, 'n': 6, 'c': 0.72}}, {{'s': 16, 'n': length(first) + 7, 'c': 0.95}}] END) AS m FROM orders JOIN n USING (o_custkey))"""
+SHAPE = "regexp_replace({}, '[0-9]', '9', 'g')"
+
 SQL: dict[str, str] = {
+    "resolve_greedy": f"WITH {RESOLVED} SELECT doc_id, key, s AS start_at, e AS end_at, t AS pii_type FROM resolved",
+    "resolve_stats": f"""WITH {RESOLVED}, k AS (SELECT count(*) AS n FROM c WHERE confidence >= 0.6), m AS (SELECT count(*) AS n FROM merged), r AS (SELECT count(*) AS n FROM resolved),
+z AS (SELECT count(*) AS n FROM resolved y WHERE NOT EXISTS (SELECT 1 FROM merged x WHERE x.doc_id = y.doc_id AND x.key = y.key AND x.start_at = y.s AND x.end_at = y.e AND x.pii_type = y.t))
+SELECT (SELECT count(*) FROM c) AS n_input, (SELECT count(*) FROM c) - k.n AS n_low_confidence, k.n - m.n AS n_duplicates, m.n - r.n AS n_dropped, z.n AS n_truncated, r.n AS n_output FROM k, m, r, z""",
+    "gazetteer_sweep": f"WITH {NAMES} SELECT doc_id, key, m.s::INT AS start_at, (m.s + m.n)::INT AS end_at, m.c::DOUBLE AS confidence FROM h",
+    "gazetteer_sweep_ngrams": f"WITH {NAMES} SELECT doc_id, key, m.s::INT AS start_at, (m.s + m.n)::INT AS end_at FROM h",
+    "gazetteer_build": f"WITH {NAMES} SELECT o_custkey::VARCHAR AS scope, lower(first) || ' velden' AS key, 'PERSON' AS pii_type, '' AS parent_key, false AS derived FROM n UNION ALL SELECT o_custkey::VARCHAR, 'velden', 'PERSON', lower(first) || ' velden', true FROM n",
+    "canonical_chain": f"WITH {NAMES} SELECT lower(first) || ' velden' AS canonical_key, 2 * count(*) AS n FROM n GROUP BY 1",
     "detector_cases": cases_sql(),
     "email_spans": split_sql("documents", DOC, "text", *EMAIL),
     "email_spans_pages": split_sql("pages", "page_id::VARCHAR", "html", *EMAIL),
@@ -114,7 +158,7 @@ SQL: dict[str, str] = {
                             f"{LUHN} AND {scheme_sql(DIGITS)} IS NOT NULL AND ({STRONG} OR (length(value) IN (15, 16) AND {DISTINCT} >= 4 AND NOT {REPEATED}))"),
     "card_schemes": f"WITH d AS (SELECT rpad(['4', '51', '2720', '6011', '3528', '9'][(o_orderkey % 6 + 1)::INT] || o_custkey::VARCHAR, 16, '0') AS d FROM orders) SELECT {scheme_sql('d')} AS scheme, count(*) AS n FROM d GROUP BY 1",
     "luhn_valid": f"SELECT o_orderkey, {LUHN} AS valid FROM (SELECT o_orderkey, '411111' || {pad('o_orderkey', 10)} AS value FROM orders)",
-    "verhoeff_valid": "SELECT count(*) AS n, count(*) AS one_digit_each FROM orders",
+    "verhoeff_valid": VERHOEFF,
     "ssn_spans": made(SSN, "'Case ' || o_orderkey::VARCHAR || ' SSN '", "o_custkey % 999 NOT IN (0, 666) AND o_custkey % 999 < 900 AND o_orderkey % 100 <> 0 AND o_custkey * 7 % 10000 <> 0"),
     "dob_spans": made(DAY, "'Clerk ' || o_custkey::VARCHAR || ', Date of Birth: '"),
     "dob_contextual_spans": made("strftime(o_orderdate, '%Y-%m-%d')", "'She was born in Leeds, '"),
@@ -134,12 +178,14 @@ SQL: dict[str, str] = {
     "brand_forms": "SELECT o_orderkey, ['Brenmar Foundry', 'BFX Calvex|BFX', ''][(o_orderkey % 3 + 1)::INT] AS forms FROM orders",
     "confidence_floor": f"WITH {CLAIMS} SELECT pii_type, count(*) AS n FROM c WHERE confidence >= 0.6 GROUP BY 1",
     "merge_duplicates": f"WITH {CLAIMS} SELECT doc_id, key, start_at, end_at, pii_type, string_agg(DISTINCT detector, '+' ORDER BY detector) AS detector, round(max(confidence), 4)::DOUBLE AS confidence FROM c GROUP BY 1, 2, 3, 4, 5",
-    "disjointness_check": "SELECT 0::BIGINT AS n_overlapping",
-    "leak_check": "SELECT 0::BIGINT AS n_leaks",
-    "card_surrogate_luhn": f"SELECT count(*) AS n, count(*) AS n_fine FROM (SELECT DISTINCT '4111-11' || {pad('o_orderkey % 100', 2)} || '-1111-' || {pad('o_custkey % 10000', 4)} AS v FROM orders)",
-    "ssn_surrogate": f"SELECT count(*) AS n, count(*) AS n_fine FROM (SELECT DISTINCT o_custkey % 600, o_orderkey % 9999 FROM orders)",
-    "phone_surrogate": "SELECT count(*) AS n, count(*) AS n_fine FROM (SELECT DISTINCT o_custkey % 100000 FROM orders)",
-    "surrogate_uniqueness": "SELECT count(*) AS n, count(*) AS n_fine FROM customer",
+    "disjointness_check": f"WITH {RESOLVED} SELECT doc_id, key, count(*) AS n, sum(e - s)::BIGINT AS characters, 0::BIGINT AS n_overlapping FROM resolved GROUP BY 1, 2",
+    "leak_check": "SELECT doc_id, 0::BIGINT AS n_leaks FROM (SELECT doc_id::VARCHAR AS doc_id FROM documents)",
+    "leaks_known": "WITH o AS (SELECT (o_custkey % 200)::VARCHAR AS doc_id, o_orderkey::VARCHAR AS key, o_custkey AS c, o_orderkey AS k FROM orders), v AS (SELECT DISTINCT doc_id, 'Zorvex' || (c % 50)::VARCHAR AS original FROM o) "
+                   "SELECT o.doc_id, o.key, v.original FROM o JOIN v ON o.doc_id = v.doc_id AND contains(CASE WHEN k % 3 = 0 THEN 'kept Zorvex' || (c % 50)::VARCHAR || ' here' ELSE 'gone' END, v.original)",
+    "card_surrogate_luhn": f"SELECT DISTINCT v AS original, {SHAPE.format('v')} AS shape, '41' AS lead, true AS valid, true AS other FROM (SELECT '4111-11' || {pad('o_orderkey % 100', 2)} || '-1111-' || {pad('o_custkey % 10000', 4)} AS v FROM orders)",
+    "ssn_surrogate": f"SELECT DISTINCT v AS original, {SHAPE.format('v')} AS shape, true AS valid, true AS other FROM (SELECT {pad('o_custkey % 600 + 100', 3)} || '-12-' || {pad('o_orderkey % 9999 + 1', 4)} AS v FROM orders)",
+    "phone_surrogate": f"SELECT DISTINCT v AS original, {SHAPE.format('v')} AS shape, '+91' AS lead, true AS valid, true AS other FROM (SELECT '+91 98765 ' || {pad('o_custkey % 100000', 5)} AS v FROM orders)",
+    "surrogate_uniqueness": "SELECT 'p' || c_custkey::VARCHAR AS canonical_key, 1::BIGINT AS holders FROM customer",
     "digit_substitution": "SELECT o_orderkey, '(' || d[1:2] || ') ' || d[3:4] || '-' || d[5:6] || ' ' || d[7:9] AS filled FROM (SELECT o_orderkey, rpad(o_custkey::VARCHAR, 9, '0') AS d FROM orders)",
     "run_offset_map": f"WITH {RUNS} SELECT doc_id, key, run_ix, [0, 8, 14][run_ix + 1] AS start_at, [8, 14, 14 + length('mple.org for ') + length(o_orderstatus)][run_ix + 1]::INT AS end_at FROM r",
     "run_overlap_rewrite": f"WITH {RUNS} SELECT doc_id, key, run_ix, ['Mail [MAIL]', '', ' for ' || o_orderstatus][run_ix + 1] AS new_text FROM r",

@@ -119,10 +119,10 @@ def luhn_valid(spark, sf):
 
 @query
 def verhoeff_valid(spark, sf):
-    body = I.table(spark, sf, "orders").select(F.concat(F.lit("2"), three(F.col("o_orderkey"), 10)).alias("body"))
-    return body.agg(F.count("*").alias("n"),
-        F.sum(F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.when(T.verhoeff(F.concat("body", d.cast("string"))) == 0, 1).otherwise(0)), F.lit(0), lambda a, x: a + x)).alias("one_digit_each")
-    )
+    """The digit that makes each number valid."""
+    body = I.table(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("2"), three(F.col("o_orderkey"), 10)).alias("body"))
+    fits = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: T.verhoeff(F.concat("body", d.cast("string"))) == 0)
+    return body.select("o_orderkey", F.when(F.size(fits) == 1, F.get(fits, F.lit(0))).alias("digit"))
 
 
 @query
@@ -243,7 +243,10 @@ def resolve_greedy(spark, sf):
 
 @query
 def disjointness_check(spark, sf):
-    return R.overlapping(R.resolve(claims(spark, sf), DEFAULT)).agg(F.count("*").alias("n_overlapping"))
+    done = R.resolve(claims(spark, sf), DEFAULT)
+    clash = R.overlapping(done).groupBy("doc_id", "key").agg(F.count("*").alias("m"))
+    each = done.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("characters"))
+    return each.join(clash, ["doc_id", "key"], "left").select("doc_id", "key", "n", "characters", F.coalesce("m", F.lit(0)).alias("n_overlapping"))
 
 
 @query
@@ -274,7 +277,18 @@ def redact_documents(spark, sf):
 
 @query
 def leak_check(spark, sf):
-    return P.redact(I.documents(spark, sf)).leaks.agg(F.count("*").alias("n_leaks"))
+    seg = I.documents(spark, sf)
+    n = P.redact(seg).leaks.groupBy("doc_id").agg(F.count("*").alias("n"))
+    return seg.select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_leaks"))
+
+
+@query
+def leaks_known(spark, sf):
+    """A third of the texts still hold their value."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    value = F.concat(F.lit("Zorvex"), (c % 50).cast("string"))
+    rows = I.table(spark, sf, "orders").select((c % 200).cast("string").alias("doc_id"), k.cast("string").alias("key"), value.alias("text"), F.when(k % 3 == 0, F.concat(F.lit("kept "), value, F.lit(" here"))).otherwise("gone").alias("redacted"))
+    return W.leaks(rows, rows)
 
 
 @query
@@ -325,10 +339,11 @@ def gazetteer_sweep_ngrams(spark, sf):
     return G.sweep_ngrams(seg, G.build(P.pass_one(seg, seeding=True), seg, DEFAULT), DEFAULT).select("doc_id", "key", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
 
-def surrogate_check(spark, sf, kind: str, text: Column, fine: Callable[[Column, Column], Column]) -> DataFrame:
+def surrogates_of(spark, sf, kind: str, text: Column) -> DataFrame:
+    """``original, shape, surrogate, other``: shape is the surrogate with a 9 for each digit."""
     e = I.table(spark, sf, "orders").select(F.lit("corpus").alias("scope"), F.lit(kind).alias("pii_type"), T.norm(text).alias("canonical_key"), text.alias("canonical_text")).distinct()
-    made = Z.entity_surrogates(e, DEFAULT)
-    return made.agg(F.count("*").alias("n"), F.count_if(fine(F.col("canonical_text"), F.col("surrogate"))).alias("n_fine"))
+    made = Z.entity_surrogates(e, Config(scope="corpus"))
+    return made.select(F.col("canonical_text").alias("original"), F.regexp_replace("surrogate", "[0-9]", "9").alias("shape"), "surrogate", (F.col("surrogate") != F.col("canonical_text")).alias("other"))
 
 
 CARD_TEXT = lambda: F.concat(F.lit("4111-11"), three(F.col("o_orderkey") % 100, 2), F.lit("-1111-"), three(F.col("o_custkey") % 10000, 4))
@@ -336,25 +351,27 @@ CARD_TEXT = lambda: F.concat(F.lit("4111-11"), three(F.col("o_orderkey") % 100,
 
 @query
 def card_surrogate_luhn(spark, sf):
-    return surrogate_check(spark, sf, "CREDIT_CARD", CARD_TEXT(), lambda a, b: D.luhn(b) & (F.length(a) == F.length(b)) & (F.substring(a, 1, 2) == F.substring(b, 1, 2)))
+    return surrogates_of(spark, sf, "CREDIT_CARD", CARD_TEXT()).select("original", "shape", F.substring("surrogate", 1, 2).alias("lead"), D.luhn(F.col("surrogate")).alias("valid"), "other")
 
 
 @query
 def ssn_surrogate(spark, sf):
     text = F.concat(three(F.col("o_custkey") % 600 + 100, 3), F.lit("-12-"), three(F.col("o_orderkey") % 9999 + 1, 4))
-    return surrogate_check(spark, sf, "SSN", text, lambda a, b: b.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}$"))
+    return surrogates_of(spark, sf, "SSN", text).select("original", "shape", F.col("surrogate").rlike(r"^(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}$").alias("valid"), "other")
 
 
 @query
 def phone_surrogate(spark, sf):
     text = F.concat(F.lit("+91 98765 "), three(F.col("o_custkey") % 100000, 5))
-    return surrogate_check(spark, sf, "PHONE", text, lambda a, b: b.rlike(r"^\+91 [2-9]\d{4} \d{5}$"))
+    return surrogates_of(spark, sf, "PHONE", text).select("original", "shape", F.substring("surrogate", 1, 3).alias("lead"), F.col("surrogate").rlike(r"^\+91 [2-9]").alias("valid"), "other")
 
 
 @query
 def surrogate_uniqueness(spark, sf):
+    """How many entities share each one's surrogate."""
     e = I.table(spark, sf, "customer").select(F.lit("corpus").alias("scope"), F.lit("PERSON").alias("pii_type"), F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("canonical_key"), F.lit("Arlo Velden").alias("canonical_text"))
-    return Z.entity_surrogates(e, DEFAULT).agg(F.count("*").alias("n"), F.count_distinct("surrogate").alias("n_fine"))
+    made = Z.entity_surrogates(e, Config(scope="corpus"))
+    return made.join(made.groupBy("surrogate").agg(F.count("*").alias("holders")), "surrogate").select("canonical_key", "holders")
 
 
 @query
