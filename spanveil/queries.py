@@ -21,6 +21,7 @@ from spanveil.plans import pipeline as P
 from spanveil.sources import corpus
 from spanveil.sources import segments as I
 from spanveil.sources.ner import ner_spans
+from spanveil.sources.store import keep
 from spanveil.streaming import stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -315,28 +316,29 @@ def name_segments(spark, sf) -> DataFrame:
     return I._segments(I.table(spark, sf, "orders").withColumn("t", text), k, F.col("o_orderkey"), F.col("t"), "paragraph")
 
 
+def names_dictionary(spark, sf) -> tuple[DataFrame, DataFrame]:
+    seg = name_segments(spark, sf)
+    return seg, keep(G.build(keep(P.pass_one(seg, seeding=True), "names"), seg, DEFAULT), "dictionary")
+
+
 @query
 def gazetteer_build(spark, sf):
-    seg = name_segments(spark, sf)
-    return G.build(P.pass_one(seg, seeding=True), seg, DEFAULT).select("scope", "key", "pii_type", F.coalesce("parent_key", F.lit("")).alias("parent_key"), "derived")
+    return names_dictionary(spark, sf)[1].select("scope", "key", "pii_type", F.coalesce("parent_key", F.lit("")).alias("parent_key"), "derived")
 
 
 @query
 def canonical_chain(spark, sf):
-    seg = name_segments(spark, sf)
-    return G.canonical(G.build(P.pass_one(seg, seeding=True), seg, DEFAULT)).groupBy("canonical_key").agg(F.count("*").alias("n"))
+    return G.canonical(names_dictionary(spark, sf)[1]).groupBy("canonical_key").agg(F.count("*").alias("n"))
 
 
 @query
 def gazetteer_sweep(spark, sf):
-    seg = name_segments(spark, sf)
-    return G.sweep(seg, G.build(P.pass_one(seg, seeding=True), seg, DEFAULT), DEFAULT).select("doc_id", "key", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "confidence")
+    return G.sweep(*names_dictionary(spark, sf), DEFAULT).select("doc_id", "key", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "confidence")
 
 
 @query
 def gazetteer_sweep_ngrams(spark, sf):
-    seg = name_segments(spark, sf)
-    return G.sweep_ngrams(seg, G.build(P.pass_one(seg, seeding=True), seg, DEFAULT), DEFAULT).select("doc_id", "key", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
+    return G.sweep_ngrams(*names_dictionary(spark, sf), DEFAULT).select("doc_id", "key", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
 
 def surrogates_of(spark, sf, kind: str, text: Column) -> DataFrame:
@@ -525,3 +527,10 @@ def ner_people(spark, sf):
     seg = order_texts(spark, sf, NAME_TEXT())
     model = seg.select("doc_id", "key", F.lit(14).alias("start"), F.lit(40).alias("end"), F.substring("text", 15, 26).alias("text"), F.lit("PERSON").alias("label"))
     return ner_spans(model, seg).select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), F.col("text").alias("value"))
+
+
+@query
+def ablation_scores(spark, sf):
+    """The seven settings on the labelled synthetic corpus; no model's entities are given."""
+    seg, gold = corpus.load(spark)
+    return P.ablations(seg, gold).where("pii_type = 'MICRO'").select("config", "tp", "fp", "fn", "precision", "recall", "f1")
