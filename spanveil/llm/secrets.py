@@ -305,13 +305,16 @@ class Scanner:
     def spans(self, text: str | None) -> list[tuple[int, int, str]]:
         """(start, end, kind) in code points, by start, then as rules are listed."""
         data = (text or "").encode("utf-8", "surrogatepass")
-        out = []
+        found = []
         for i, ends in self.ends(data).items():
             for start, stop in self.locate(data, i, ends):
                 if stop - start - self.longest(self.heads[i], data, range(start, stop)) >= self.rules[i].least:
-                    first = len(data[:start].decode("utf-8", "surrogatepass"))  # all rules are ASCII inside
-                    out.append((first, i, first + stop - start))
-        return [(s, e, self.rules[i].kind) for s, i, e in sorted(out)]
+                    found.append((start, i, stop))
+        out, at, points = [], 0, 0
+        for start, i, stop in sorted(found):  # all rules are ASCII inside
+            points, at = points + len(data[at:start].decode("utf-8", "surrogatepass")), start
+            out.append((points, points + stop - start, self.rules[i].kind))
+        return out
 
 
 @cache

@@ -82,10 +82,22 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM document
 ), runs AS (SELECT r, i, n, w[i:i+n-1] AS win FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes)
 ), hits AS (SELECT r, i, n, item FROM runs JOIN items USING (win)
 ), places AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM hits)) GROUP BY r
-), names AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY r)
+), names AS (SELECT r, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY r
+), posts AS (SELECT r, unnest(w) AS term, unnest(range(len(w))) AS p FROM d
+), counts AS (SELECT term, count(*) AS n FROM posts GROUP BY term
+), terms AS (SELECT DISTINCT item_id::VARCHAR AS item, unnest(w) AS term FROM b
+), rare AS (
+  SELECT item, term, n, row_number() OVER (PARTITION BY item ORDER BY coalesce(n, 0), term) - 1 AS rank, least(count(*) OVER (PARTITION BY item), 4) AS wanted, min(coalesce(n, 0)) OVER (PARTITION BY item) AS least
+  FROM terms LEFT JOIN counts USING (term) WHERE item IS NOT NULL
+), lists AS (SELECT * FROM rare WHERE rank < 4 AND least > 0
+), near AS (
+  SELECT x.r, a.item FROM posts x JOIN lists a ON a.term = x.term AND a.rank = 0 JOIN lists o ON o.item = a.item AND o.rank > 0 JOIN posts y ON y.r = x.r AND y.term = o.term AND abs(y.p - x.p) <= 20
+  GROUP BY x.r, a.item, x.p, a.wanted HAVING count(DISTINCT o.rank) = a.wanted - 1
+  UNION ALL SELECT x.r, a.item FROM posts x JOIN lists a ON a.term = x.term AND a.wanted = 1
+), nears AS (SELECT r, count(DISTINCT item)::BIGINT AS n_near FROM near GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, len(coalesce(items, []))::BIGINT AS n_items,
-  sha256(array_to_string(coalesce(items, []), ',')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN places USING (r) LEFT JOIN names USING (r)
+  sha256(array_to_string(coalesce(items, []), ',')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN places USING (r) LEFT JOIN names USING (r) LEFT JOIN nears USING (r)
 """
 
 OP7 = r"""

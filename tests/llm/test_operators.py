@@ -112,6 +112,27 @@ def test_secrets_equal_the_plain_patterns(parts):
     assert got == [(s, e, k) for s, _, e, k in want]
 
 
+def test_secret_query_equals_the_plain_patterns(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = registry.op1_secret_scan(spark, sf).collect()
+    assert len(rows) == len(texts) and sum(r["n_assign"] + r["n_access"] + r["n_hex"] for r in rows) > 0
+    for r in rows:
+        want = sorted((m.start(), i, m.end(), k) for i, (k, p, fine) in enumerate(BASE) for m in p.finditer(texts[r["doc_id"]]) if fine(m))
+        base = ",".join(f"{k}:{s}:{e}" for s, _, e, k in want)
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(x[3] == k for x in want) for k in secrets.BASE]
+        all_spans = r["spans"].split(",") if r["spans"] else []
+        assert [x for x in all_spans if x.split(":")[0] in secrets.BASE] == (base.split(",") if base else [])
+        assert all_spans == sorted(all_spans, key=lambda x: (int(x.split(":")[1]), [k.kind for k in secrets.RULES].index(x.split(":")[0])))
+
+
+def test_many_secrets_in_a_long_text():
+    text = "é token = abcdef1 " * 20_000
+    spans = secrets.scanner().spans(text)
+    assert len(spans) == 20_000 and text[spans[-1][0] : spans[-1][1]] == "token = abcdef1"
+
+
 def test_further_secrets():
     found = secrets.scanner().spans("x ghp_" + "aZ1" * 12 + " and -----BEGIN RSA PRIVATE KEY----- end")
     assert [k for _, _, k in found] == ["github", "private_key"]
@@ -493,3 +514,80 @@ def test_pipeline_stage_by_stage(spark):
     assert p.language(spark, docs, SF).count() == len(rows)
     out = p.run(spark, SF)
     assert set(out.columns) == {*docs.columns, "slot", "shard"} and 0 < out.count() < 3 * len(rows)
+
+
+# --- pipeline
+
+
+def clashing(spark, rows):
+    """Documents whose further columns are called like those of the operators."""
+    names = ("k1", "k2", "row", "size", "target", "rate", "copies", "taken", "draw", "source_size", "__row", "node", "place", "root", "term", "w")
+    data = [(i, t, lang, s, None, *[f"{c} {n}" for c in names]) for n, (i, t, lang, s) in enumerate(rows)]
+    return spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in names))
+
+
+ODD = [(1, None, None, None), (2, "", "en", "a"), (3, " \n\t", "en", "a"), (None, "a null id with some words", None, "b"), (5, "twice the same row here", "en", "b"), (5, "twice the same row here", "en", "b"), (5, "another text of that id", "en", "b"), (6, "lorem Ipsum dolor " * 4000, "en", "c"), (7, "😀 é 日本", "fr", None)]
+
+
+@pytest.fixture(scope="module")
+def benchmark_dir(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("tables")
+    spark.createDataFrame([(1, "Twice the same row"), (2, None), (None, "brand new item words"), (3, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_stages_keep_columns_and_take_odd_rows(spark, benchmark_dir):
+    import corpus_pipeline as p
+
+    d = clashing(spark, ODD)
+    whole = {tuple(r) for r in d.collect()}
+    texts = {}
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, d, benchmark_dir)
+        assert out.columns == d.columns
+        rows = [tuple(r) for r in out.collect()]
+        assert set(rows) <= whole
+        texts[name] = Counter((r[0], r[1]) for r in rows)
+        assert stage(spark, clashing(spark, ODD).limit(0), benchmark_dir).collect() == []
+    assert set(texts["language_id"]) <= {(i, t) for i, t, _, _ in ODD if t and t.strip()}
+    # the three texts without words are one group; so are rows alike
+    assert texts["simhash_near_dedup"] == Counter({(i, t): 1 for i, t, _, _ in ODD if i not in (2, 3)})
+    assert texts["decontamination"] == Counter((i, t) for i, t, _, _ in ODD if t != "twice the same row here")
+    plan = mixing.mix_plan(d).collect()
+    assert sum(texts["mixing"].values()) == sum(r["copies"] for r in plan)
+    placed = p.shard(spark, d, benchmark_dir)
+    assert placed.count() == len(ODD) and all(r["shard"] in sharding.SHARDS for r in placed.collect())
+
+
+def test_language_stage_keeps_what_a_language_explains(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(5)
+    plain = [(i, " ".join(rng.choice("the cat sat on a mat and saw two dogs run by".split()) for _ in range(40)), "en", "s") for i in range(60)]
+    rows = [*plain, plain[3], (100, None, "en", "s"), (101, "12 34 %", "en", "s"), (102, "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(300)), "en", "s")]
+    kept = Counter(r["doc_id"] for r in p.language(spark, clashing(spark, rows), "").collect())
+    assert kept == Counter(i for i, *_ in [*plain, plain[3]])
+
+
+def test_near_dedup_by_brute_force_on_a_table(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    want = [rows[i][0] for i in left_by_exact_sets([t for _, t in rows])]
+    assert sorted(r["doc_id"] for r in p.near_dedup(spark, docs, SF).collect()) == want
+
+
+def test_items_without_id(spark):
+    d = frame(spark, [(1, "lorem ipsum dolor sit", None, None)])
+    items = spark.createDataFrame([(None, "ipsum dolor"), (4, "absent here")], "item_id long, text string")
+    row = decontam.contamination(d, items).first()
+    assert (row["n_hit"], row["n_items"], row["items_sha256"], row["contaminated"]) == (2, 0, hashlib.sha256(b"").hexdigest(), True)
+
+
+def test_one_id_under_different_texts(spark):
+    d = frame(spark, [(9, "alpha beta gamma", "en", "s"), (9, "alpha beta gamma", "en", "s"), (9, "other words " * 30, "en", "s")])
+    for name in ALL:
+        got = ALL[name](d, spark).collect()
+        assert len(got) == 3, name
+        assert len({tuple(r) for r in got}) <= 2, name
