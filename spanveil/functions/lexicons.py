@@ -89,7 +89,7 @@ GENERIC_WORDS = tuple("private public general national international global new
 NAME_PARTICLES = tuple("de da di du van von der den bin ibn al la le".split())
 #: Domains of public bodies: government suffixes, regulators and exchanges.
 PUBLIC_DOMAINS = ("gov", "gov.in", "nic.in", "gov.uk", "gc.ca", "gov.au", "europa.eu", "int", "rbi.org.in", "bseindia.com", "nseindia.com", "npci.org.in")
-ROLE_MAILBOXES = tuple("info support admin sales contact help helpdesk office hr jobs careers legal compliance investor investors grievance grievances noreply no-reply webmaster postmaster mail enquiry enquiries service accounts billing team secretarial".split())
+ROLE_MAILBOXES = tuple("info support admin sales contact help helpdesk office hr jobs careers legal compliance investor investors grievance grievances noreply no-reply webmaster postmaster mail enquiry enquiries service accounts billing team secretarial cs connect".split())
 #: Parts of mail addresses that are no name.
 MAIL_NOISE = ROLE_MAILBOXES + tuple("mr mrs ms dr the desk group company official india global corp".split())
 #: Column headers that mark a cell as a person's name or as an address.

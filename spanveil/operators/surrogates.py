@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanveil.config import Config
 from spanveil.functions import lexicons as L
-from spanveil.functions.text import case_style, chance, digits, let, match_case, norm, pick, verhoeff
+from spanveil.functions.text import case_style, chance, digits, host_of, let, match_case, norm, pick, verhoeff
 from spanveil.operators.detectors import any_of
 
 
@@ -75,11 +75,24 @@ def dob(text: Column, seed: int, key: Column) -> Column:
     )
 
 
+#: Codes of states and of company classes inside a company number (CIN).
+CIN = r"^([UuLl])\d{5}[A-Z]{2}\d{4}[A-Z]{3}\d{6}$"
+CIN_STATES = ("MH", "DL", "KA", "TN", "GJ", "WB", "TG", "RJ", "UP", "HR", "KL", "PN")
+CIN_CLASSES = ("PTC", "PLC", "NPL", "GOI", "FTC")
+
+
+def cin(text: Column, seed: int, key: Column) -> Column:
+    """Listing letter, industry, state, year, class and number, each of its own kind."""
+    part = lambda name, n: F.lpad((chance(seed, key, F.lit(name)) % 10**n).cast("string"), n, "0")
+    year = (chance(seed, key, F.lit("year")) % 70 + 1950).cast("string")
+    return F.concat(F.substring(text, 1, 1), part("industry", 5), pick(CIN_STATES, chance(seed, key, F.lit("state"))), year, pick(CIN_CLASSES, chance(seed, key, F.lit("class"))), part("number", 6))
+
+
 def national_id(text: Column, seed: int, key: Column) -> Column:
     d = digits(text)
     body = F.concat((chance(seed, key) % 8 + 2).cast("string"), F.substring(digit_run(seed, key, F.lit(12)), 1, 10))
     inverse = F.element_at(F.array(*[F.lit(x) for x in "0432156789"]), verhoeff(F.concat(body, F.lit("0"))) + 1)
-    return F.when(text.rlike(r"^[\d -]+$") & (F.length(d) == 12), refill(text, F.concat(body, inverse))).otherwise(substitute(text, seed, key))
+    return F.when(text.rlike(r"^[\d -]+$") & (F.length(d) == 12), refill(text, F.concat(body, inverse))).when(text.rlike(CIN), cin(text, seed, key)).otherwise(substitute(text, seed, key))
 
 
 def person(text: Column, rank: Column) -> Column:
@@ -93,16 +106,33 @@ def person(text: Column, rank: Column) -> Column:
 
 
 def organization(text: Column, rank: Column) -> Column:
+    """As many words, the first one telling; connectives and the legal form stay.  Ranks run
+    through all pairs of the pools, beyond which a number follows."""
     suffix = F.regexp_extract(text, rf"(?U)(?:\s+(?:{any_of(L.ORG_SUFFIXES)}))+$", 0)
-    n = len(L.ORG_HEADS) * len(L.ORG_MIDS)
-    more = F.when(rank >= n, F.concat(F.lit(" "), (F.floor(rank / n) + 1).cast("string"))).otherwise("")
-    return F.concat(pick(L.ORG_HEADS, rank), F.lit(" "), pick(L.ORG_MIDS, F.floor(rank / len(L.ORG_HEADS))), more, suffix)
+    stem = F.filter(F.split(F.trim(F.substring(text, F.lit(1), F.length(text) - F.length(suffix))), r"(?U)\s+"), lambda w: w != "")
+    heads, mids = len(L.ORG_HEADS), len(L.ORG_MIDS)
+    word = lambda w, i: F.when(i == 0, pick(L.ORG_HEADS, rank)).when(F.lower(w).isin("and", "&", "of"), w).otherwise(pick(L.ORG_MIDS, F.floor(rank / heads) + (i - 1) * 5))
+    pairs = F.when(F.size(stem) > 1, heads * mids).otherwise(heads)
+    more = F.when(rank >= pairs, F.concat(F.lit(" "), (F.floor(rank / pairs) + 1).cast("string"))).otherwise("")
+    return F.concat(F.array_join(F.transform(stem, word), " "), more, suffix)
 
 
 def address(text: Column, seed: int, key: Column, rank: Column) -> Column:
-    pin = F.regexp_extract(text, r"\d{3} ?\d{3}(?!\d)|\d{5}", 0)
-    parts = F.concat_ws(", ", (rank + 1).cast("string"), F.concat(pick(L.STREETS, chance(seed, key)), F.lit(" Road")), pick(L.PLACES, chance(seed, key, F.lit("p"))))
-    return F.concat(parts, F.when(pin != "", F.concat(F.lit(" - "), refill(pin, F.concat((chance(seed, key, F.lit("z")) % 8 + 1).cast("string"), digit_run(seed, key, F.lit(6)))))).otherwise(""))
+    """As many elements between commas; a code, its dash and its blank, a state and a country
+    stay what they are."""
+    low = F.lower(text)
+    code = F.regexp_extract(text, r"\d{3} ?\d{3}(?!\d)|\d{5}", 0)
+    state = F.regexp_extract(text, rf"(?i)\b(?:{any_of(L.STATES)})\b", 0)
+    country = F.regexp_extract(text, r"(?i)\b(?:india|usa|singapore|united kingdom)\b", 0)
+    dash = F.when(text.contains("–"), " – ").otherwise(" - ")
+    town = pick(L.PLACES, chance(seed, key, F.lit("p")))
+    coded = F.when(code != "", F.concat(town, dash, refill(code, F.concat((chance(seed, key, F.lit("z")) % 8 + 1).cast("string"), digit_run(seed, key, F.lit(6)))))).otherwise(town)
+    left = F.size(F.split(low, ",")) - 1 - F.when(state != "", 1).otherwise(0) - F.when(country != "", 1).otherwise(0)
+    kinds = ("House", "Road", "Park", "Lane", "Court")
+    name = lambda i: F.when(i == 1, (rank + 1).cast("string")).otherwise(F.concat(pick(L.STREETS, chance(seed, key, i)), F.lit(" "), pick(kinds, i - 2)))
+    parts = F.transform(F.sequence(F.lit(1), F.greatest(left, F.lit(2))), name)
+    tail = F.filter(F.array(coded, state, country), lambda x: x != "")
+    return F.array_join(F.concat(parts, tail), ", ")
 
 
 def email(seed: int, key: Column, rank: Column) -> Column:
@@ -157,24 +187,36 @@ def squash(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(text, rf"(?U)(?:\s+(?:{any_of(L.ORG_SUFFIXES)}))+$", "")), "[^a-z0-9]", "")
 
 
-def tie_mail(named: DataFrame) -> DataFrame:
-    """Addresses of known people and companies follow their surrogates: the local part is the
-    person's, the domain the company's.  People are met by the name that the local
-    part hints at; companies in a prefix join, bucketed by the first three letters,
-    where the longest common name wins."""
+def role_mailbox(local: Column) -> Column:
+    """Whether a local part names an office, not a person."""
+    return F.exists(F.split(F.lower(local), r"[._\-+]"), lambda x: x.isin(list(L.ROLE_MAILBOXES)))
+
+
+def tie_hosts(named: DataFrame) -> DataFrame:
+    """Addresses and sites of known people and companies follow their surrogates: the local
+    part is the person's or stays if it names an office, the host is the company's.
+    People are met by the name that the local part hints at; companies in a prefix join,
+    bucketed by the first three letters, where the longest common name wins."""
     from spanveil.operators.detectors import name_hint
 
-    mail = named.where("pii_type = 'EMAIL'").withColumn("hint", norm(name_hint(F.substring_index("canonical_text", "@", 1)))).withColumn("stem", F.regexp_replace(F.regexp_extract("canonical_text", r"@(?:.*\.)?([A-Za-z0-9\-]+)\.[A-Za-z]+$", 1), "-", ""))
-    people = named.where("pii_type = 'PERSON'").select(F.col("scope").alias("ps"), F.col("canonical_key").alias("pk"), F.lower(F.regexp_replace("surrogate", r"[^\p{L}\d]+", ".")).alias("local"))
+    kind = F.col("pii_type")
+    local = F.substring_index("canonical_text", "@", 1)
+    host = F.when(kind == "EMAIL", F.lower(F.substring_index("canonical_text", "@", -1))).otherwise(host_of(F.col("canonical_text")))
+    stem = F.regexp_replace(F.regexp_extract(host, r"(?:^|\.)([a-z0-9\-]+)(?:\.(?:co|com|org|net|gov|ac|edu))?\.[a-z]+$", 1), "-", "")
+    hosts = named.where(kind.isin("EMAIL", "URL")).withColumn("hint", F.when(kind == "EMAIL", norm(name_hint(local)))).withColumn("stem", stem)
+    people = named.where("pii_type = 'PERSON'").select(F.col("scope").alias("ps"), F.col("canonical_key").alias("pk"), F.lower(F.regexp_replace("surrogate", r"[^\p{L}\d]+", ".")).alias("person"))
     firms = named.where("pii_type = 'ORGANIZATION'").select(F.col("scope").alias("os"), squash(F.col("canonical_text")).alias("name"), squash(F.col("surrogate")).alias("host"))
-    met = mail.join(people, (F.col("scope") == F.col("ps")) & (F.col("hint") == F.col("pk")), "left")
+    met = hosts.join(people, (F.col("scope") == F.col("ps")) & (F.col("hint") == F.col("pk")), "left")
     near = (F.col("scope") == F.col("os")) & (F.substring("stem", 1, 3) == F.substring("name", 1, 3)) & (F.col("stem").startswith(F.col("name")) | F.col("name").startswith(F.col("stem"))) & (F.length("stem") >= 3)
-    best = met.join(firms, near).groupBy("scope", "canonical_key").agg(F.max_by("host", F.struct(F.least(F.length("name"), F.length("stem")), "host")).alias("host"))
-    tied = met.join(best, ["scope", "canonical_key"], "left")
-    local = F.coalesce("local", F.substring_index("surrogate", "@", 1))
-    host = F.coalesce(F.concat("host", F.lit(".example")), F.lit("example.com"))
-    out = tied.withColumn("surrogate", F.concat(local, F.lit("@"), host))
-    return named.where("pii_type <> 'EMAIL'").unionByName(out.select(*named.columns))
+    best = met.join(firms, near).groupBy("scope", "pii_type", "canonical_key").agg(F.max_by("host", F.struct(F.least(F.length("name"), F.length("stem")), "host")).alias("host"))
+    tied = met.join(best, ["scope", "pii_type", "canonical_key"], "left")
+    kept = F.when(role_mailbox(local), F.lower(local))
+    mail = F.concat(F.coalesce("person", kept, F.substring_index("surrogate", "@", 1)), F.lit("@"), F.coalesce(F.concat("host", F.lit(".example")), F.lit("example.com")))
+    lead = F.regexp_extract("canonical_text", r"(?i)^(?:[a-z]+://)?(?:www\. ?)?", 0)
+    path = F.regexp_extract("canonical_text", r"(?i)^(?:[a-z]+://)?[^/?#]*([/?#].*)$", 1)
+    site = F.when(F.col("host").isNotNull(), F.concat(lead, "host", F.lit(".example"), path)).otherwise(F.col("surrogate"))
+    out = tied.withColumn("surrogate", F.when(kind == "EMAIL", mail).otherwise(site))
+    return named.where(~kind.isin("EMAIL", "URL")).unionByName(out.select(*named.columns))
 
 
 def part_of(part: Column, whole: Column, fake: Column) -> Column:
@@ -195,7 +237,7 @@ def replacements(spans: DataFrame, gazetteer: DataFrame, config: Config) -> Data
     s = s.join(names, (F.col("scope") == F.col("gs")) & (F.col("norm_key") == F.col("gk")), "left").withColumn("canonical_key", F.coalesce("canonical_key", "norm_key")).drop("gs", "gk")
     s = s.join(texts, (F.col("scope") == F.col("ts")) & (F.col("canonical_key") == F.col("tk")), "left").drop("ts", "tk")
     entities = s.groupBy("scope", "pii_type", "canonical_key").agg(F.coalesce(F.max("canonical_surface"), F.max("text")).alias("canonical_text"))
-    named = tie_mail(entity_surrogates(entities, config))
+    named = tie_hosts(entity_surrogates(entities, config))
     out = s.drop("canonical_surface").join(named, ["scope", "pii_type", "canonical_key"])
     whole = F.when(F.col("norm_key") != F.col("canonical_key"), part_of(F.col("text"), F.col("canonical_text"), F.col("surrogate"))).otherwise(F.col("surrogate"))
     cased = F.when(F.col("pii_type").isin("PERSON", "ORGANIZATION", "ADDRESS") & (case_style(F.col("text")) != case_style(F.col("canonical_text"))), match_case(whole, F.col("text"))).otherwise(whole)
