@@ -75,9 +75,10 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Counts of all test terms and stored postings of the rarest ones of ``items``."""
+    """Counts of all test terms and stored postings of the rarest ones of ``items``; with
+    ``near``, of those that proximity needs too."""
 
-    def __init__(self, docs: DataFrame, items: DataFrame, width: int = WINDOW) -> None:
+    def __init__(self, docs: DataFrame, items: DataFrame, width: int = WINDOW, near: bool = False) -> None:
         self.docs = docs
         windows = test_windows(items, width).withColumn("w", F.xxhash64("window"))
         self.windows = cut(windows, "windows")
@@ -85,9 +86,11 @@ class Index:
         counts = term_counts(docs, small(words.select("term").distinct(), "vocabulary"))
         self.counts = cut(counts, "counts")
         self.lists = cut(self.window_lists(), "lists")
-        self.near = cut(self.item_lists(words), "near")
-        wanted = self.lists.select("term").unionAll(self.near.select("term")).distinct()
-        self.postings = cut(postings(docs, small(wanted, "terms")).sortWithinPartitions("term"), "postings")
+        wanted = self.lists.select("term")
+        if near:
+            self.near = cut(self.item_lists(words), "near")
+            wanted = wanted.unionAll(self.near.select("term"))
+        self.postings = cut(postings(docs, small(wanted.distinct(), "terms")).sortWithinPartitions("term"), "postings")
 
     def window_lists(self) -> DataFrame:
         """``w, rank, term, offset``: the rarest terms of each window that can occur (all its
@@ -155,7 +158,7 @@ def exact_matches(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
 
 def proximity_matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``k1, k2, item``: documents with an item's rarest words near each other."""
-    return Index(docs, items).proximities()
+    return Index(docs, items, near=True).proximities()
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
@@ -165,7 +168,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> Dat
     Null texts have no words; empty tables give no hits; repeated rows have equal
     results.  An item without an id has no name to be listed by: its words are hit, and
     it isn't counted.  Documents are joined to their few hits by (doc_id, hash of the text)."""
-    index = Index(docs, items, width)
+    index = Index(docs, items, width, near=True)
     phrases = (
         index.phrases()
         .groupBy("k1", "k2")
