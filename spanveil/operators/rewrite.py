@@ -36,16 +36,16 @@ def write_stats(replaced: DataFrame) -> DataFrame:
 
 
 def audit_log(segments: DataFrame, replaced: DataFrame) -> DataFrame:
-    """One row for each replacement, in document order."""
+    """One row for each replacement; whoever writes it puts it in the order of doc_id, seq, start."""
     where = segments.select("doc_id", "key", "seq", "location", "section", "column_header")
     rows = replaced.join(where, list(KEY))
-    return rows.select("location", "section", "column_header", "pii_type", "detector", F.format_number("confidence", 2).alias("confidence"), "start", "end", F.col("text").alias("original"), "surrogate", "doc_id", "seq").orderBy("doc_id", "seq", "start")
+    return rows.select("location", "section", "column_header", "pii_type", "detector", F.format_number("confidence", 2).alias("confidence"), "start", "end", F.col("text").alias("original"), "surrogate", "doc_id", "seq")
 
 
 def mapping(replaced: DataFrame) -> DataFrame:
-    """Distinct entities and their surrogates, sorted."""
+    """Distinct entities and their surrogates."""
     whole = replaced.groupBy("scope", "pii_type", "canonical_key").agg(F.max("canonical_text").alias("original"), F.max_by("surrogate", F.struct(F.length("text"), "text")).alias("surrogate"))
-    return whole.select("scope", "pii_type", "original", "surrogate").orderBy("scope", "pii_type", "original")
+    return whole.select("scope", "pii_type", "original", "surrogate")
 
 
 def rewrite_runs(runs: DataFrame, replaced: DataFrame) -> DataFrame:

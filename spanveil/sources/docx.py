@@ -47,6 +47,10 @@ def _blocks(parent: ET.Element, path: str, tables: list[int]) -> Iterator[tuple]
                 c = 0
                 for j, cell in enumerate(row.findall(f"{W}tc")):
                     span = cell.find(f"{W}tcPr/{W}gridSpan")
+                    merge = cell.find(f"{W}tcPr/{W}vMerge")
+                    if merge is not None and merge.get(f"{W}val", "continue") == "continue":
+                        c += int(span.get(f"{W}val", "1")) if span is not None else 1
+                        continue  # the text is in the cell above
                     at = f"{path}/{i}/{r}/{j}"
                     yield ("table-cell", "", here, r, c, at, cell.findall(f"{W}p"))
                     for k, inner in enumerate(cell.findall(f"{W}tbl")):
@@ -121,7 +125,41 @@ def rewrite(content: bytes, new: dict[tuple[int, int], str], clear_metadata: boo
     return out.getvalue()
 
 
-def write_documents(spark: SparkSession, path: str, runs: DataFrame) -> DataFrame:
+def segments_of(runs: DataFrame) -> DataFrame:
+    """Runs -> one segment for each paragraph and cell, with its section and headers."""
+    from pyspark.sql import functions as F
+
+    from spanveil.sources.segments import attach_headers, carry_sections
+
+    block = ("doc_id", "seq", "key", "kind", "table_index", "row_index", "col_index")
+    pieces = F.array_sort(F.collect_list(F.struct("run_ix", "run_text")))
+    texts = runs.groupBy(*block).agg(F.array_join(F.transform(pieces, lambda r: r["run_text"]), "").alias("text"))
+    placed = attach_headers(carry_sections(texts))
+    cell = F.concat(F.lit("table "), (F.col("table_index") + 1).cast("string"), F.lit(" row "), (F.col("row_index") + 1).cast("string"), F.lit(" column "), (F.col("col_index") + 1).cast("string"))
+    here = F.coalesce(cell, F.concat("kind", F.lit(" "), (F.col("seq") + 1).cast("string")))
+    return placed.select("doc_id", "seq", "key", "text", F.concat_ws(" > ", "section", here).alias("location"), "kind", "section", "column_header")
+
+
+def save_documents(contents: DataFrame, folder: str) -> DataFrame:
+    """Writes ``doc_id, content`` under the names of the documents into a folder that all
+    executors reach; gives the paths.  A task that is run again writes the same files again."""
+
+    def part(frames):
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store.create_dir(root, recursive=True)
+        for f in frames:
+            paths = [f"{root}/{name.rsplit('/', 1)[-1]}" for name in f["doc_id"]]
+            for path, content in zip(paths, f["content"]):
+                with store.open_output_stream(path) as out:
+                    out.write(bytes(content))
+            yield pd.DataFrame({"path": paths})
+
+    return contents.select("doc_id", "content").mapInPandas(part, "path string")
+
+
+def write_documents(spark: SparkSession, path: str, runs: DataFrame, clear_metadata: bool = True) -> DataFrame:
     """``doc_id, content``: the documents under ``path`` with the runs' ``new_text``; written
     to any store with a binary sink or from the frame."""
     from pyspark.sql import functions as F
@@ -131,6 +169,6 @@ def write_documents(spark: SparkSession, path: str, runs: DataFrame) -> DataFram
 
     def part(frames):
         for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "content": [rewrite(bytes(c), {(r["seq"], r["run_ix"]): r["new_text"] for r in (rs if rs is not None else [])}) for c, rs in zip(f["content"], f["runs"])]})
+            yield pd.DataFrame({"doc_id": f["doc_id"], "content": [rewrite(bytes(c), {(r["seq"], r["run_ix"]): r["new_text"] for r in (rs if rs is not None else [])}, clear_metadata) for c, rs in zip(f["content"], f["runs"])]})
 
     return files.join(texts, "doc_id", "left").mapInPandas(part, "doc_id string, content binary")

@@ -14,6 +14,7 @@ from spanveil.operators import rewrite as W
 from spanveil.operators.detectors import luhn
 from spanveil.operators.gazetteer import canonical, sweep, sweep_ngrams
 from spanveil.operators.surrogates import entity_surrogates
+from spanveil.plans import documents
 from spanveil.plans.pipeline import detect, pass_one, redact, summary
 from spanveil.sources import corpus, docx, reports
 from spanveil.sources.segments import run_offsets
@@ -137,6 +138,44 @@ def test_docx_round_trip(spark, tmp_path):
     assert new[1:4] == ["Mail x@y.example", "", " soon"] and b"Someone" not in zipfile.ZipFile(io.BytesIO(content)).read("docProps/core.xml")
 
 
+def make_filing() -> bytes:
+    """Headings, a paragraph whose name is split over runs, and a table with both kinds of merged cells."""
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    run = lambda t, b="": f"<w:r>{b}<w:t xml:space='preserve'>{t}</w:t></w:r>"
+    cell = lambda t, pr="": f"<w:tc><w:tcPr>{pr}</w:tcPr><w:p>{run(t)}</w:p></w:tc>"
+    row = lambda *cells: f"<w:tr>{''.join(cells)}</w:tr>"
+    body = (
+        f"<w:p><w:pPr><w:pStyle w:val='Heading1'/></w:pPr>{run('Contacts')}</w:p><w:p>{run('Contact Person: Orin ')}{run('Zel', '<w:rPr><w:b/></w:rPr>')}{run('kova Email: q.zorin@fabrikam.com')}</w:p>"
+        "<w:tbl>" + row(cell("Name"), cell("DIN"), cell("Address")) + row(cell("Orin Zelkova", "<w:vMerge w:val='restart'/>"), cell("01234567"), cell("12 Cedar Road, Andheri, Mumbai - 400 053"))
+        + row(cell("", "<w:vMerge/>"), cell("76543210"), cell("none")) + row(cell("Nerys Vantongeren", "<w:gridSpan w:val='3'/>")) + "</w:tbl>"
+    )
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body>{body}</w:body></w:document>")
+        z.writestr("docProps/core.xml", '<c xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:creator>Someone</dc:creator></c>')
+    return out.getvalue()
+
+
+def test_documents_from_end_to_end(spark, tmp_path):
+    from spanveil.plans.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "filing.docx").write_bytes(make_filing())
+    runs, seg = documents.read_segments(spark, str(tmp_path / "in"))
+    cells = {r["text"]: (r["section"], r["column_header"], r["location"]) for r in seg.collect()}
+    assert cells["01234567"] == ("Contacts", "DIN", "Contacts > table 1 row 2 column 2") and "" not in cells
+    assert main(["redact", "--docx", str(tmp_path / "in"), str(tmp_path / "out"), "--report-dir", str(tmp_path / "reports")]) == 0
+    content = (tmp_path / "out" / "filing.docx").read_bytes()
+    texts = [x[-1] for x in docx.rows_of("a", content)]
+    whole = "\n".join(texts)
+    for original in ("Zelkova", "Zel", "01234567", "76543210", "q.zorin", "Cedar Road", "Vantongeren"):
+        assert original not in whole
+    assert all(x in whole for x in ("Contacts", "Contact Person: ", "DIN", "none"))
+    assert len(texts) == len(docx.rows_of("a", make_filing())) and b"Someone" not in zipfile.ZipFile(io.BytesIO(content)).read("docProps/core.xml")
+    names = {r["surrogate"] for r in spark.read.option("header", True).csv(str(tmp_path / "reports" / "audit_log")).collect() if r["original"] == "Orin Zelkova"}
+    assert len(names) == 1 and names.pop() in whole
+
+
 def test_scores(spark):
     kind = "key string, pii_type string, start int, end int"
     gold = spark.createDataFrame([("a", "SSN", 0, 5), ("a", "EMAIL", 10, 20), ("b", "SSN", 0, 5)], kind)
