@@ -87,6 +87,17 @@ def cut(df: DataFrame, tag: str, *by: str) -> DataFrame:
     return out
 
 
+#: Tables of up to so many rows are broadcast (each is counted first); larger ones are
+#: shuffled, where Spark's runtime Bloom filters keep foreign keys out.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, tag: str) -> DataFrame:
+    """``df``, written; to be broadcast if it has few enough rows."""
+    out = cut(df, tag)
+    return F.broadcast(out) if out.count() <= BROADCAST_ROWS else out
+
+
 def renamed(df: DataFrame, *names: str) -> DataFrame:
     """A frame that :func:`cut` returned, its columns under other names."""
     out = df.toDF(*names)

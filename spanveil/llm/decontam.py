@@ -13,7 +13,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import cut, let, packed, unpacked, with_key
+from spanveil.llm.common import cut, let, packed, small, unpacked, with_key
 
 WINDOW = 10
 #: Lists that are intersected for a window, from the rarest on, before words are compared.
@@ -21,9 +21,6 @@ LISTS = 3
 #: A proximity match: so many of an item's rarest terms (all, if it has fewer) within
 #: so many words of the rarest one.
 NEAR_TERMS, NEAR_SPAN = 4, 20
-#: Tables of up to so many rows are broadcast (each is counted first); larger ones are
-#: shuffled, where Spark's runtime Bloom filters keep foreign terms out.
-BROADCAST_ROWS = 500_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -54,12 +51,6 @@ def test_windows(items: DataFrame, width: int = WINDOW) -> DataFrame:
     return items.select(item, F.explode(let(terms_of(F.col("text")), of)).alias("window")).distinct()
 
 
-def small(df: DataFrame, tag: str) -> DataFrame:
-    """``df``, written; to be broadcast if it has few enough rows."""
-    out = cut(df, tag)
-    return F.broadcast(out) if out.count() <= BROADCAST_ROWS else out
-
-
 def term_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``term, n``: postings in the documents of each test term that occurs.  Counts
     are summed map-side, so the most frequent words cost no shuffle."""
