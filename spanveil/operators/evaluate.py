@@ -64,6 +64,26 @@ def scores(gold: DataFrame, pred: DataFrame, mode: str = "strict") -> DataFrame:
     return each.unionByName(pooled).unionByName(macro)
 
 
+def errors(gold: DataFrame, pred: DataFrame, mode: str = "strict") -> DataFrame:
+    """``error, key, pii_type, start, end``: the gold spans that were missed (FN) and the
+    predicted ones that match none (FP)."""
+    found = (strict_match if mode == "strict" else relaxed_match)(gold, pred)
+    if mode == "strict":
+        found = found.withColumn("p_start", F.col("g_start")).withColumn("p_end", F.col("g_end"))
+    out = []
+    for error, spans, side in (("FN", gold, "g"), ("FP", pred, "p")):
+        matched = found.select(K, "pii_type", F.col(f"{side}_start").alias("start"), F.col(f"{side}_end").alias("end"))
+        left = spans.select(K, "pii_type", "start", "end").join(matched, [K, "pii_type", "start", "end"], "left_anti")
+        out.append(left.select(F.lit(error).alias("error"), K, "pii_type", "start", "end"))
+    return out[0].unionByName(out[1])
+
+
+def missing_values(gold: DataFrame, texts: DataFrame) -> DataFrame:
+    """Gold annotations ``key, pii_type, text`` whose text is not in their segment."""
+    here = texts.select(K, F.col("text").alias("whole"))
+    return gold.join(here, K).where(~F.col("whole").contains(F.col("text"))).select(K, "pii_type", "text")
+
+
 def boundary_errors(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Relaxed pairs whose bounds differ."""
     return relaxed_match(gold, pred).where("g_start <> p_start or g_end <> p_end")

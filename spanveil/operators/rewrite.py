@@ -22,6 +22,11 @@ def redact(segments: DataFrame, replaced: DataFrame) -> DataFrame:
     return segments.join(plans, list(KEY), "left").withColumn("redacted", splice(F.col("text"), F.coalesce("plan", empty))).drop("plan")
 
 
+def skipped(segments: DataFrame, replaced: DataFrame) -> DataFrame:
+    """Replacements of segments that do not exist."""
+    return replaced.join(segments.select(*KEY), list(KEY), "left_anti")
+
+
 def leaks(redacted: DataFrame, replaced: DataFrame) -> DataFrame:
     """Originals of four characters or more that still stand in any segment of their document."""
     values = replaced.select("doc_id", F.trim("text").alias("original")).where(F.length("original") >= 4).distinct()

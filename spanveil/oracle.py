@@ -207,6 +207,10 @@ SELECT tp, fp, fn, tn, round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FRO
     "by_stratum": f"""WITH {GOLD}, m AS (SELECT g.stratum, count(*) AS tp FROM g JOIN p ON g.key = p.key AND g.pii_type = p.pii_type AND {STRICT} GROUP BY 1),
 c AS (SELECT stratum, tp, ((SELECT count(*) FROM p WHERE p.stratum = m.stratum) - tp)::BIGINT AS fp, ((SELECT count(*) FROM g WHERE g.stratum = m.stratum) - tp)::BIGINT AS fn FROM m)
 SELECT stratum, tp, fp, fn, {prf()} FROM c""",
+    "error_rows_strict": f"WITH {GOLD} SELECT 'FN' AS error, key, pii_type, s AS start_at, e AS end_at FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE g.key = p.key AND g.pii_type = p.pii_type AND {STRICT}) UNION ALL SELECT 'FP', key, pii_type, s, e FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.key = p.key AND g.pii_type = p.pii_type AND {STRICT})",
+    "error_rows_relaxed": f"WITH {GOLD} SELECT 'FN' AS error, key, pii_type, s AS start_at, e AS end_at FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE g.key = p.key AND g.pii_type = p.pii_type AND {OVERLAP}) UNION ALL SELECT 'FP', key, pii_type, s, e FROM p WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.key = p.key AND g.pii_type = p.pii_type AND {OVERLAP})",
+    "missing_gold_values": "SELECT c_custkey::VARCHAR AS key, 'ORGANIZATION' AS pii_type, 'BUILDING' AS text FROM customer WHERE c_custkey % 2 = 0 AND NOT contains(c_name || ' in ' || c_mktsegment, 'BUILDING')",
+    "skipped_replacements": "SELECT o_custkey::VARCHAR AS doc_id, o_orderkey::VARCHAR AS key FROM orders WHERE o_orderkey % 2 <> 0",
     "type_confusion": f"WITH {GOLD} SELECT g.pii_type, p.pii_type AS predicted, count(*) AS n FROM g JOIN p ON g.key = p.key AND g.pii_type <> p.pii_type AND {OVERLAP} GROUP BY 1, 2",
     "boundary_errors": f"WITH {GOLD} SELECT g.key, g.pii_type, g.s AS g_start, g.e AS g_end, p.s AS p_start, p.e AS p_end FROM g JOIN p ON g.key = p.key AND g.pii_type = p.pii_type AND {OVERLAP} AND NOT ({STRICT})",
     "stratified_sample": "SELECT o_orderkey::VARCHAR AS key, o_orderstatus AS stratum FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('20260925|' || o_orderkey::VARCHAR), o_orderkey::VARCHAR) <= CASE o_orderstatus WHEN 'F' THEN 40 WHEN 'O' THEN 45 ELSE 1000000000 END OR o_orderkey IN (1, 2)",

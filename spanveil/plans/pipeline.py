@@ -12,8 +12,9 @@ from spanveil.operators import evaluate as E
 from spanveil.operators import scanning  # noqa: F401  (registers its detectors)
 from spanveil.operators.detectors import active
 from spanveil.operators.gazetteer import build, sweep, sweep_ngrams
-from spanveil.operators.resolve import resolve
-from spanveil.operators.rewrite import leaks, redact as rewrite_text
+from spanveil.operators.resolve import resolution_stats, resolve
+from spanveil.operators.rewrite import leaks, skipped, write_stats
+from spanveil.operators.rewrite import redact as rewrite_text
 from spanveil.operators.surrogates import replacements
 from spanveil.sources.ner import ner_spans
 from spanveil.sources.store import keep
@@ -68,13 +69,14 @@ class Redaction:
     replaced: DataFrame
     segments: DataFrame
     leaks: DataFrame
+    config: Config = DEFAULT
 
 
 def redact(segments: DataFrame, config: Config = DEFAULT) -> Redaction:
     found = detect(segments, config)
     replaced = keep(replacements(found.spans, found.gazetteer, config), "replaced")
     out = rewrite_text(segments, replaced)
-    return Redaction(found, replaced, out, leaks(out, replaced))
+    return Redaction(found, replaced, out, leaks(out, replaced), config)
 
 
 def summary(run: Redaction) -> DataFrame:
@@ -83,6 +85,22 @@ def summary(run: Redaction) -> DataFrame:
     return by.groupBy("pii_type").agg(F.sum("n").alias("n"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("detector", "n")))).alias("by_detector")).select(F.to_json(F.struct("*")).alias("summary"))
 
 
+def report(run: Redaction, timings: dict[str, float] | None = None, first: int = 20) -> DataFrame:
+    """One row with one JSON text: counts by type, of the resolution and of the rewriting,
+    replacements that were skipped, the first leaks and how many there are, and timings
+    if they are given."""
+    by = run.replaced.groupBy("pii_type").agg(F.count("*").alias("n"))  # a row for each type
+    types = by.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("pii_type", "n")))).alias("by_type"))
+    written = write_stats(run.replaced).select(F.struct("*").alias("rewriting"))
+    left = run.leaks.agg(F.count("*").alias("n_leaks"))
+    some = run.leaks.orderBy("doc_id", "key", "original").limit(first).agg(F.array_sort(F.collect_list(F.struct("doc_id", "key", "original"))).alias("first_leaks"))
+    lost = skipped(run.segments, run.replaced).agg(F.count("*").alias("n_skipped"))
+    found = resolution_stats(run.detection.raw, run.config).select(F.struct("*").alias("resolution"))
+    row = types.crossJoin(found).crossJoin(written).crossJoin(lost).crossJoin(left).crossJoin(some)  # one row each
+    took = F.lit(None).cast("map<string,double>") if not timings else F.create_map(*[F.lit(x) for kv in timings.items() for x in kv])
+    return row.select(F.to_json(F.struct("*", took.alias("timings"))).alias("report"))
+
+
 #: Settings that are compared in an ablation, and whether entities of a model take part.
 ABLATIONS = {
     "full": (DEFAULT, True),

@@ -480,6 +480,33 @@ def by_stratum(spark, sf):
     return E.by_stratum(t, g, p, "strict")
 
 
+@query
+def error_rows_strict(spark, sf):
+    g, p, _ = gold_pred(spark, sf)
+    return E.errors(g, p, "strict").select("error", "key", "pii_type", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
+
+
+@query
+def error_rows_relaxed(spark, sf):
+    g, p, _ = gold_pred(spark, sf)
+    return E.errors(g, p, "relaxed").select("error", "key", "pii_type", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
+
+
+@query
+def missing_gold_values(spark, sf):
+    """Annotations of customers by words that some of their texts lack."""
+    c = I.table(spark, sf, "customer")
+    gold = c.select(F.col("c_custkey").cast("string").alias("key"), F.lit("ORGANIZATION").alias("pii_type"), F.when(F.col("c_custkey") % 2 == 0, "BUILDING").otherwise(F.col("c_mktsegment")).alias("text"))
+    return E.missing_values(gold, c.select(F.col("c_custkey").cast("string").alias("key"), F.concat("c_name", F.lit(" in "), "c_mktsegment").alias("text")))
+
+
+@query
+def skipped_replacements(spark, sf):
+    """Replacements of every order, segments of the even ones only."""
+    o = I.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), F.col("o_orderkey").cast("string").alias("key"), "o_orderkey")
+    return W.skipped(o.where("o_orderkey % 2 = 0"), o).select("doc_id", "key")
+
+
 @query
 def type_confusion(spark, sf):
     g, p, _ = gold_pred(spark, sf)

@@ -125,6 +125,27 @@ def rewrite(content: bytes, new: dict[tuple[int, int], str], clear_metadata: boo
     return out.getvalue()
 
 
+def properties(content: bytes) -> dict[str, str]:
+    """The core properties that :func:`rewrite` blanks, as they are."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        if "docProps/core.xml" not in z.namelist():
+            return {}
+        core = ET.fromstring(z.read("docProps/core.xml"))
+    found = {x.tag.rpartition("}")[2]: x.text or "" for x in core}
+    return {k: v for k, v in found.items() if k in PROPERTIES and v}
+
+
+def read_properties(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, properties`` of the documents under ``path``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path).select("path", "content")
+
+    def part(frames):
+        for f in frames:
+            yield pd.DataFrame({"doc_id": f["path"], "properties": [properties(bytes(c)) for c in f["content"]]})
+
+    return files.mapInPandas(part, "doc_id string, properties map<string,string>")
+
+
 def segments_of(runs: DataFrame) -> DataFrame:
     """Runs -> one segment for each paragraph and cell, with its section and headers."""
     from pyspark.sql import functions as F

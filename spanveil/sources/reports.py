@@ -18,6 +18,25 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """One JSON document a file, such as metrics or a run's report."""
+    return spark.read.option("multiLine", True).json(path)
+
+
+GOLD = "key string, stratum string, location string, text string, spans array<struct<pii_type:string,start:int,end:int,text:string>>"
+
+
+def read_gold(spark: SparkSession, path: str, sample: DataFrame | None = None) -> DataFrame:
+    """A labelled corpus in JSON lines, with table, row and column from its location, and
+    the kind and column header that the sample gives its keys (null without one)."""
+    rows = spark.read.schema(GOLD).json(path)
+    at = lambda word: F.nullif(F.regexp_extract("location", rf"(?i)\b{word}\s+(\d+)", 1), F.lit("")).cast("int")
+    rows = rows.select("*", at("table").alias("table_index"), at("row").alias("row_index"), at("col(?:umn)?").alias("col_index"))
+    if sample is None:
+        return rows.withColumn("kind", F.lit(None).cast("string")).withColumn("column_header", F.lit(None).cast("string"))
+    return rows.join(sample.select("key", "kind", "column_header"), "key", "left")
+
+
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
