@@ -149,6 +149,9 @@ SELECT (SELECT count(*) FROM c) AS n_input, (SELECT count(*) FROM c) - k.n AS n_
     "gazetteer_build": f"WITH {NAMES} SELECT o_custkey::VARCHAR AS scope, lower(first) || ' velden' AS key, 'PERSON' AS pii_type, '' AS parent_key, false AS derived FROM n UNION ALL SELECT o_custkey::VARCHAR, 'velden', 'PERSON', lower(first) || ' velden', true FROM n",
     "canonical_chain": f"WITH {NAMES} SELECT lower(first) || ' velden' AS canonical_key, 2 * count(*) AS n FROM n GROUP BY 1",
     "detector_cases": cases_sql(),
+    "resolved_cases": cases_sql(),
+    "stream_cases": cases_sql(),
+    "detector_counts_of_cases": f"SELECT pii_type, count(*) AS n FROM ({cases_sql()}) GROUP BY 1",
     "email_spans": split_sql("documents", DOC, "text", *EMAIL),
     "email_spans_pages": split_sql("pages", "page_id::VARCHAR", "html", *EMAIL),
     "ipv4_spans": split_sql("documents", DOC, "text", "(^|[^\\pL\\pN_.\\x01\\-])", f"(?:{OCTET}\\.){{3}}{OCTET}", "($|\\.$|\\.[^0-9]|[^\\pL\\pN_.\\-])", IP_KEEP),
@@ -196,6 +199,14 @@ SELECT (SELECT count(*) FROM c) AS n_input, (SELECT count(*) FROM c) - k.n AS n_
     "cell_segments": "SELECT c_custkey::VARCHAR AS doc_id, 0::BIGINT AS seq, c_name AS text, 'c_name' AS column_header FROM customer UNION ALL SELECT c_custkey::VARCHAR, 1, c_mktsegment, 'c_mktsegment' FROM customer",
     "strict_match": f"WITH {GOLD} SELECT g.key, g.pii_type, g.s AS g_start, g.e AS g_end FROM g JOIN p ON g.key = p.key AND g.pii_type = p.pii_type AND {STRICT}",
     "relaxed_match": f"WITH {GOLD} SELECT g.key, g.pii_type, g.s AS g_start, g.e AS g_end, p.s AS p_start, p.e AS p_end FROM g JOIN p ON g.key = p.key AND g.pii_type = p.pii_type AND {OVERLAP}",
+    "relaxed_match_many": """WITH RECURSIVE b AS (SELECT (o_custkey % 400)::VARCHAR AS key, CASE WHEN o_orderkey % 2 = 0 THEN 'PERSON' ELSE 'EMAIL' END AS pii_type, o_orderkey AS k FROM orders),
+g AS (SELECT DISTINCT key, pii_type, (k * 7 % 60)::INT AS s, (k * 7 % 60 + 5 + k % 6)::INT AS e FROM b), p AS (SELECT DISTINCT key, pii_type, (k * 11 % 60)::INT AS s, (k * 11 % 60 + 4 + k % 6)::INT AS e FROM b),
+pairs AS (SELECT g.key, g.pii_type, {'gs': g.s, 'ge': g.e, 'ps': p.s, 'pe': p.e} AS x, row_number() OVER (PARTITION BY g.key, g.pii_type ORDER BY greatest(g.s, p.s) - least(g.e, p.e), g.s, g.e, p.s, p.e) AS place
+  FROM g JOIN p ON g.key = p.key AND g.pii_type = p.pii_type AND least(g.e, p.e) > greatest(g.s, p.s)),
+folded AS (SELECT key, pii_type, 1 AS place, [x] AS taken FROM pairs WHERE place = 1
+  UNION ALL SELECT f.key, f.pii_type, f.place + 1, CASE WHEN len(list_filter(f.taken, lambda y: (y.gs = r.x.gs AND y.ge = r.x.ge) OR (y.ps = r.x.ps AND y.pe = r.x.pe))) > 0 THEN f.taken ELSE list_append(f.taken, r.x) END
+  FROM folded f JOIN pairs r ON r.key = f.key AND r.pii_type = f.pii_type AND r.place = f.place + 1)
+SELECT key, pii_type, gs AS g_start, ge AS g_end, ps AS p_start, pe AS p_end FROM (SELECT key, pii_type, unnest(taken, recursive := true) FROM folded QUALIFY row_number() OVER (PARTITION BY key, pii_type ORDER BY place DESC) = 1)""",
     "prf_strict": f"WITH {GOLD}, {counted(STRICT)} SELECT * FROM each UNION ALL SELECT pii_type, tp, fp, fn, {prf()} FROM pooled",
     "prf_relaxed": f"WITH {GOLD}, {counted(OVERLAP)} SELECT * FROM each UNION ALL SELECT pii_type, tp, fp, fn, {prf()} FROM pooled UNION ALL SELECT 'MACRO', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT, round(avg(precision), 6), round(avg(recall), 6), round(avg(f1), 6) FROM each WHERE tp + fn > 0",
     "char_confusion": f"""WITH {GOLD}, o AS (SELECT sum(least(g.e, p.e) - greatest(g.s, p.s))::BIGINT AS tp FROM g JOIN p ON g.key = p.key AND {OVERLAP}),

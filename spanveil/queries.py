@@ -75,6 +75,23 @@ def detector_cases(spark, sf):
     return spans.select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "pii_type", F.col("text").alias("value")).distinct()
 
 
+@query
+def resolved_cases(spark, sf):
+    """Pass 1 and resolution on the cases."""
+    return R.resolve(P.pass_one(case_segments(spark, sf)), DEFAULT).select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "pii_type", F.col("text").alias("value"))
+
+
+@query
+def stream_cases(spark, sf):
+    """The stateless plan of streams on the cases."""
+    return stream.detect_stream(case_segments(spark, sf)).select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "pii_type", F.col("text").alias("value"))
+
+
+@query
+def detector_counts_of_cases(spark, sf):
+    return P.pass_one(case_segments(spark, sf)).select("doc_id", "start", "end", "pii_type").distinct().groupBy("pii_type").agg(F.count("*").alias("n"))
+
+
 @query
 def email_spans(spark, sf):
     return found(I.documents(spark, sf), D.email(DEFAULT))
@@ -450,6 +467,15 @@ def relaxed_match(spark, sf):
     return E.relaxed_match(g, p)
 
 
+@query
+def relaxed_match_many(spark, sf):
+    """Several gold and predicted spans of one type in a segment, which overlap each other."""
+    k = F.col("o_orderkey")
+    base = I.table(spark, sf, "orders").select((F.col("o_custkey") % 400).cast("string").alias("key"), F.when(k % 2 == 0, "PERSON").otherwise("EMAIL").alias("pii_type"), k)
+    spans = lambda step, size: base.select("key", "pii_type", (k * step % 60).cast("int").alias("start"), (k * step % 60 + size + k % 6).cast("int").alias("end")).distinct()
+    return E.relaxed_match(spans(7, 5), spans(11, 4))
+
+
 @query
 def prf_strict(spark, sf):
     g, p, _ = gold_pred(spark, sf)

@@ -1,6 +1,7 @@
 """Resolution, dictionary, surrogates, rewriting, documents and scoring."""
 
 import io
+import json
 import os
 import random
 import re
@@ -20,7 +21,7 @@ from spanveil.operators.detectors import luhn
 from spanveil.operators.gazetteer import canonical, sweep, sweep_ngrams
 from spanveil.operators.surrogates import entity_surrogates
 from spanveil.plans import documents
-from spanveil.plans.pipeline import detect, pass_one, redact, summary
+from spanveil.plans.pipeline import detect, pass_one, redact, report, summary
 from spanveil.sources import corpus, docx, reports
 from spanveil.sources.segments import run_offsets
 from spanveil.streaming.stream import detect_stream
@@ -290,3 +291,22 @@ def test_reports(spark, tmp_path):
     assert "</script>" in reports.dashboard(E.top_per_type(gold), scores)
     rows = reports.corpus_of(seg.select("key", "text"), gold)
     assert rows.count() == len(corpus.CASES) and rows.where("size(spans) = 0").count() == sum(not v for _, v in corpus.CASES)
+
+
+def test_gold_is_read_with_its_sample(spark, tmp_path):
+    (tmp_path / "gold.jsonl").write_text('{"key":"a","stratum":"s","location":"Terms > table 2 row 3 column 4","text":"x","spans":[]}\n{"key":"b","location":"paragraph 7","text":"y","spans":[{"pii_type":"SSN","start":0,"end":1,"text":"y"}]}\n')
+    sample = spark.createDataFrame([("a", "table-cell", "DIN")], "key string, kind string, column_header string")
+    rows = {r["key"]: r for r in reports.read_gold(spark, str(tmp_path / "gold.jsonl"), sample).collect()}
+    assert (rows["a"]["table_index"], rows["a"]["row_index"], rows["a"]["col_index"], rows["a"]["column_header"]) == (2, 3, 4, "DIN")
+    assert rows["b"]["table_index"] is None and rows["b"]["kind"] is None and rows["b"]["spans"][0]["pii_type"] == "SSN"
+
+
+def test_report_of_a_run(spark):
+    run = redact(segments(spark))
+    got = json.loads(report(run, {"detect": 1.5}).first()["report"])
+    assert got["by_type"]["PERSON"] == 3 and got["n_leaks"] == got["n_skipped"] == 0 and got["timings"] == {"detect": 1.5}
+    assert got["resolution"]["n_output"] == got["rewriting"]["spans_replaced"] == sum(got["by_type"].values())
+
+
+def test_properties_before_they_are_blanked():
+    assert docx.properties(make_docx()) == {"creator": "Someone"} and docx.properties(docx.rewrite(make_docx(), {})) == {}
