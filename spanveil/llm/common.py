@@ -114,6 +114,13 @@ def drop_cut(df: DataFrame) -> None:
     filesystem.cancelDeleteOnExit(target)
 
 
+def union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for x in frames[1:]:
+        out = out.unionAll(x)
+    return out
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], most: int = 256) -> Iterator[pa.RecordBatch]:
     """Smaller slices of Arrow batches, so that what is decoded at once stays small."""
     for batch in batches:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.common import cut, drop_cut, rows_of, with_key
+from spanveil.llm.common import cut, drop_cut, rows_of, union, with_key
 
 BLANK = b" \t\n\x0b\x0c\r"
 MIN_DOCUMENTS = 10
@@ -57,13 +57,6 @@ def sorted_run(counts: DataFrame, tag: str) -> DataFrame:
     return cut(counts.repartition("h").sortWithinPartitions("h"), tag)
 
 
-def union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for x in frames[1:]:
-        out = out.unionAll(x)
-    return out
-
-
 class Runs:
     """``levels[i]`` holds up to ``fanout`` pairs (run, tally) of written tables ``h, n``.
     No hash is in two runs; a tally's hashes are all in runs of its level or above."""

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
-from spanveil.llm.common import cut, drop_cut, packed, rows_of, unpacked
+from spanveil.llm.common import cut, drop_cut, packed, rows_of, union, unpacked
 from spanveil.llm.components import components
 
 SEED = 42
@@ -289,7 +289,8 @@ def classes(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFr
 
 
 def common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles found more than once in a sample of the texts, sorted, and how often."""
+    """Shingles found more than once in a sample of the texts, sorted, and how often: the most
+    frequent ones, COMMON at most."""
     share = max(1, rows.count() // SAMPLE)
     some = rows.where(F.pmod(F.xxhash64("k1", "k2"), F.lit(share)) == 0).select("text")
 
@@ -298,8 +299,16 @@ def common(rows: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
             found = [np.unique(shingle_hashes(t.as_py(), width)) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["shingle"])
 
-    counts = some.mapInArrow(part, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    found = counts.sort(F.desc("n"), "shingle").limit(COMMON).toArrow()
+    counts = cut(some.mapInArrow(part, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "counts")
+    # the least count that at most COMMON shingles reach; few different counts are met
+    least, left = 2, COMMON
+    for n, shingles in sorted(map(tuple, counts.groupBy("n").agg(F.count("*")).collect()), reverse=True):
+        left -= shingles
+        if left < 0:
+            least = n + 1
+            break
+    found = counts.where(F.col("n") >= least).toArrow()
+    drop_cut(counts)
     shingle, n = (found.column(c).to_numpy().astype(np.int64) for c in ("shingle", "n"))
     order = np.argsort(shingle.view(np.uint64))
     return shingle.view(np.uint64)[order], n[order]
@@ -458,7 +467,7 @@ class Alike:
 
     def __init__(self, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> None:
         self.nodes, self.texts, self.width, self.similarity = nodes, texts, width, similarity
-        self.sets: DataFrame | None = None
+        self.sets: list[DataFrame] = []
         self.roots = cut(nodes.select("node", F.col("node").alias("root")).limit(0), "roots")
 
     def join(self, pairs: DataFrame) -> None:
@@ -468,14 +477,13 @@ class Alike:
         drop_cut(asked)
         if not left.isEmpty():
             ends = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-            if self.sets is not None:
-                ends = ends.join(self.sets.select("node"), "node", "left_anti")
+            if self.sets:
+                ends = ends.join(union(self.sets).select("node"), "node", "left_anti")
             wanted = cut(self.nodes.select("node", "first.k1", "first.k2").join(ends, "node"), "wanted")
             if not wanted.isEmpty():
-                more = cut(shingle_sets(self.texts.join(wanted, ["k1", "k2"]).select("node", "text"), self.width), "sets")
-                self.sets = more if self.sets is None else self.sets.unionAll(more)
+                self.sets.append(cut(shingle_sets(self.texts.join(wanted, ["k1", "k2"]).select("node", "text"), self.width), "sets"))
             drop_cut(wanted)
-            found = verify(left, self.sets, lambda x, y: alike(x, y, similarity))
+            found = verify(left, union(self.sets), lambda x, y: alike(x, y, similarity))
             known = self.roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
             roots = components(found.unionAll(known))
             drop_cut(self.roots)
@@ -496,16 +504,18 @@ def settle(nodes: DataFrame, texts: DataFrame, width: int, similarity: float) ->
     groups = Alike(nodes, texts, width, similarity)
     groups.join(link(nodes.select("node", "print"), FIRST_RADIUS))
     rows = groups.rooted(nodes.select("node", "n", "prefix")).select("node", "n", "root", F.posexplode("prefix").alias("pos", "shingle")).select("shingle", "n", "node", "pos", "root")
-    low, high, before = 1, 2, None
+    low, high, before = 1, 4, None
     while True:
         met = cut(propose(rows, low, high, similarity), "met")
         if before is not None:
             drop_cut(before)
         if met.isEmpty():
+            for table in (met, *groups.sets):
+                drop_cut(table)
             return groups.roots
         groups.join(met.select(F.col("node").alias("a"), F.explode("others").alias("b")))
         rows = groups.rooted(met.select("shingle", "n", "node", "pos")).select("shingle", "n", "node", "pos", "root")
-        low, high, before = high + 1, 4 * high, met
+        low, high, before = high + 1, 8 * high, met
 
 
 def keep_one(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SIMILARITY) -> DataFrame:
@@ -520,7 +530,9 @@ def keep_one(docs: DataFrame, width: int = SIMILAR_WIDTH, similarity: float = SI
     nodes = prefixes(texts, width, similarity).groupBy("node").agg(first.alias("first"), *[F.first(c).alias(c) for c in ("n", "print", "prefix", "parity")])
     nodes = cut(nodes, "nodes")
     roots = settle(nodes, texts.select("k1", "k2", "text"), width, similarity)
-    stay = nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.k1", "first.k2")
+    stay = cut(nodes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.k1", "first.k2"), "stay")
+    drop_cut(nodes)
+    drop_cut(roots)
     other = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
     place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.xxhash64(*other)))
     return unpacked(rows.join(stay, ["k1", "k2"], "left_semi").withColumn("place", place).where("place = 1"))
