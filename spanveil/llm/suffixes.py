@@ -277,7 +277,8 @@ def dedup(docs: DataFrame) -> DataFrame:
     anchors = cut(anchor_rows(rows.select("k1", "k2", "text")), "anchors")
     common = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", F.when(F.col("n") >= HOT, F.col("anchor")).alias("hot"))
     wanted = anchors.select("k1", "k2", "anchor").join(common, "anchor").groupBy("k1", "k2").agg(F.collect_set("anchor").alias("anchors"), F.collect_set("hot").alias("hot"))
-    pieces = rows.join(wanted, ["k1", "k2"]).select("text", "k1", "k2", "anchors", "hot").mapInArrow(stretch_rows, "anchor long, slice int, data binary, k1 array<long>, k2 array<long>, first array<long>")
+    # with doc_id, so that the texts are dealt by their keys once for both joins
+    pieces = rows.join(wanted, ["k1", "k2"]).select("doc_id", "text", "k1", "k2", "anchors", "hot").mapInArrow(stretch_rows, "anchor long, slice int, data binary, k1 array<long>, k2 array<long>, first array<long>")
     found = pieces.repartition("anchor", "slice").sortWithinPartitions("anchor", "slice").mapInArrow(sort_groups, "k1 long, k2 long, start long, stop long")
     spans = found.distinct().groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     return rows.join(spans, ["k1", "k2"], "left").select("doc_id", "text", "spans").mapInArrow(remove, SCHEMA)
