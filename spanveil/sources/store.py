@@ -14,7 +14,7 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/spanveil-shared"
     path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
