@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanveil.functions.text import matches
 from spanveil.operators.resolve import KEY
+from spanveil.sources.store import keep
 
 
 def splice(text: Column, plan: Column) -> Column:
@@ -33,6 +35,29 @@ def leaks(redacted: DataFrame, replaced: DataFrame) -> DataFrame:
     return redacted.select("doc_id", "key", "redacted").join(values, "doc_id").where(F.col("redacted").contains(F.col("original"))).select("doc_id", "key", "original")
 
 
+def without_survivors(segments: DataFrame, replaced: DataFrame) -> DataFrame:
+    """``replaced`` and a replacement for every place where an original would still stand, as
+    it does inside a longer word, which no sweep enters: the value's own surrogate takes
+    it.  Between two replacements the longest value is met first, so none is left."""
+    left = keep(leaks(redact(segments, replaced), replaced), "survivors")
+    if left.isEmpty():
+        return replaced
+    quoted = F.concat(F.lit("\\Q"), F.replace(F.col("original"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    forms = F.array_sort(F.collect_set(F.struct((-F.length("original")).alias("n"), quoted.alias("p"))))
+    asked = left.groupBy(*KEY).agg(F.array_join(F.transform(forms, lambda x: x["p"]), "|").alias("pattern"))
+    taken = replaced.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("taken"))
+    rows = segments.select(*KEY, "text").join(asked, list(KEY)).join(taken, list(KEY), "left")
+    spans = F.coalesce("taken", F.array().cast("array<struct<start:int,end:int>>"))
+    gaps = F.arrays_zip(F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x["end"])).alias("at"), F.concat(F.transform(spans, lambda x: x["start"]), F.array(F.length("text"))).alias("to"))
+    pieces = rows.select(*KEY, "text", "pattern", F.explode(gaps).alias("g")).select(*KEY, "pattern", "g.at", F.substring("text", F.col("g.at") + 1, F.col("g.to") - F.col("g.at")).alias("piece"))
+    hits = pieces.select(*KEY, "at", F.explode(matches(F.col("piece"), F.col("pattern"))).alias("m"))
+    hits = hits.select(*KEY, (F.col("at") + F.col("m.start")).alias("start"), (F.col("at") + F.col("m.end")).alias("end"), F.col("m.text").alias("text"))
+    same = [c for c in replaced.columns if c not in (*hits.columns, "detector")]
+    known = replaced.groupBy("doc_id", F.trim("text").alias("text")).agg(F.max(F.struct("confidence", "pii_type", "surrogate", *[c for c in same if c not in ("confidence", "pii_type", "surrogate")])).alias("r"))
+    more = hits.join(known, ["doc_id", "text"]).select(*hits.columns, F.lit("rewrite.survivor").alias("detector"), *[F.col("r")[c].alias(c) for c in same])
+    return replaced.unionByName(keep(more, "more"))
+
+
 def write_stats(replaced: DataFrame) -> DataFrame:
     return replaced.agg(
         F.count("*").alias("spans_replaced"), F.count_distinct("doc_id", "key").alias("segments_modified"),

@@ -13,7 +13,7 @@ from spanveil.operators import scanning  # noqa: F401  (registers its detectors)
 from spanveil.operators.detectors import active
 from spanveil.operators.gazetteer import build, sweep, sweep_ngrams
 from spanveil.operators.resolve import resolution_stats, resolve
-from spanveil.operators.rewrite import leaks, skipped, write_stats
+from spanveil.operators.rewrite import leaks, skipped, without_survivors, write_stats
 from spanveil.operators.rewrite import redact as rewrite_text
 from spanveil.operators.surrogates import replacements
 from spanveil.sources.ner import ner_spans
@@ -74,7 +74,7 @@ class Redaction:
 
 def redact(segments: DataFrame, config: Config = DEFAULT) -> Redaction:
     found = detect(segments, config)
-    replaced = keep(replacements(found.spans, found.gazetteer, config), "replaced")
+    replaced = without_survivors(segments, keep(replacements(found.spans, found.gazetteer, config), "replaced"))
     out = rewrite_text(segments, replaced)
     return Redaction(found, replaced, out, leaks(out, replaced), config)
 

@@ -53,6 +53,15 @@ def test_redaction_is_consistent_and_leak_free(spark):
     assert W.write_stats(run.replaced).first()["segments_modified"] == 2
 
 
+def test_no_original_is_left_inside_longer_words(spark):
+    texts = ["BFXQ Calvex Ltd agreed.", "Then BFXQ met BFXQJA and ABFXQ, BFXQBFXQ too."]
+    run = redact(segments(spark, texts))
+    out = [r["redacted"] for r in run.segments.orderBy("seq").collect()]
+    assert run.leaks.count() == 0 and not any("BFXQ" in x for x in out)
+    one = {r["surrogate"] for r in run.replaced.collect() if r["text"] == "BFXQ"}
+    assert len(one) == 1 and (s := one.pop()) and out[1] == f"Then {s} met {s}JA and A{s}, {s}{s} too."
+
+
 def test_sweep_can_be_switched_off(spark):
     with_, without = detect(segments(spark)).spans, detect(segments(spark), Config(sweep=False)).spans
     assert with_.where("text = 'ZELKOVA'").count() == 1 and without.where("text = 'ZELKOVA'").count() == 0
